@@ -281,7 +281,8 @@ def oof_predictions(spark, sf):
 def fold_scores(spark, sf):
     df, classes, _ = _learning_set(spark, sf)
     cv = _cross_validated(df, classes, "quality")
-    return metrics.score_summary(cv.folds, "f1", "trees").join(F.broadcast(metrics.macro_f1(cv.predictions, "label", "predicted")))
+    overall = metrics.macro_f1(cv.predictions, "label", "predicted")
+    return joins.attach(metrics.score_summary(cv.folds, "f1", "trees"), overall, [])
 
 
 @query()

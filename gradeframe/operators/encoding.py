@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.operators.joins import lookup_join
+from gradeframe.operators.joins import heavy_groups, lookup_join
 from gradeframe.session import settle
 
 
@@ -47,6 +47,30 @@ def apply_encoding(df: DataFrame, stats: DataFrame, key: str, prefix: str, **joi
     return out.withColumn(f"{prefix}_cnt", F.coalesce(F.col(f"{prefix}_cnt"), F.lit(0)))
 
 
+def leave_one_out_table(df: DataFrame, key: str, target: str, prefix: str) -> DataFrame:
+    """Per key: target sum, count, mean and deviation, and the number of rows."""
+    return settle(
+        df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            F.sum(target).alias("_sum"), F.count(target).alias(f"{prefix}_cnt"),
+            F.avg(target).alias(f"{prefix}_mean"), F.stddev_samp(target).alias(f"{prefix}_std"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+    )
+
+
+def apply_leave_one_out(
+    df: DataFrame, table: DataFrame, key: str, target: str, prefix: str,
+    singleton: str = "zero", prior: float | None = None, **join,
+) -> DataFrame:
+    """Join the table back and take each row's own target out of its key's mean."""
+    count = F.col(f"{prefix}_cnt")
+    loo = (F.col("_sum") - F.col(target)) / F.when(count > 1, count - 1).otherwise(1)
+    alone = {"zero": loo, "null": F.lit(None).cast("double"), "prior": F.lit(prior).cast("double")}[singleton]
+    hot = heavy_groups(table, [key], "_rows")
+    out = lookup_join(df, table.drop("_rows"), [key], "left", hot, **join)
+    return out.withColumn(f"{prefix}_loo", F.when(count <= 1, alone).otherwise(loo)).drop("_sum")
+
+
 def with_leave_one_out(
     df: DataFrame, key: str, target: str, prefix: str,
     singleton: str = "zero", prior: float | None = None, **join,
@@ -57,22 +81,13 @@ def with_leave_one_out(
     instead of a window that would gather a heavy key in one task. A singleton
     gets 0, NULL or ``prior``; a NULL key gets NULLs.
     """
-    stats = settle(
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            F.sum(target).alias("_sum"), F.count(target).alias(f"{prefix}_cnt"),
-            F.avg(target).alias(f"{prefix}_mean"), F.stddev_samp(target).alias(f"{prefix}_std"),
-        )
-    )
-    count = F.col(f"{prefix}_cnt")
-    loo = (F.col("_sum") - F.col(target)) / F.when(count > 1, count - 1).otherwise(1)
-    alone = {"zero": loo, "null": F.lit(None).cast("double"), "prior": F.lit(prior).cast("double")}[singleton]
-    out = lookup_join(df, stats, [key], "left", **join)
-    return out.withColumn(f"{prefix}_loo", F.when(count <= 1, alone).otherwise(loo)).drop("_sum")
+    table = leave_one_out_table(df, key, target, prefix)
+    return apply_leave_one_out(df, table, key, target, prefix, singleton, prior, **join)
 
 
 def fold_totals(df: DataFrame, key: str, target: str, fold: str, k: int) -> DataFrame:
     """Per key: target sum and count over all rows and within each fold."""
-    fields = [F.sum(target).alias("_s"), F.count(target).alias("_c")]
+    fields = [F.sum(target).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_rows")]
     for i in range(k):
         mine = F.when(F.col(fold) == i, F.col(target))
         fields += [F.coalesce(F.sum(mine), F.lit(0)).alias(f"_s{i}"), F.count(mine).alias(f"_c{i}")]
@@ -87,7 +102,7 @@ def with_fold_encoding(df: DataFrame, key: str, target: str, fold: str, k: int,
     One aggregate and one join serve all folds.
     """
     totals = settle(fold_totals(df, key, target, fold, k))
-    out = lookup_join(df, totals, [key], "left", **join)
+    out = lookup_join(df, totals.drop("_rows"), [key], "left", heavy_groups(totals, [key], "_rows"), **join)
     added = {}
     for i in range(k):
         s, c = F.col("_s") - F.col(f"_s{i}"), F.col("_c") - F.col(f"_c{i}")

@@ -14,6 +14,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot when it holds more than this share of the fact rows; at most
 # 1 / HOT_SHARE keys can, which bounds what the skew path broadcasts.
 HOT_SHARE = 1e-3
+# Number of salts that rows of hot and missing keys are spread over.
+SPREAD = 4096
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
@@ -37,52 +39,61 @@ def _all_present(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
+def hot_keys(fact: DataFrame, on: Sequence[str], hot_share: float = HOT_SHARE) -> DataFrame:
+    """Keys above ``hot_share`` of the rows; at most ``1 / hot_share`` of them."""
+    counts = fact.filter(_all_present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return heavy_groups(counts, on, "_rows", hot_share)
+
+
+def heavy_groups(counts: DataFrame, on: Sequence[str], rows: str, hot_share: float = HOT_SHARE) -> DataFrame:
+    """The same from row counts per key that were made anyway."""
+    total = counts.agg(F.sum(rows)).scalar()
+    return counts.filter(F.col(rows) > total * F.lit(float(hot_share))).select(*on)
+
+
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    hot: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join a fact table to a lookup that is unique on ``on``.
 
     The lookup is measured first. Within ``broadcast_bytes`` it is broadcast and
-    the fact table does not move. Beyond that, rows of hot keys (each above
-    ``hot_share`` of the fact rows, so a bounded number of keys) join a
-    broadcast of just those keys, rows with a NULL key stay where they are, and
-    only the remaining, evenly spread rows are shuffled. Both ways return the
-    same rows. NULL keys never match.
+    the fact table does not move. Beyond that the two are shuffled together,
+    except that hot keys (``hot``, or counted from the fact) take their values
+    from a broadcast of just those keys; rows of a hot or NULL key are then
+    spread over all tasks, so no task receives a heavy key. The fact table is
+    read once either way, and both ways return the same rows. NULL keys never
+    match.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join supports left and inner, not {how}")
     on = list(on)
     if measure(lookup)[1] <= broadcast_bytes:
         return fact.join(F.broadcast(lookup), on, how)
-    return _split_join(fact, lookup, on, how, hot_share)
-
-
-def _split_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str, hot_share: float) -> DataFrame:
-    keyed = fact.filter(_all_present(on))
-    total = fact.agg(F.count(F.lit(1))).scalar()
-    hot_keys = (
-        keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > total * F.lit(float(hot_share)))
-        .select(*on)
-    )
-    # At most 1 / hot_share rows. Cut here so that both uses see the same keys.
-    hot = settle(F.broadcast(hot_keys).join(lookup, on, how))
-    hot_only = settle(hot_keys) if how == "inner" else hot.select(*on)
-    order = fact.columns + [c for c in lookup.columns if c not in on]
-    hot_rows = keyed.join(F.broadcast(hot), on, "inner")
-    cold_rows = keyed.join(F.broadcast(hot_only), on, "left_anti").join(lookup, on, how)
-    out = hot_rows.select(*order).unionByName(cold_rows.select(*order))
-    if how == "left":
-        missing = fact.filter(~_all_present(on)).withColumns(
-            {f.name: F.lit(None).cast(f.dataType) for f in lookup.schema if f.name not in on}
-        )
-        out = out.unionByName(missing.select(*order))
-    return out
+    return _spread_join(fact, lookup, on, how, hot_keys(fact, on) if hot is None else hot)
+
+
+def _spread_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str, hot: DataFrame) -> DataFrame:
+    extra = [c for c in lookup.columns if c not in on]
+    values = F.struct(*extra, F.lit(True).alias("_found"))
+    # A bounded number of keys, and the lookup has one row for each.
+    keys = settle(hot.select(*on))
+    known = lookup.join(F.broadcast(keys), on, "left_semi").select(*on, values.alias("_v"))
+    heavy = settle(keys.join(known, on, "left").select(*on, "_v", F.lit(True).alias("_hot")))
+    marked = fact.join(F.broadcast(heavy), on, "left")
+    apart = F.col("_hot").isNotNull() | ~_all_present(on)
+    # The partition number spreads even identical rows and is the same on a retry.
+    spot = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
+    marked = marked.withColumn("_salt", F.when(apart, spot).otherwise(0))
+    cold = lookup.select(*on, values.alias("_w"), F.lit(0).alias("_salt"))
+    joined = marked.join(cold, [*on, "_salt"], "left").withColumn("_v", F.coalesce("_v", "_w"))
+    if how == "inner":
+        joined = joined.filter("_v._found")
+    return joined.select(*fact.columns, *[F.col("_v").getField(c).alias(c) for c in extra])
 
 
 def attach(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:

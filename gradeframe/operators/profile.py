@@ -78,10 +78,11 @@ def pivot_means(df: DataFrame, row: str, column: str, values: Sequence, measure:
 def member_rate(df: DataFrame, group: str, column: str, members: Sequence, out: str = "rate") -> DataFrame:
     """Share of rows whose value is a member, per group, beside the overall share."""
     flag = is_member(F.col(column), members).cast("double")
-    overall = df.agg(F.avg(flag)).scalar()
-    return (
-        df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.avg(flag).alias(out))
-        .withColumn("overall", overall)
+    # Totals come from the grouped counts, whose shuffle Spark reuses.
+    counts = df.groupBy(group).agg(F.sum(flag).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
+    overall = counts.agg(F.sum("_hits") / F.sum("_rows")).scalar()
+    return counts.filter(F.col(group).isNotNull()).select(
+        group, (F.col("_hits") / F.col("_rows")).alias(out), overall.alias("overall")
     )
 
 

@@ -18,6 +18,9 @@ from gradeframe.operators.joins import attach
 from gradeframe.session import settle
 
 ROWS_PER_RANGE = 100_000
+# Few enough ranges that counting them combines well on the map side; a range
+# of a very large group is then longer, which only the ranked ranges notice.
+MAX_RANGES = 65_536
 
 
 def _hash_columns(key: Sequence[str], seed: int, method: str) -> tuple[Column, Column]:
@@ -53,7 +56,7 @@ def hash_split(
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sizes = settle(sizes) if by else sizes
     total = sizes.agg(F.sum("_n")).first()[0] or 0
-    sizes = sizes.withColumn("_ranges", F.ceil(F.col("_n") / F.lit(float(rows_per_range))))
+    sizes = sizes.withColumn("_ranges", F.least(F.ceil(F.col("_n") / F.lit(float(rows_per_range))), F.lit(MAX_RANGES)))
     ranged = attach(rows, sizes, by).withColumn(
         "_r", F.least(F.floor(F.col("_u") * F.col("_ranges")), F.col("_ranges") - 1)
     )

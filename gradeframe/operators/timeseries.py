@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradeframe.functions.clean import clip_lower
-from gradeframe.operators.joins import lookup_join
+from gradeframe.operators.joins import heavy_groups, lookup_join
 from gradeframe.session import settle
 
 ONE_MONTH = "interval 1 month"
@@ -46,34 +46,52 @@ def month_join(fact: DataFrame, monthly: DataFrame, keys: Sequence[str], date: s
     return lookup_join(at, monthly, [*keys, month], "left", **join).drop(month)
 
 
-def interval_rollup(
-    fact: DataFrame,
-    monthly: DataFrame,
-    keys: Sequence[str],
-    start: str,
-    end: str,
-    aggregates: Sequence[Column],
-    floor: Column | None = None,
-    **join,
+def _spans(fact: DataFrame, start: str, end: str, floor: Column | None) -> DataFrame:
+    begin = F.col(start) if floor is None else clip_lower(F.col(start), floor)
+    valid = begin <= F.col(end)
+    return fact.withColumns({
+        "_from": F.when(valid, F.trunc(begin, "MM")), "_to": F.when(valid, F.trunc(end, "MM")),
+    })
+
+
+def interval_table(
+    fact: DataFrame, monthly: DataFrame, keys: Sequence[str], start: str, end: str,
+    aggregates: Sequence[Column], floor: Column | None = None, **join,
 ) -> DataFrame:
-    """Aggregate a monthly table over each row's own months, ends included.
+    """Aggregates of a monthly table for every distinct interval of the fact rows.
 
     Rows that share keys, start month and end month share the answer, so only
     the distinct intervals are expanded; their number is bounded by the calendar
-    and the keys, not by the fact rows. Rows without a valid interval get NULLs.
+    and the keys, not by the fact rows.
     """
-    keys = list(keys)
-    begin = F.col(start) if floor is None else clip_lower(F.col(start), floor)
-    valid = begin <= F.col(end)
-    spans = fact.withColumns({
-        "_from": F.when(valid, F.trunc(begin, "MM")), "_to": F.when(valid, F.trunc(end, "MM")),
-    })
     span_key = [*keys, "_from", "_to"]
-    intervals = spans.select(*span_key).dropna().distinct()
+    intervals = settle(
+        _spans(fact, start, end, floor).dropna(subset=span_key).groupBy(*span_key).agg(F.count(F.lit(1)).alias("_rows"))
+    )
     months = intervals.withColumn("month", F.explode(F.sequence("_from", "_to", F.expr(ONE_MONTH))))
     covered = lookup_join(months, monthly, [*keys, "month"], "left", **join)
-    features = settle(covered.groupBy(*span_key).agg(*aggregates))
-    return lookup_join(spans, features, span_key, "left", **join).drop("_from", "_to")
+    return settle(covered.groupBy(*span_key).agg(*aggregates, F.first("_rows").alias("_rows")))
+
+
+def apply_interval_table(
+    fact: DataFrame, table: DataFrame, keys: Sequence[str], start: str, end: str, floor: Column | None = None, **join,
+) -> DataFrame:
+    span_key = [*keys, "_from", "_to"]
+    hot = heavy_groups(table, span_key, "_rows")
+    spans = _spans(fact, start, end, floor)
+    return lookup_join(spans, table.drop("_rows"), span_key, "left", hot, **join).drop("_from", "_to")
+
+
+def interval_rollup(
+    fact: DataFrame, monthly: DataFrame, keys: Sequence[str], start: str, end: str,
+    aggregates: Sequence[Column], floor: Column | None = None, **join,
+) -> DataFrame:
+    """Aggregate a monthly table over each row's own months, ends included.
+
+    Rows without a valid interval get NULLs.
+    """
+    table = interval_table(fact, monthly, keys, start, end, aggregates, floor, **join)
+    return apply_interval_table(fact, table, keys, start, end, floor, **join)
 
 
 def preceding_days(

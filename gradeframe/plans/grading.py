@@ -107,22 +107,34 @@ def with_farm(df: DataFrame, farms: DataFrame, **join) -> DataFrame:
     return out.withColumn("death_rate", clean.smoothed_death_rate(F.col("death_cnt"), F.col("avg_cattle")))
 
 
-def common_features(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
+def rearing_table(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
+    """Rearing weather of every distinct (station, birth month, slaughter month)."""
+    return timeseries.interval_table(
+        fact, tables.monthly, ["stn"], "BIRTH_YMD", "ABATT_DATE", weather.rearing_aggregates(),
+        floor=F.lit(weather_start).cast("date"), **join,
+    )
+
+
+def common_features(
+    fact: DataFrame, base: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join,
+) -> DataFrame:
     """Features that training and scoring rows share.
 
     Slaughter-month and three lag months come from one join on the month, the
-    birth month from a second one, the rearing period from a third.
+    birth month from a second one, the rearing period from a third. ``base`` is
+    the same rows before any join: what is counted over the rows is counted
+    there, so that the chain of joins runs once.
     """
+    floor = F.lit(weather_start).cast("date")
+    rearing = rearing_table(base, tables, weather_start, **join)
+    months = lambda date: joins.hot_keys(base.select("stn", F.trunc(date, "MM").alias("month")), ["stn", "month"])
     df = with_interactions(with_row_features(fact))
-    shifted = timeseries.lagged_lookup(tables.monthly, ["stn"], "month", LAGS)
-    df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", **join)
+    shifted = settle(timeseries.lagged_lookup(tables.monthly, ["stn"], "month", LAGS))
+    df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", hot=months("ABATT_DATE"), **join)
     birth = clean.with_prefix(tables.monthly, "b_", ["stn", "month"])
-    df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", **join)
-    df = with_farm(df, tables.farms, **join)
-    return timeseries.interval_rollup(
-        df, tables.monthly, ["stn"], "BIRTH_YMD", "ABATT_DATE", weather.rearing_aggregates(),
-        floor=F.lit(weather_start).cast("date"), **join,
-    )
+    df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", hot=months("BIRTH_YMD"), **join)
+    df = with_farm(df, tables.farms, hot=joins.hot_keys(base, [FARM]), **join)
+    return timeseries.apply_interval_table(df, rearing, ["stn"], "BIRTH_YMD", "ABATT_DATE", floor, **join)
 
 
 def with_target(fact: DataFrame) -> DataFrame:
@@ -134,8 +146,9 @@ def with_target(fact: DataFrame) -> DataFrame:
 
 
 def training_features(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
-    df = encoding.with_leave_one_out(with_target(typed_fact(fact)), FARM, "grade_score", "farm_grade", **join)
-    return common_features(df, tables, weather_start, **join)
+    base = with_target(typed_fact(fact))
+    df = encoding.with_leave_one_out(base, FARM, "grade_score", "farm_grade", **join)
+    return common_features(df, base, tables, weather_start, **join)
 
 
 def encoding_table(fact: DataFrame) -> DataFrame:
@@ -152,11 +165,12 @@ def scoring_features(
     An unseen farm keeps a NULL there and takes the training mean of the plain
     encoding. All three statistics come from one join.
     """
-    df = encoding.apply_encoding(typed_fact(fact).drop("LAST_GRADE"), encodings, FARM, "farm_grade", **join)
+    base = typed_fact(fact).drop("LAST_GRADE")
+    df = encoding.apply_encoding(base, encodings, FARM, "farm_grade", hot=joins.hot_keys(base, [FARM]), **join)
     df = df.withColumn("farm_grade_loo", F.col("farm_grade_mean"))
     mean = with_target(training).select(F.col("grade_score").alias("farm_grade_mean"))
     df = clean.fill_with_mean(df, "farm_grade_mean", mean)
-    return common_features(df, tables, weather_start, **join)
+    return common_features(df, base, tables, weather_start, **join)
 
 
 def target_statistics(train: DataFrame, lineage: DataFrame, **join) -> dict[str, DataFrame]:
@@ -178,11 +192,17 @@ def pedigree(lineage: DataFrame) -> DataFrame:
 
 def baseline_features(fact: DataFrame, tables: Lookups, lineage: DataFrame, statistics: dict[str, DataFrame], **join) -> DataFrame:
     """Baseline rows: slaughter and birth month weather, farm, sire and strain means."""
-    df = with_row_features(typed_fact(fact))
+    base = typed_fact(fact)
+    df = with_row_features(base)
     for prefix, date in (("s_", "ABATT_DATE"), ("b_", "BIRTH_YMD")):
-        df = timeseries.month_join(df, clean.with_prefix(tables.monthly, prefix, ["stn", "month"]), ["stn"], date, **join)
-    df = with_farm(df, tables.farms, **join)
-    df = joins.lookup_join(df, pedigree(lineage), ["CATTLE_NO"], "left", **join)
+        months = base.select("stn", F.trunc(date, "MM").alias("month"))
+        renamed = clean.with_prefix(tables.monthly, prefix, ["stn", "month"])
+        df = timeseries.month_join(df, renamed, ["stn"], date, hot=joins.hot_keys(months, ["stn", "month"]), **join)
+    farms = joins.hot_keys(base, [FARM])
+    df = with_farm(df, tables.farms, hot=farms, **join)
+    parents = settle(pedigree(lineage))
+    df = joins.lookup_join(df, parents, ["CATTLE_NO"], "left", joins.hot_keys(base, ["CATTLE_NO"]), **join)
+    bred = base.select("CATTLE_NO", FARM).join(parents, "CATTLE_NO", "left")
     for key, means in statistics.items():
-        df = joins.lookup_join(df, settle(means), [key], "left", **join)
+        df = joins.lookup_join(df, settle(means), [key], "left", joins.hot_keys(bred, [key]), **join)
     return df
