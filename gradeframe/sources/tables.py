@@ -9,19 +9,28 @@ from pyspark.sql import types as T
 
 from gradeframe.functions.clean import iso_date
 
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema from ``name type`` pairs, without needing a session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
+
+
 # Column names and types of the five input tables.
-FACT = T.StructType.fromDDL(
+FACT = _schema(
     "sido string, sigungu string, eupmyeondong string, stn int, ABATT_DATE date, JUDGE_DATE date, "
     "JUDGE_SEX string, WEIGHT int, BACKFAT double, REA double, WINDEX double, WGRADE string, INSFAT double, "
     "YUKSAK double, FATSAK double, TISSUE double, GROWTH double, COST_AMT double, AGE int, BIRTH_YMD int, "
     "CATTLE_NO string, FARM_UNIQUE_NO string, LAST_GRADE string"
 )
-WEATHER = T.StructType.fromDDL(
+WEATHER = _schema(
     "stn int, date date, ta_max double, rn_day double, ta_min double, rhm_avg double, ws_davg double"
 )
-AREA = T.StructType.fromDDL("FARM_UNIQUE_NO string, C2023 double, C2024 double, C2025 double, AREA double")
-DEATH = T.StructType.fromDDL("FARM_UNIQUE_NO string, BIRTH_YMD int, DEAD_YMD int, DEAD_REASON string")
-LINEAGE = T.StructType.fromDDL(
+AREA = _schema("FARM_UNIQUE_NO string, C2023 double, C2024 double, C2025 double, AREA double")
+DEATH = _schema("FARM_UNIQUE_NO string, BIRTH_YMD int, DEAD_YMD int, DEAD_REASON string")
+LINEAGE = _schema(
     "CATTLE_NO string, KPN_NO string, FATHER_CATTLE_NO string, MOTHER_ANIMAL_NO string, "
     "F_GMOTHER_ANIMAL_NO string, F_GFATHER_CATTLE_NO string, M_GMOTHER_ANIMAL_NO string, M_GFATHER_CATTLE_NO string"
 )
