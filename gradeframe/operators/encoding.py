@@ -86,11 +86,14 @@ def with_leave_one_out(
 
 
 def fold_totals(df: DataFrame, key: str, target: str, fold: str, k: int) -> DataFrame:
-    """Per key: target sum and count over all rows and within each fold."""
-    fields = [F.sum(target).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_rows")]
-    for i in range(k):
-        mine = F.when(F.col(fold) == i, F.col(target))
-        fields += [F.coalesce(F.sum(mine), F.lit(0)).alias(f"_s{i}"), F.count(mine).alias(f"_c{i}")]
+    """Per key: target sum, sum of squares and count, over all rows and within each fold."""
+    x = F.col(target).cast("double")
+    fields = [F.count(F.lit(1)).alias("_rows")]
+    for name, mine in [("", x), *[(str(i), F.when(F.col(fold) == i, x)) for i in range(k)]]:
+        fields += [
+            F.coalesce(F.sum(mine), F.lit(0.0)).alias(f"_s{name}"),
+            F.coalesce(F.sum(mine * mine), F.lit(0.0)).alias(f"_q{name}"), F.count(mine).alias(f"_c{name}"),
+        ]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*fields)
 
 
@@ -98,18 +101,19 @@ def with_fold_encoding(df: DataFrame, key: str, target: str, fold: str, k: int,
     """Encodings that never see the rows they are validated on, one set per fold.
 
     For fold ``i``: ``<prefix>_<i>`` is the mean over the other folds for rows of
-    fold ``i``, and the leave-one-out mean over those other folds for the rest.
-    One aggregate and one join serve all folds.
+    fold ``i``, and the leave-one-out mean over those other folds for the rest;
+    ``<prefix>_cnt_<i>`` and ``<prefix>_std_<i>`` are the count and the sample
+    deviation over the other folds. One aggregate and one join serve all folds.
     """
     totals = settle(fold_totals(df, key, target, fold, k))
     out = lookup_join(df, totals.drop("_rows"), [key], "left", heavy_groups(totals, [key], "_rows"), **join)
     added = {}
     for i in range(k):
-        s, c = F.col("_s") - F.col(f"_s{i}"), F.col("_c") - F.col(f"_c{i}")
-        held = F.try_divide(s.cast("double"), c)
+        s, q, c = (F.col(f"_{x}") - F.col(f"_{x}{i}") for x in "sqc")
         own = (s - F.col(target)) / F.when(c > 1, c - 1).otherwise(1)
-        inside = F.col(fold) == i
-        added[f"{prefix}_{i}"] = F.when(inside, held).otherwise(own)
+        spread = F.try_divide(q - F.try_divide(s * s, c), c - 1)
+        added[f"{prefix}_{i}"] = F.when(F.col(fold) == i, F.try_divide(s, c)).otherwise(own)
         added[f"{prefix}_cnt_{i}"] = F.coalesce(c, F.lit(0))
-    helper = ["_s", "_c"] + [f"_{x}{i}" for i in range(k) for x in "sc"]
+        added[f"{prefix}_std_{i}"] = F.when(c > 1, F.sqrt(F.when(spread > 0, spread).otherwise(0.0)))
+    helper = [f"_{x}{i}" for i in ["", *range(k)] for x in "sqc"]
     return out.withColumns(added).drop(*helper)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.clean import is_member
 from gradeframe.operators.joins import attach, lookup_join
-from gradeframe.operators.quantiles import quantiles_wide
+from gradeframe.operators.quantiles import DIRECT_ROWS, quantiles_wide
 from gradeframe.session import settle
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -111,10 +111,16 @@ def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> Dat
             F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         ))
-    base = df.agg(F.array(*moments).alias("_m")).select(F.inline("_m"))
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    long = df.select(F.inline(F.array(*pairs)))
-    quart = quantiles_wide(long, "value", QUARTILES, ["column"], approx)
+    base = settle(df.agg(F.array(*moments).alias("_m")).select(F.inline("_m")))
+    valid = base.agg(F.sum("n")).first()[0]
+    if valid <= DIRECT_ROWS and not approx:
+        # All values of all columns fit one buffer, so one more aggregate will do.
+        at = [F.struct(F.lit(c).alias("column"), F.percentile(_clean(c), list(QUARTILES.values())).alias("_p")) for c in columns]
+        picked = df.agg(F.array(*at).alias("_m")).select(F.inline("_m"))
+        quart = picked.select("column", *[F.get("_p", F.lit(i)).alias(q) for i, q in enumerate(QUARTILES)])
+    else:
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+        quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx, direct_rows=0)
     # Both sides have one row per described column.
     return base.join(quart, "column", "left").select("column", "n", "mean", "std", "min", *QUARTILES, "max")
 
@@ -126,12 +132,18 @@ def group_size_summary(df: DataFrame, key: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete correlation matrix in long form, from one aggregate."""
+    """Pairwise-complete correlation matrix in long form, from one aggregate.
+
+    A column that is constant over a pair's rows gives NULL; the built-in
+    correlation would fail on it in ANSI mode.
+    """
     n = len(columns)
     cells = {}
     for i in range(n):
         for j in range(i, n):
-            cells[i, j] = F.corr(_clean(columns[i]), _clean(columns[j])).alias(f"c{i}_{j}")
+            a, b = _clean(columns[i]), _clean(columns[j])
+            spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
+            cells[i, j] = F.try_divide(F.regr_sxy(a, b), spread).alias(f"c{i}_{j}")
     row = df.agg(*cells.values())
     out = [
         F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"),

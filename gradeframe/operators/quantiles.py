@@ -37,7 +37,8 @@ def _bucketed(rows: DataFrame, cuts: int) -> DataFrame:
     low, high = F.get(edges, F.col("_s")), F.get(edges, F.col("_s") + 1)
     part = F.coalesce(F.floor(F.try_divide(v - low, high - low) * SUB_BUCKETS), F.lit(0))
     bucket = F.col("_s").cast("long") * SUB_BUCKETS + F.least(part, F.lit(SUB_BUCKETS - 1))
-    return rows.withColumn("_b", bucket).drop("_s", "_edges")
+    # Never NULL, so that joins on it need no null check of the whole expression.
+    return rows.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("long"))).drop("_s", "_edges")
 
 
 def _largest_group(rows: DataFrame, by: Sequence[str]) -> int:
@@ -121,9 +122,12 @@ def quantiles(
     return picked.select(*by, "probability", value_out.alias("value"))
 
 
-def quantiles_wide(df: DataFrame, value: str, named: Mapping[str, float], by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+def quantiles_wide(
+    df: DataFrame, value: str, named: Mapping[str, float], by: Sequence[str] = (), approx: bool = False,
+    direct_rows: int | None = None,
+) -> DataFrame:
     """One row per group with a column per named quantile."""
-    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx)
+    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx, direct_rows=direct_rows)
     columns = [F.max(F.when(F.col("probability") == F.lit(float(p)), F.col("value"))).alias(n) for n, p in named.items()]
     return long.groupBy(*by).agg(*columns)
 

@@ -55,7 +55,7 @@ def feature_matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str],
     return assembler.transform(plain).select(*keep, "features")
 
 
-def _labelled(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
+def with_classes(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
     """Attach the class list to the label, so every model knows all classes."""
     attributes = {"ml_attr": {"type": "nominal", "name": "label", "vals": list(classes)}}
     return df.withColumn("label", F.col(label).cast("double").alias("label", metadata=attributes))
@@ -109,11 +109,11 @@ def cross_validate(
     held, scores, models = [], [], []
     for i in range(k):
         columns = [f"{per_fold[c]}_{i}" if per_fold and c in per_fold else c for c in features]
-        data = _labelled(feature_matrix(df, columns, [key, fold, label]), label, classes)
+        data = with_classes(feature_matrix(df, columns, [key, fold, label]), label, classes)
 
         def fit(data=data, i=i):
             train, valid = weighted(data.filter(F.col(fold) != i), "label"), data.filter(F.col(fold) == i)
-            train = _labelled(train, "label", classes).cache()
+            train = with_classes(train, "label", classes).cache()
             try:
                 return choose_trees(train, valid, params, keep, classes)[0]
             finally:
@@ -140,8 +140,8 @@ def fit_all(
     """Fit on every row with a fixed forest size."""
 
     def fit():
-        data = weighted(_labelled(feature_matrix(df, features, [key, label]), label, classes), "label")
-        return params.forest(trees).fit(_labelled(data, "label", classes))
+        data = weighted(with_classes(feature_matrix(df, features, [key, label]), label, classes), "label")
+        return params.forest(trees).fit(with_classes(data, "label", classes))
 
     if store is None:
         return fit()

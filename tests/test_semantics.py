@@ -116,6 +116,9 @@ def test_pairwise_correlation(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in profile.correlations(df, ["a", "b"]).collect()}
     assert got["a", "b"] == got["b", "a"] == pytest.approx(0.654654, abs=1e-6)
     assert got["a", "a"] == pytest.approx(1.0)
+    flat = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "a double, b double")
+    got = {(r["a"], r["b"]): r["corr"] for r in profile.correlations(flat, ["a", "b"]).collect()}
+    assert got["a", "b"] is None and got["b", "b"] is None and got["a", "a"] == pytest.approx(1.0)
 
 
 def test_first_argmax_wins(spark):
