@@ -189,12 +189,13 @@ def column_concat(spark, sf):
 
 
 @query("""SELECT o_orderkey AS animal, o_totalprice AS weight,
-           CASE WHEN o_orderkey % 7 = 0 THEN '등외' ELSE o_orderstatus END AS grade FROM orders""")
+           CASE WHEN o_orderpriority = '5-LOW' THEN '등외' ELSE o_orderstatus END AS grade FROM orders""")
 def aligned_predictions(spark, sf):
     """Every original row with its prediction; rows without one get the default class."""
     orders = roles.table(spark, sf, "orders").select(F.col("o_orderkey").alias("animal"), F.col("o_totalprice").alias("weight"), F.lit("?").alias("grade"))
-    predicted = roles.table(spark, sf, "orders").select(F.col("o_orderkey").alias("animal"), F.col("o_orderstatus").alias("grade"))
-    return joins.align_predictions(orders, predicted.filter("animal % 7 <> 0"), ["animal"], "grade", domain.OUTSIDE)
+    scored = roles.table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'")
+    predicted = scored.select(F.col("o_orderkey").alias("animal"), F.col("o_orderstatus").alias("grade"))
+    return joins.align_predictions(orders, predicted, ["animal"], "grade", domain.OUTSIDE)
 
 
 @query("""SELECT o_orderstatus AS part, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS BIGINT) AS only_f FROM orders

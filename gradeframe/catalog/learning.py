@@ -325,6 +325,9 @@ def stacked_classes(spark, sf):
     other = training.ForestParams(tree_grid=(5,), depth=3, min_rows=5, bins=32, seed=7)
     votes = [settle(_cross_validated(df, classes, "quality", p).predictions) for p in (PARAMS, other)]
     matrix = training.stacked_matrix(votes, "animal", votes[0].select("animal", "fold", "label"))
-    labelled = training.weighted(training.with_classes(matrix, "label", classes), "label")
-    model = PARAMS.forest(5).fit(training.with_classes(labelled.filter("fold = 0"), "label", classes))
-    return training.score(model, labelled.filter("fold = 1"), ["animal", "label"], classes).select("animal", "label", "predicted_class")
+    labelled = settle(training.weighted(training.with_classes(matrix, "label", classes), "label"))
+    parts = []
+    for held in (0, 1):
+        model = PARAMS.forest(5).fit(training.with_classes(labelled.filter(F.col("fold") != held), "label", classes))
+        parts.append(training.score(model, labelled.filter(F.col("fold") == held), ["animal", "label"], classes))
+    return joins.stack_rows(*parts).select("animal", "label", "predicted_class")

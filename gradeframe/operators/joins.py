@@ -18,8 +18,12 @@ HOT_SHARE = 1e-3
 SPREAD = 4096
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Row count and in-memory size of a table, from one aggregate job."""
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether a table takes at most ``limit`` bytes in memory.
+
+    Rows are counted first, which for a file scan only reads footers; text is
+    measured only when the row count alone does not settle it.
+    """
     fixed, variable = 16, []
     for f in df.schema:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -30,9 +34,11 @@ def measure(df: DataFrame) -> tuple[int, int]:
             fixed += 32
         else:
             fixed += 8
-    text = reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), variable, F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(text).alias("b")).first()
-    return row["n"], row["n"] * fixed + (row["b"] or 0)
+    size = df.count() * fixed
+    if size > limit or not variable:
+        return size <= limit
+    text = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in variable])
+    return size + (df.agg(F.sum(text)).first()[0] or 0) <= limit
 
 
 def _all_present(columns: Sequence[str]) -> Column:
@@ -72,7 +78,7 @@ def lookup_join(
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join supports left and inner, not {how}")
     on = list(on)
-    if measure(lookup)[1] <= broadcast_bytes:
+    if fits(lookup, broadcast_bytes):
         return fact.join(F.broadcast(lookup), on, how)
     return _spread_join(fact, lookup, on, how, hot_keys(fact, on) if hot is None else hot)
 
