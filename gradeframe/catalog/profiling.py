@@ -127,7 +127,7 @@ _PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def exact_quantiles(spark, sf):
     """The counted-bucket way on purpose, so that it is compared on whole tables."""
     df = roles.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    return _rounded(quantiles.quantiles(df, "l_extendedprice", _PROBS, ["flag"], direct_rows=0), ["value"])
+    return _rounded(quantiles.quantiles(df, "l_extendedprice", _PROBS, ["flag"], direct_values=0), ["value"])
 
 
 _CORR = ["l_quantity", "l_extendedprice", "disc", "tax", "l_linenumber"]

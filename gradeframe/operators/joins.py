@@ -95,7 +95,10 @@ def _spread_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str, ho
     # The partition number spreads even identical rows and is the same on a retry.
     spot = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
     marked = marked.withColumn("_salt", F.when(apart, spot).otherwise(0))
-    cold = lookup.select(*on, values.alias("_w"), F.lit(0).alias("_salt"))
+    # Always 0, but not a literal: the optimizer would fold that one out of the
+    # join key, and the rows would be shuffled by the key alone.
+    zero = F.pmod(F.hash(*on), F.lit(1))
+    cold = lookup.select(*on, values.alias("_w"), zero.alias("_salt"))
     joined = marked.join(cold, [*on, "_salt"], "left").withColumn("_v", F.coalesce("_v", "_w"))
     if how == "inner":
         joined = joined.filter("_v._found")

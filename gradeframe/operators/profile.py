@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.clean import is_member
 from gradeframe.operators.joins import attach, lookup_join
-from gradeframe.operators.quantiles import DIRECT_ROWS, quantiles_wide
+from gradeframe.operators.quantiles import DIRECT_VALUES, quantiles_wide
 from gradeframe.session import settle
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -110,17 +110,17 @@ def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> Dat
         moments.append(F.struct(
             F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.approx_count_distinct(v).alias("_d"),
         ))
     base = settle(df.agg(F.array(*moments).alias("_m")).select(F.inline("_m")))
-    valid = base.agg(F.sum("n")).first()[0]
-    if valid <= DIRECT_ROWS and not approx:
-        # All values of all columns fit one buffer, so one more aggregate will do.
+    if base.agg(F.sum("_d")).first()[0] <= DIRECT_VALUES and not approx:
+        # The distinct values of all columns fit one buffer, so one more aggregate will do.
         at = [F.struct(F.lit(c).alias("column"), F.percentile(_clean(c), list(QUARTILES.values())).alias("_p")) for c in columns]
         picked = df.agg(F.array(*at).alias("_m")).select(F.inline("_m"))
         quart = picked.select("column", *[F.get("_p", F.lit(i)).alias(q) for i, q in enumerate(QUARTILES)])
     else:
         pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-        quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx, direct_rows=0)
+        quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx, direct_values=0)
     # Both sides have one row per described column.
     return base.join(quart, "column", "left").select("column", "n", "mean", "std", "min", *QUARTILES, "max")
 

@@ -1,7 +1,7 @@
 """Exact quantiles that never gather a large group in one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, so it is
-used only when every group is counted and small. Beyond that a sketch proposes
+used only when every group has few of them. Beyond that a sketch proposes
 cut points; the rows are counted per bucket between those cuts, which is exact
 whatever the sketch said, and only the few buckets that hold a wanted rank are
 ranked value by value.
@@ -18,9 +18,9 @@ from gradeframe.session import settle
 
 SKETCH_ACCURACY = 10_000
 SUB_BUCKETS = 256
-# Largest group ``percentile`` may buffer: one global buffer, or one of many.
-DIRECT_ROWS = 1_000_000
-DIRECT_GROUP_ROWS = 100_000
+# Most distinct values ``percentile`` may buffer: in one global buffer, or in one of many.
+DIRECT_VALUES = 1_000_000
+DIRECT_GROUP_VALUES = 100_000
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -41,8 +41,13 @@ def _bucketed(rows: DataFrame, cuts: int) -> DataFrame:
     return rows.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("long"))).drop("_s", "_edges")
 
 
-def _largest_group(rows: DataFrame, by: Sequence[str]) -> int:
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+def _most_distinct(rows: DataFrame, by: Sequence[str]) -> int:
+    """Largest estimated number of distinct values in a group.
+
+    Distinct values are what ``percentile`` buffers, so measures on a short
+    scale stay with it at any row count. The estimate picks a way, not a result.
+    """
+    sizes = rows.groupBy(*by).agg(F.approx_count_distinct("_v").alias("_n"))
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
@@ -53,18 +58,18 @@ def quantiles(
     by: Sequence[str] = (),
     approx: bool = False,
     accuracy: int = SKETCH_ACCURACY,
-    direct_rows: int | None = None,
+    direct_values: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, long form.
 
     Returns ``by`` columns, ``probability`` and ``value``. NULL and NaN values
     and NULL group keys are left out. ``approx`` returns the sketch's answer.
-    Groups of at most ``direct_rows`` rows use the built-in aggregate.
+    Groups of at most ``direct_values`` distinct values use the built-in aggregate.
     """
     by, probs = list(by), [float(p) for p in probabilities]
     rows = _values(df, value, by)
-    limit = direct_rows if direct_rows is not None else (DIRECT_GROUP_ROWS if by else DIRECT_ROWS)
-    if approx or _largest_group(rows, by) <= limit:
+    limit = direct_values if direct_values is not None else (DIRECT_GROUP_VALUES if by else DIRECT_VALUES)
+    if approx or _most_distinct(rows, by) <= limit:
         pick = F.approx_percentile("_v", probs, accuracy) if approx else F.percentile("_v", probs)
         wide = rows.groupBy(*by).agg(pick.alias("_p"))
         pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("probability"), F.col("_p").alias("value"))
@@ -124,10 +129,10 @@ def quantiles(
 
 def quantiles_wide(
     df: DataFrame, value: str, named: Mapping[str, float], by: Sequence[str] = (), approx: bool = False,
-    direct_rows: int | None = None,
+    direct_values: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per named quantile."""
-    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx, direct_rows=direct_rows)
+    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx, direct_values=direct_values)
     columns = [F.max(F.when(F.col("probability") == F.lit(float(p)), F.col("value"))).alias(n) for n, p in named.items()]
     return long.groupBy(*by).agg(*columns)
 

@@ -50,6 +50,7 @@ def read_inputs(spark: SparkSession, folder: str, train: str, scoring: str, weat
 def fold_features(inputs: Inputs, lookups: grading.Lookups, key: str, folds: int, weather_start: str) -> DataFrame:
     """Training features, fold numbers and the encodings of every fold."""
     df = grading.training_features(inputs.train, lookups, weather_start)
+    df = df.select(key, grading.FARM, "grade_score", "label", *grading.FEATURES)
     df = sampling.stratified_folds(df, [key], "label", folds)
     return encoding.with_fold_encoding(df, grading.FARM, "grade_score", "fold", folds, "farm_grade")
 

@@ -6,6 +6,25 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Session settings to run the feature plans with. They are about a hundred
+# columns wide: code generation must not stop at that width, and a generated
+# method beyond 8000 bytes is never compiled by the JVM, so Spark should fall
+# back to its split projections there.
+SETTINGS = {
+    "spark.sql.codegen.maxFields": "200",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
+def with_settings(builder):
+    """Apply the settings to a session builder."""
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return builder
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's own, else a local one for tests."""

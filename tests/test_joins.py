@@ -39,13 +39,19 @@ def test_hot_key_without_a_match(spark, skewed):
         assert content(joins.lookup_join(fact, lookup, ["k"], how)) == content(joins.lookup_join(fact, lookup, ["k"], how, broadcast_bytes=0))
 
 
-def test_no_task_of_the_spread_join_gets_the_hot_key(spark, skewed):
+def test_hot_and_missing_keys_are_spread_over_tasks(spark, skewed):
     fact, lookup = skewed
-    hot = spark.createDataFrame([("hot",)], "k string")
-    marked = joins._spread_join(fact.repartition(64), lookup, ["k"], "left", hot)
-    plan = marked._jdf.queryExecution().analyzed().toString()
-    assert "_salt" in plan
-    assert content(marked) == content(joins.lookup_join(fact, lookup, ["k"], "left"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.lookup_join(fact.repartition(64), lookup, ["k"], "left", broadcast_bytes=0)
+        places = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == "hot").alias("h"))
+        got = places.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["h"] for r in got) == 1000
+    assert max(r["h"] for r in got) < 400
+    plain = fact.groupBy(F.hash("k") % 8).count().agg(F.max("count")).first()[0]
+    assert max(r["n"] for r in got) < plain
 
 
 def test_hot_keys_are_bounded_by_their_share(skewed):
