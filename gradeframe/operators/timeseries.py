@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradeframe.functions.clean import clip_lower
 from gradeframe.operators.joins import heavy_groups, lookup_join
-from gradeframe.session import settle
+from gradeframe.session import settle, spread
 
 ONE_MONTH = "interval 1 month"
 ONE_DAY = "interval 1 day"
@@ -65,10 +65,11 @@ def interval_table(
     and the keys, not by the fact rows.
     """
     span_key = [*keys, "_from", "_to"]
-    intervals = settle(
+    intervals = (
         _spans(fact, start, end, floor).dropna(subset=span_key).groupBy(*span_key).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    months = intervals.withColumn("month", F.explode(F.sequence("_from", "_to", F.expr(ONE_MONTH))))
+    # The final aggregate keeps this partitioning, so it adds no shuffle of the expanded rows.
+    months = spread(intervals, span_key).withColumn("month", F.explode(F.sequence("_from", "_to", F.expr(ONE_MONTH))))
     covered = lookup_join(months, monthly, [*keys, "month"], "left", **join)
     return settle(covered.groupBy(*span_key).agg(*aggregates, F.first("_rows").alias("_rows")))
 
@@ -107,7 +108,7 @@ def preceding_days(
     per_day = daily.dropna(subset=[*keys, date]).groupBy(*keys, F.col(date).alias("_d")).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()]
     )
-    forward = per_day.withColumn(
+    forward = spread(per_day, [*keys, "_d"]).withColumn(
         "_at", F.explode(F.sequence(F.date_add("_d", 1), F.date_add("_d", days), F.expr(ONE_DAY)))
     )
     rolled = settle(forward.groupBy(*keys, "_at").agg(*[F.sum(n).alias(n) for n in sums]))
@@ -132,7 +133,7 @@ def interval_daily_sums(
     )
     ends = settle(per_day.groupBy(*keys).agg(F.min("_d").alias("_min"), F.max("_d").alias("_max")))
     # One row per key and calendar day, so each window is bounded by the calendar.
-    spine = ends.select(
+    spine = spread(ends, keys).select(
         *keys, F.explode(F.sequence(F.date_sub("_min", 1), F.col("_max"), F.expr(ONE_DAY))).alias("_d")
     )
     running = W.partitionBy(*keys).orderBy("_d").rowsBetween(W.unboundedPreceding, 0)

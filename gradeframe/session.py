@@ -7,11 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Session settings to run the feature plans with. They are about a hundred
-# columns wide: code generation must not stop at that width, and a generated
-# method beyond 8000 bytes is never compiled by the JVM, so Spark should fall
-# back to its split projections there.
+# columns wide, and a generated method beyond 8000 bytes is never compiled by
+# the JVM, so Spark should fall back to its split projections there.
 SETTINGS = {
-    "spark.sql.codegen.maxFields": "200",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -47,3 +45,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute a reduced table once and cut its lineage, so later uses only read it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, columns) -> DataFrame:
+    """Hash-partition a small table over many tasks before its rows multiply.
+
+    Adaptive execution merges small partitions but keeps a requested number, so
+    the rows an explode makes of them stay on all tasks. The number differs
+    from the session's, because Spark drops a repartition that merely repeats
+    the partitioning of the aggregate below it.
+    """
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    return df.repartition(number, *columns)
