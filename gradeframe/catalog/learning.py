@@ -238,7 +238,8 @@ def baseline_features(spark, sf):
     """The baseline feature plan; its target statistics are compared."""
     fact, daily, area, death, lineage = domain_tables(spark, sf)
     lookups = grading.lookups(daily, area, death, base=True)
-    df = grading.baseline_features(fact, lookups, lineage, grading.target_statistics(fact, lineage))
+    parents = grading.pedigree(lineage)
+    df = grading.baseline_features(fact, lookups, parents, grading.target_statistics(fact, parents))
     names = ["father_insfat", "kpn_insfat", "farm_insfat", "farm_backfat"]
     return df.select("animal", *[stable_round(F.col(c), 4).alias(c) for c in names])
 

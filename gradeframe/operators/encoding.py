@@ -66,7 +66,7 @@ def apply_leave_one_out(
     count = F.col(f"{prefix}_cnt")
     loo = (F.col("_sum") - F.col(target)) / F.when(count > 1, count - 1).otherwise(1)
     alone = {"zero": loo, "null": F.lit(None).cast("double"), "prior": F.lit(prior).cast("double")}[singleton]
-    hot = heavy_groups(table, [key], "_rows")
+    hot = lambda: heavy_groups(table, [key], "_rows")
     out = lookup_join(df, table.drop("_rows"), [key], "left", hot, **join)
     return out.withColumn(f"{prefix}_loo", F.when(count <= 1, alone).otherwise(loo)).drop("_sum")
 
@@ -106,7 +106,8 @@ def with_fold_encoding(df: DataFrame, key: str, target: str, fold: str, k: int,
     deviation over the other folds. One aggregate and one join serve all folds.
     """
     totals = settle(fold_totals(df, key, target, fold, k))
-    out = lookup_join(df, totals.drop("_rows"), [key], "left", heavy_groups(totals, [key], "_rows"), **join)
+    hot = lambda: heavy_groups(totals, [key], "_rows")
+    out = lookup_join(df, totals.drop("_rows"), [key], "left", hot, **join)
     added = {}
     for i in range(k):
         s, q, c = (F.col(f"_{x}") - F.col(f"_{x}{i}") for x in "sqc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,14 +62,14 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a fact table to a lookup that is unique on ``on``.
 
     The lookup is measured first. Within ``broadcast_bytes`` it is broadcast and
     the fact table does not move. Beyond that the two are shuffled together,
-    except that hot keys (``hot``, or counted from the fact) take their values
+    except that hot keys (made by ``hot``, or counted from the fact) take their values
     from a broadcast of just those keys; rows of a hot or NULL key are then
     spread over all tasks, so no task receives a heavy key. The fact table is
     read once either way, and both ways return the same rows. NULL keys never
@@ -80,7 +80,7 @@ def lookup_join(
     on = list(on)
     if fits(lookup, broadcast_bytes):
         return fact.join(F.broadcast(lookup), on, how)
-    return _spread_join(fact, lookup, on, how, hot_keys(fact, on) if hot is None else hot)
+    return _spread_join(fact, lookup, on, how, hot_keys(fact, on) if hot is None else hot())
 
 
 def _spread_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str, hot: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def apply_interval_table(
     fact: DataFrame, table: DataFrame, keys: Sequence[str], start: str, end: str, floor: Column | None = None, **join,
 ) -> DataFrame:
     span_key = [*keys, "_from", "_to"]
-    hot = heavy_groups(table, span_key, "_rows")
+    hot = lambda: heavy_groups(table, span_key, "_rows")
     spans = _spans(fact, start, end, floor)
     return lookup_join(spans, table.drop("_rows"), span_key, "left", hot, **join).drop("_from", "_to")
 

@@ -107,6 +107,10 @@ def with_farm(df: DataFrame, farms: DataFrame, **join) -> DataFrame:
     return out.withColumn("death_rate", clean.smoothed_death_rate(F.col("death_cnt"), F.col("avg_cattle")))
 
 
+def _hot_months(base: DataFrame, date: str) -> DataFrame:
+    return joins.hot_keys(base.select("stn", F.trunc(date, "MM").alias("month")), ["stn", "month"])
+
+
 def rearing_table(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
     """Rearing weather of every distinct (station, birth month, slaughter month)."""
     return timeseries.interval_table(
@@ -127,13 +131,13 @@ def common_features(
     """
     floor = F.lit(weather_start).cast("date")
     rearing = rearing_table(base, tables, weather_start, **join)
-    months = lambda date: joins.hot_keys(base.select("stn", F.trunc(date, "MM").alias("month")), ["stn", "month"])
+    hot_months = lambda date: lambda: _hot_months(base, date)
     df = with_interactions(with_row_features(fact))
     shifted = settle(timeseries.lagged_lookup(tables.monthly, ["stn"], "month", LAGS))
-    df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", hot=months("ABATT_DATE"), **join)
+    df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", hot=hot_months("ABATT_DATE"), **join)
     birth = clean.with_prefix(tables.monthly, "b_", ["stn", "month"])
-    df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", hot=months("BIRTH_YMD"), **join)
-    df = with_farm(df, tables.farms, hot=joins.hot_keys(base, [FARM]), **join)
+    df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", hot=hot_months("BIRTH_YMD"), **join)
+    df = with_farm(df, tables.farms, hot=lambda: joins.hot_keys(base, [FARM]), **join)
     return timeseries.apply_interval_table(df, rearing, ["stn"], "BIRTH_YMD", "ABATT_DATE", floor, **join)
 
 
@@ -166,43 +170,42 @@ def scoring_features(
     encoding. All three statistics come from one join.
     """
     base = typed_fact(fact).drop("LAST_GRADE")
-    df = encoding.apply_encoding(base, encodings, FARM, "farm_grade", hot=joins.hot_keys(base, [FARM]), **join)
+    df = encoding.apply_encoding(base, encodings, FARM, "farm_grade", hot=lambda: joins.hot_keys(base, [FARM]), **join)
     df = df.withColumn("farm_grade_loo", F.col("farm_grade_mean"))
     mean = with_target(training).select(F.col("grade_score").alias("farm_grade_mean"))
     df = clean.fill_with_mean(df, "farm_grade_mean", mean)
     return common_features(df, base, tables, weather_start, **join)
 
 
-def target_statistics(train: DataFrame, lineage: DataFrame, **join) -> dict[str, DataFrame]:
+def pedigree(lineage: DataFrame) -> DataFrame:
+    """One sire and strain per animal, settled because several joins read it."""
+    columns = ["CATTLE_NO", "FATHER_CATTLE_NO", "KPN_NO"]
+    return settle(joins.unique_lookup(lineage.select(*columns), ["CATTLE_NO"], columns[1:]))
+
+
+def target_statistics(train: DataFrame, parents: DataFrame, **join) -> dict[str, DataFrame]:
     """Baseline encodings: marbling mean per sire and strain, both means per farm."""
     measured = clean.null_if_sentinel(train.select("CATTLE_NO", FARM, "INSFAT", "BACKFAT"), ["INSFAT", "BACKFAT"])
-    bred = joins.lookup_join(measured, pedigree(lineage), ["CATTLE_NO"], "left", **join)
-    return {
+    bred = joins.lookup_join(measured, parents, ["CATTLE_NO"], "left", **join)
+    means = {
         "FATHER_CATTLE_NO": encoding.target_means(bred, "FATHER_CATTLE_NO", {"father_insfat": "INSFAT"}, True),
         "KPN_NO": encoding.target_means(bred, "KPN_NO", {"kpn_insfat": "INSFAT"}, True),
         FARM: encoding.target_means(measured, FARM, {"farm_insfat": "INSFAT", "farm_backfat": "BACKFAT"}),
     }
+    return {key: settle(table) for key, table in means.items()}
 
 
-def pedigree(lineage: DataFrame) -> DataFrame:
-    """One sire and strain per animal."""
-    columns = ["CATTLE_NO", "FATHER_CATTLE_NO", "KPN_NO"]
-    return joins.unique_lookup(lineage.select(*columns), ["CATTLE_NO"], columns[1:])
-
-
-def baseline_features(fact: DataFrame, tables: Lookups, lineage: DataFrame, statistics: dict[str, DataFrame], **join) -> DataFrame:
+def baseline_features(fact: DataFrame, tables: Lookups, parents: DataFrame, statistics: dict[str, DataFrame], **join) -> DataFrame:
     """Baseline rows: slaughter and birth month weather, farm, sire and strain means."""
     base = typed_fact(fact)
     df = with_row_features(base)
     for prefix, date in (("s_", "ABATT_DATE"), ("b_", "BIRTH_YMD")):
-        months = base.select("stn", F.trunc(date, "MM").alias("month"))
         renamed = clean.with_prefix(tables.monthly, prefix, ["stn", "month"])
-        df = timeseries.month_join(df, renamed, ["stn"], date, hot=joins.hot_keys(months, ["stn", "month"]), **join)
-    farms = joins.hot_keys(base, [FARM])
-    df = with_farm(df, tables.farms, hot=farms, **join)
-    parents = settle(pedigree(lineage))
-    df = joins.lookup_join(df, parents, ["CATTLE_NO"], "left", joins.hot_keys(base, ["CATTLE_NO"]), **join)
-    bred = base.select("CATTLE_NO", FARM).join(parents, "CATTLE_NO", "left")
+        hot = lambda date=date: _hot_months(base, date)
+        df = timeseries.month_join(df, renamed, ["stn"], date, hot=hot, **join)
+    df = with_farm(df, tables.farms, hot=lambda: joins.hot_keys(base, [FARM]), **join)
+    df = joins.lookup_join(df, parents, ["CATTLE_NO"], "left", lambda: joins.hot_keys(base, ["CATTLE_NO"]), **join)
     for key, means in statistics.items():
-        df = joins.lookup_join(df, settle(means), [key], "left", joins.hot_keys(bred, [key]), **join)
+        bred = lambda: base.select("CATTLE_NO", FARM).join(parents, "CATTLE_NO", "left")
+        df = joins.lookup_join(df, means, [key], "left", lambda key=key: joins.hot_keys(bred(), [key]), **join)
     return df

@@ -97,10 +97,11 @@ def baseline_run(
     picked = sampling.stratified_sample(inputs.train, [key], LABEL, sample)
     split = settle(sampling.stratified_holdout(picked, [key], LABEL, 0.2))
     fitted_on = split.filter(~F.col("is_validation"))
-    statistics = {k: settle(v) for k, v in grading.target_statistics(fitted_on, inputs.lineage).items()}
+    parents = grading.pedigree(inputs.lineage)
+    statistics = grading.target_statistics(fitted_on, parents)
 
     def matrix(df: DataFrame, keep: list[str]) -> DataFrame:
-        rows = grading.baseline_features(df, lookups, inputs.lineage, statistics)
+        rows = grading.baseline_features(df, lookups, parents, statistics)
         return training.feature_matrix(rows, grading.BASELINE_FEATURES, keep)
 
     data = settle(matrix(grading.with_target(split).drop("grade_score"), [key, "label", "is_validation"]))

@@ -71,10 +71,11 @@ def test_scoring_has_every_training_feature(spark, sf):
 
 def test_baseline_plan_has_its_features(spark, sf):
     fact, daily, area, death, lineage = learning.domain_tables(spark, sf)
-    statistics = grading.target_statistics(fact, lineage)
+    parents = grading.pedigree(lineage)
+    statistics = grading.target_statistics(fact, parents)
     got, names = [], ["s_thi_mean", "father_insfat", "farm_backfat"]
     for limit in (joins.BROADCAST_BYTES, 0):
-        df = grading.baseline_features(fact, grading.lookups(daily, area, death, base=True), lineage, statistics, broadcast_bytes=limit)
+        df = grading.baseline_features(fact, grading.lookups(daily, area, death, base=True), parents, statistics, broadcast_bytes=limit)
         assert set(grading.BASELINE_FEATURES) <= set(df.columns)
         got.append(df.select("animal", *names).toPandas().set_index("animal").sort_index())
     pd.testing.assert_frame_equal(got[0], got[1], check_exact=False, rtol=1e-9, atol=1e-9)
