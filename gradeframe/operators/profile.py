@@ -134,23 +134,25 @@ def group_size_summary(df: DataFrame, key: str) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete correlation matrix in long form, from one aggregate.
 
-    A column that is constant over a pair's rows gives NULL; the built-in
+    Each row yields its pairs, which keeps the generated aggregate small however
+    many columns there are; pairs combine on the map side to one row each. A
+    column that is constant over a pair's rows gives NULL; the built-in
     correlation would fail on it in ANSI mode.
     """
     n = len(columns)
-    cells = {}
-    for i in range(n):
-        for j in range(i, n):
-            a, b = _clean(columns[i]), _clean(columns[j])
-            spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-            cells[i, j] = F.try_divide(F.regr_sxy(a, b), spread).alias(f"c{i}_{j}")
-    row = df.agg(*cells.values())
-    out = [
-        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"),
-                 F.col(f"c{min(i, j)}_{max(i, j)}").alias("corr"))
-        for i in range(n) for j in range(n)
+    values = df.select(*[_clean(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_c{i}").alias("x"), F.col(f"_c{j}").alias("y"))
+        for i in range(n) for j in range(i, n)
     ]
-    return row.select(F.inline(F.array(*out)))
+    spread = F.sqrt(F.regr_sxx("x", "y") * F.regr_syy("x", "y"))
+    found = values.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(
+        F.try_divide(F.regr_sxy("x", "y"), spread).alias("corr")
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    sides = F.array(F.struct(F.col("i").alias("p"), F.col("j").alias("q")), F.struct(F.col("j").alias("p"), F.col("i").alias("q")))
+    both = found.select("corr", F.inline(F.array_distinct(sides)))
+    return both.select(F.get(names, F.col("p")).alias("a"), F.get(names, F.col("q")).alias("b"), "corr")
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
