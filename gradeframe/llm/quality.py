@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradeframe.llm.text import stored
+
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -28,7 +30,7 @@ COMMON_WORDS = [
     "de", "la", "le", "et", "les", "des", "un", "que",
     "el", "y", "los", "en", "se",
 ]
-_LETTERS = "".join(chr(0x41 + i) for i in range(len(COMMON_WORDS)))
+_FORMS = [f for w in COMMON_WORDS for f in dict.fromkeys((w, w.capitalize()))]
 
 CLASSES = ["c_lower", "c_upper", "c_digit", "c_blank", "c_stop", "c_symbol", "c_other"]
 WORDS = [f"w_{i}" for i in range(len(COMMON_WORDS))] + ["w_rest"]
@@ -43,44 +45,55 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
+def _times(column: str, word: str) -> Column:
+    """How often a word stands in a string of words between spaces, also with a capital."""
+    bare = F.col(column)
+    for form in dict.fromkeys((word, word.capitalize())):
+        bare = F.replace(bare, F.lit(f" {form} "), F.lit(""))
+    return ((F.octet_length(column) - F.octet_length(bare)) / (len(word.encode()) + 2)).cast("int")
+
+
 def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """Per document: its id, language, word and line counts, and both histograms as counts."""
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit("")) if lang_column in docs.columns else F.lit("")
     df = docs.select(F.col(id_column).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    df = df.select("doc_id", "lang", "text", F.filter(F.split("text", BLANK + "+"), lambda w: w != "").alias("words"), F.length("text").alias("n_chars"))
     df = df.select(
-        "doc_id", "lang", "words", "n_chars", F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.octet_length("text") - F.octet_length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        "doc_id", "lang", F.array_remove(F.split("text", BLANK + "+"), "").alias("words"), F.length("text").alias("n_chars"),
+        # All other classes are counted on what is left without lower-case letters.
+        F.regexp_replace("text", "[a-z]+", "").alias("rest"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "").alias("lines"),
-        F.length(F.regexp_replace("text", "[a-z]+", "")).alias("not_lower"), F.length(F.regexp_replace("text", "[A-Z]+", "")).alias("not_upper"),
-        F.length(F.regexp_replace("text", "[0-9]+", "")).alias("not_digit"), (F.octet_length("text") - F.octet_length(without(F.col("text"), ".,;:!?'\"()-"))).alias("c_stop"),
-        F.array_join(F.transform(
-            F.filter("words", lambda w: F.lower(w).isin(COMMON_WORDS)),
-            lambda w: F.substring(F.lit(_LETTERS), F.array_position(F.array(*map(F.lit, COMMON_WORDS)), F.lower(w)).cast("int"), F.lit(1)),
-        ), "").alias("common"),
     )
-    hashes = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
     df = df.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(hashes, F.array().cast("array<long>")).alias("hashes"),
-        (F.col("n_chars") - F.col("not_lower")).alias("c_lower"), (F.col("n_chars") - F.col("not_upper")).alias("c_upper"), (F.col("n_chars") - F.col("not_digit")).alias("c_digit"),
-        (F.col("n_chars") - F.col("word_chars")).alias("c_blank"), "c_stop", F.col("n_symbols").alias("c_symbol"), "n_chars", "common",
-        *[(F.length("common") - F.length(F.replace("common", F.lit(c), F.lit("")))).alias(f"w_{i}") for i, c in enumerate(_LETTERS)],
+        "doc_id", "lang", "words", "n_chars", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.length("rest").alias("n_rest"), F.octet_length("rest").alias("rest_bytes"), F.octet_length(without(F.col("rest"), SYMBOLS)).alias("not_symbol"),
+        F.octet_length(without(F.col("rest"), ".,;:!?")).alias("not_stop"), F.length(F.regexp_replace("rest", "[A-Z]+", "")).alias("not_upper"), F.length(F.regexp_replace("rest", "[0-9]+", "")).alias("not_digit"),
+        # Each common word stands between two spaces, so its places can be counted by taking it out.
+        F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(_FORMS)), "  "), F.lit(" ")).alias("common"),
+    )
+    # Hashes of 2, 4, then 8 consecutive words.
+    pair = lambda column, step: F.zip_with(column, F.slice(column, step + 1, F.greatest(F.size(column) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("hashes", pair("words", 1)).withColumn("hashes", pair("hashes", 2)).withColumn("hashes", pair("hashes", 4))
+    df = df.select(
+        "doc_id", "lang", "n_words", "word_chars", (F.col("rest_bytes") - F.col("not_symbol")).cast("long").alias("n_symbols"), "n_dup_lines",
+        F.slice("hashes", 1, F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))).alias("hashes"),
+        (F.col("n_chars") - F.col("n_rest")).alias("c_lower"), (F.col("n_rest") - F.col("not_upper")).alias("c_upper"), (F.col("n_rest") - F.col("not_digit")).alias("c_digit"),
+        (F.col("n_chars") - F.col("word_chars")).alias("c_blank"), (F.col("rest_bytes") - F.col("not_stop")).alias("c_stop"), (F.col("rest_bytes") - F.col("not_symbol")).alias("c_symbol"), "n_chars",
+        *[_times("common", w).alias(f"w_{i}") for i, w in enumerate(COMMON_WORDS)],
     )
-    df = df.withColumn("c_other", F.col("n_chars") - sum(F.col(c) for c in CLASSES[:-1])).withColumn("w_rest", F.col("n_words") - F.length("common"))
+    df = df.withColumn("c_other", F.col("n_chars") - sum(F.col(c) for c in CLASSES[:-1])).withColumn("w_rest", F.col("n_words") - sum(F.col(c) for c in WORDS[:-1]))
     # Only texts with a window twice are sorted.
     ranked = F.when(
         F.size(F.array_distinct("hashes")) < F.size("hashes"),
-        F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    df = df.withColumn("ranked", ranked).drop("hashes", "common", "n_chars")
+    df = df.withColumn("ranked", ranked).drop("hashes", "n_chars")
     same = F.filter(
         F.transform("ranked", lambda x, k: F.when(
             (x["h"] == F.get("ranked", k - 1)["h"]) | (x["h"] == F.get("ranked", k + 1)["h"]), x["i"])),
         lambda i: i.isNotNull(),
     )
-    df = df.withColumn("twice", F.array_sort(same)).drop("ranked")
+    df = df.withColumn("twice", F.sort_array(same)).drop("ranked")
     covered = F.aggregate(
         F.transform("twice", lambda i, k: F.least(F.lit(WINDOW), i - F.coalesce(F.get("twice", k - 1), i - WINDOW))),
         F.lit(0).cast("long"), lambda total, n: total + n,
@@ -118,9 +131,12 @@ def apply_rules(
     a histogram (`min_chars` characters in words, `min_words` words), neither
     distance to its language is above its limit.
     """
-    counts = counted(docs, id_column, text_column, lang_column)
+    # Written once: the references and the verdicts both read it, without the texts.
+    counts = stored(counted(docs, id_column, text_column, lang_column), "quality-counts")
     refs = references(counts, min_words)
-    small = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    few = refs.limit(BROADCAST_LANGUAGES + 1).collect()
+    small = len(few) <= BROADCAST_LANGUAGES
+    refs = docs.sparkSession.createDataFrame(few, refs.schema) if small else refs
     joined = counts.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*_parts(CLASSES)).alias("classes"), F.array(*_parts(WORDS)).alias("commons"),
