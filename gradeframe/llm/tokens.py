@@ -24,8 +24,8 @@ from gradeframe.llm.text import id_and_text
 
 #: Splits text before the merges of byte-level vocabularies (published with them).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pre-tokens whose counts a worker remembers; beyond, it starts afresh.
-REMEMBERED = 300_000
+#: Distinct pre-tokens whose counts a worker remembers, the first it meets; others are merged again in each batch.
+REMEMBERED = 400_000
 
 _NONE = np.iinfo(np.int64).max
 
@@ -137,13 +137,14 @@ class TokenCounter:
             parts = self.special.split(text) if text else []
             extra.append(max(0, len(parts) - 1))
             split.append([piece for part in parts for piece in self.pattern.findall(part)])
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set().union(*split)
+        missing = list(set().union(*split).difference(self.known))
         if missing:
-            self.learn(list(missing))
-        return [sum(map(self.known.__getitem__, pieces)) + more for pieces, more in zip(split, extra)]
+            self.learn(missing)
+        found = [sum(map(self.known.__getitem__, pieces)) + more for pieces, more in zip(split, extra)]
+        if len(self.known) > REMEMBERED:
+            for piece in missing:
+                del self.known[piece]
+        return found
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
