@@ -321,4 +321,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4
     roots = classes.join(labels, "node", "left").select("key", F.coalesce(_doc_of("root"), F.col("rep")).alias("component"))
     out = marked.select("doc_id", "n_shingles", "key").join(roots, "key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns; of identical rows of it, one."""
+    kept = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    # By range of row order within an id: repeated rows are rare, and a null id stands for many documents.
+    return rows.dropDuplicates([id_column, text_column])

@@ -10,7 +10,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import classifier, decontaminate, lm, neardup, quality, repeats, tokenfile, tokens, urls
+from gradeframe.llm import classifier, decontaminate, lm, neardup, pieces, quality, repeats, tokenfile, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
 URL_RULES = [
     urls.host_rule("com", "/", "allow"), urls.host_rule("example.com", "/en/", "block"), urls.host_rule("www.example.com", "/en/", "allow"),
     urls.host_rule("net", "/es/", "block"), urls.host_rule("net", "/fr/", "block"),

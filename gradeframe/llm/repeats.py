@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gradeframe.llm.lm import bucket_bounds
 from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, id_and_text, ragged, span_hashes, text_bytes
@@ -229,7 +230,7 @@ def _packed(rows: dict[str, np.ndarray], bounds: np.ndarray) -> dict[str, pa.Arr
     return {"bucket": pa.array(some, pa.int32())} | {name: binary_column(np.ascontiguousarray(values), cut) for name, values in rows.items()}
 
 
-def with_removed(docs: DataFrame, finish, schema: str, extra: list[str] | None = None, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[str] | None = None, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Find the bytes to remove and let `finish(table, data, offsets, removed)` make each block's rows of `schema`.
 
     `removed` is a boolean for each byte. `extra` names further columns that
@@ -299,8 +300,6 @@ def with_removed(docs: DataFrame, finish, schema: str, extra: list[str] | None =
         })
 
     def remove(mine: pa.Table, told: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return no_rows
         mine, told = mine.combine_chunks(), told.sort_by("bucket")
         runs = Runs(mine)
         runs.keep(np.unique(_bytes(told["keys"], np.uint64)))
@@ -319,7 +318,6 @@ def with_removed(docs: DataFrame, finish, schema: str, extra: list[str] | None =
 
     kinds = "bucket int, block int, keys binary, names binary, sizes binary, docs binary, starts binary, contents binary"
     empty_runs = pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith(" int") else pa.binary()) for c in kinds.split(", ")})
-    no_rows = finish(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), **{f"_{c}": pa.array([], pa.string()) for c in extra or []}}), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool)) if not extra else None
     anchors = dealt.groupBy("block").applyInArrow(ask_anchors, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(tell_anchors, "block int, keys binary")
     runs = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_runs, kinds)
     told = runs.groupBy("bucket").applyInArrow(tell_runs, "block int, bucket int, keys binary, docs binary, starts binary, masks binary")
@@ -344,3 +342,36 @@ def summaries(table: pa.Table, data: np.ndarray, offsets: np.ndarray, removed: n
 def find_repeats(docs: DataFrame, **options) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
     return with_removed(docs, summaries, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str = "n_chars", **options) -> DataFrame:
+    """The documents with their repeated bytes taken out of the text, all columns kept.
+
+    A character stays unless all of its bytes go, so texts remain UTF-8.
+    `count_column`, if there is one, gets the new text's length.
+    """
+    names = list(docs.columns)
+    others = [c for c in names if c != text_column]
+
+    def cut(table: pa.Table, data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> pa.Table:
+        lead = (data & 0xC0) != 0x80
+        lead[offsets[:-1][np.diff(offsets) > 0]] = True
+        character = np.cumsum(lead) - 1
+        gone = np.ones(int(lead.sum()), dtype=bool)
+        np.logical_and.at(gone, character, removed)
+        kept = ~gone[character] if len(data) else removed
+        sums = np.concatenate(([0], np.cumsum(kept)))
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(sums[offsets], dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data[kept])))
+        lengths = np.concatenate(([0], np.cumsum(kept & lead)))
+        columns = {}
+        for name in names:
+            if name == text_column:
+                columns[name] = texts.cast(pa.string())
+            elif name == count_column:
+                columns[name] = pa.array(lengths[offsets[1:]] - lengths[offsets[:-1]], pa.int64())
+            else:
+                columns[name] = table[f"_{name}"]
+        return pa.table(columns)
+
+    schema = StructType([StructField(f.name, LongType() if f.name == count_column else StringType() if f.name == text_column else f.dataType) for f in docs.schema.fields])
+    return with_removed(docs, cut, schema, others, id_column=id_column, text_column=text_column, **options).select([F.col(f"`{f.name}`").cast(f.dataType) for f in docs.schema.fields])
