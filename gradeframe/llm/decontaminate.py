@@ -131,7 +131,7 @@ def longest_matches(doc: np.ndarray, place: np.ndarray, test: np.ndarray, tests:
     fresh = np.ones(len(doc), dtype=bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] > place[:-1] + 1)
     starts = np.flatnonzero(fresh)
-    last = np.append(starts[1:], len(doc)) - 1
+    last = np.append(starts[1:], len(doc))[: len(starts)] - 1
     return doc[starts], item[starts], place[starts], (place + size)[last] - place[starts]
 
 
