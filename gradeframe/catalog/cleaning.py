@@ -14,10 +14,10 @@ from gradeframe.operators import joins, profile
 from gradeframe.plans import training
 
 
-@query(with_roles("animals", """
-    SELECT animal, nullif(cost, -99) AS cost, nullif(wgrade, '-99.0') AS wgrade FROM animals"""))
+@query(with_roles("graded_rows", """
+    SELECT animal, nullif(cost, -99) AS cost, nullif(wgrade, '-99.0') AS wgrade FROM graded_rows"""))
 def sentinel_clean(spark, sf):
-    df = roles.animals(spark, sf).select("animal", "cost", "wgrade")
+    df = roles.graded_rows(spark, sf).select("animal", "cost", "wgrade")
     return clean.null_if_text(clean.null_if_sentinel(df, ["cost"]), ["wgrade"])
 
 
@@ -73,13 +73,13 @@ def death_lifespans(spark, sf):
     )
 
 
-@query(with_roles("animals", f""", m AS (SELECT avg(nullif(cost, -99)) AS mu FROM animals)
+@query(with_roles("graded_rows", f""", m AS (SELECT avg(nullif(cost, -99)) AS mu FROM graded_rows)
     SELECT animal, CASE WHEN born < DATE '1995-01-01' THEN DATE '1995-01-01' ELSE born END AS born_from,
            {r('coalesce(nullif(cost, -99), mu)')} AS cost, coalesce(grade, '등외') AS grade,
            CAST(floor(coalesce(nullif(cost, -99), -999) + 0.5e0) AS BIGINT) AS cost_code
-    FROM animals, m"""))
+    FROM graded_rows, m"""))
 def fill_and_clip(spark, sf):
-    df = clean.null_if_sentinel(roles.animals(spark, sf), ["cost"])
+    df = clean.null_if_sentinel(roles.graded_rows(spark, sf), ["cost"])
     filled = clean.fill_with_mean(df.withColumn("raw", F.col("cost")), "cost", df)
     floor = F.lit("1995-01-01").cast("date")
     out = filled.select(
@@ -118,16 +118,16 @@ def _farms(spark, sf):
 _GRADES_SQL = "[" + ", ".join(f"'{g}'" for g in domain.GRADES) + "]"
 
 
-@query(with_roles("animals", f"""
+@query(with_roles("graded_rows", f"""
     SELECT animal, CASE sex WHEN '암' THEN 0 WHEN '수' THEN 1 WHEN '거세' THEN 2 ELSE -1 END AS sex_code,
            CASE region WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE -1 END AS region_code,
            CAST(coalesce(16 - nullif(list_position({_GRADES_SQL}, grade), 0), 0) AS INTEGER) AS score,
            CAST(list_position({_GRADES_SQL}, coalesce(grade, '등외')) - 1 AS INTEGER) AS label,
            coalesce(grade, '등외') AS decoded
-    FROM animals"""))
+    FROM graded_rows"""))
 def category_codes(spark, sf):
     label = domain.grade_index(F.col("grade"))
-    return roles.animals(spark, sf).select(
+    return roles.graded_rows(spark, sf).select(
         "animal", domain.sex_code(F.col("sex")).alias("sex_code"),
         encode.code_of(F.col("region"), {"BUILDING": 0, "MACHINERY": 1}).alias("region_code"),
         domain.grade_score(F.col("grade")).alias("score"), label.alias("label"),
@@ -148,15 +148,15 @@ def weather_index(spark, sf):
     )
 
 
-@query(with_roles("animals", """, a AS (
+@query(with_roles("graded_rows", """, a AS (
     SELECT animal, CAST((judged - born) // 30 AS INTEGER) AS age,
            CASE sex WHEN '암' THEN 0 WHEN '수' THEN 1 ELSE 2 END AS sex_code,
            CASE WHEN month(judged) BETWEEN 3 AND 5 THEN 0 WHEN month(judged) BETWEEN 6 AND 8 THEN 1
-                WHEN month(judged) BETWEEN 9 AND 11 THEN 2 ELSE 3 END AS season FROM animals)
+                WHEN month(judged) BETWEEN 9 AND 11 THEN 2 ELSE 3 END AS season FROM graded_rows)
     SELECT animal, age, CAST(age * age AS DOUBLE) AS age_sq, age * sex_code AS age_sex, age * season AS age_season FROM a"""))
 def interaction_terms(spark, sf):
     age = F.col("age")
-    df = roles.animals(spark, sf).withColumn("age", F.floor(F.datediff("judged", "born") / 30).cast("int"))
+    df = roles.graded_rows(spark, sf).withColumn("age", F.floor(F.datediff("judged", "born") / 30).cast("int"))
     return df.select(
         "animal", "age", (age * age).cast("double").alias("age_sq"),
         (age * domain.sex_code(F.col("sex"))).alias("age_sex"),
@@ -164,14 +164,14 @@ def interaction_terms(spark, sf):
     )
 
 
-@query(with_roles("animals", """
+@query(with_roles("graded_rows", """
     SELECT animal, nullif(regexp_extract(grade, '^(1\\+\\+|1\\+|1|2|3|등외)', 1), '') AS quality,
            nullif(regexp_extract(grade, '(A|B|C)$', 1), '') AS yield,
            coalesce(regexp_extract(grade, '^(1\\+\\+|1\\+|1|2|3|등외)', 1) IN ('1++', '1+'), false) AS high
-    FROM animals"""))
+    FROM graded_rows"""))
 def grade_parts(spark, sf):
     quality = domain.quality_of(F.col("grade"))
-    return roles.animals(spark, sf).select(
+    return roles.graded_rows(spark, sf).select(
         "animal", quality.alias("quality"), domain.yield_of(F.col("grade")).alias("yield"),
         clean.is_member(quality, domain.HIGH_QUALITY).alias("high"),
     )
@@ -254,12 +254,12 @@ _YG_CASE = " ".join(
     f"WHEN sex = '{s}' AND yi >= {v[4]}e0 THEN 'A' WHEN sex = '{s}' AND yi >= {v[5]}e0 THEN 'B' WHEN sex = '{s}' THEN 'C'" for s, v in _YI.items())
 
 
-@query(with_roles("animals", f""", m AS (
-    SELECT animal, sex, marbling AS fat, marbling * 10 AS eye, weight / 1e3 AS kg FROM animals),
+@query(with_roles("graded_rows", f""", m AS (
+    SELECT animal, sex, marbling AS fat, marbling * 10 AS eye, weight / 1e3 AS kg FROM graded_rows),
     i AS (SELECT animal, sex, CASE {_YI_CASE} END AS yi FROM m)
     SELECT animal, {r('yi')} AS yield_index, CASE {_YG_CASE} END AS yield_grade FROM i"""))
 def yield_index(spark, sf):
-    df = roles.animals(spark, sf).select(
+    df = roles.graded_rows(spark, sf).select(
         "animal", "sex", F.col("marbling").alias("fat"), (F.col("marbling") * 10).alias("eye"), (F.col("weight") / 1000.0).alias("kg")
     )
     df = df.withColumn("yi", domain.yield_index(F.col("sex"), F.col("fat"), F.col("eye"), F.col("kg")))

@@ -17,7 +17,7 @@ _SCORE_SQL = "CAST(coalesce(16 - nullif(list_position([" + ", ".join(f"'{g}'" fo
 
 
 def _scored(spark, sf):
-    return roles.animals(spark, sf).select(
+    return roles.graded_rows(spark, sf).select(
         "animal", "farm", "judged", "weight", domain.grade_score(F.col("grade")).cast("double").alias("score")
     )
 
@@ -26,14 +26,14 @@ def _rounded(df, columns, digits=4):
     return df.withColumns({c: stable_round(F.col(c), digits) for c in columns})
 
 
-@query(with_roles("animals farm_area farms deaths", f""", d AS (SELECT farm, count(*) AS n FROM deaths GROUP BY 1)
+@query(with_roles("graded_rows farm_area farms deaths", f""", d AS (SELECT farm, count(*) AS n FROM deaths GROUP BY 1)
     SELECT animal, {r('avg_cattle')} AS avg_cattle, {r('density', 6)} AS density, coalesce(n, 0) AS death_cnt
-    FROM animals LEFT JOIN farms USING (farm) LEFT JOIN d USING (farm)"""))
+    FROM graded_rows LEFT JOIN farms USING (farm) LEFT JOIN d USING (farm)"""))
 def farm_join(spark, sf):
     farms = _farms(spark, sf).select("farm", "avg_cattle", "density")
     deaths = encoding.group_size(roles.deaths(spark, sf), "farm", "death_cnt")
     lookup = settle(farms.join(deaths, "farm", "full"))
-    out = joins.lookup_join(roles.animals(spark, sf).select("animal", "farm"), lookup, ["farm"], "left")
+    out = joins.lookup_join(roles.graded_rows(spark, sf).select("animal", "farm"), lookup, ["farm"], "left")
     return out.select(
         "animal", stable_round(F.col("avg_cattle"), 4).alias("avg_cattle"), stable_round(F.col("density"), 6).alias("density"),
         F.coalesce("death_cnt", F.lit(0)).alias("death_cnt"),
@@ -56,15 +56,15 @@ def death_counts(spark, sf):
     return encoding.group_size(roles.deaths(spark, sf), "farm", "death_cnt")
 
 
-@query(with_roles("animals", f"""
+@query(with_roles("graded_rows", f"""
     SELECT farm, {r(f'avg({_SCORE_SQL})')} AS farm_grade_mean, count(*) AS farm_grade_cnt,
-           {r(f'stddev_samp({_SCORE_SQL})')} AS farm_grade_std FROM animals GROUP BY 1"""))
+           {r(f'stddev_samp({_SCORE_SQL})')} AS farm_grade_std FROM graded_rows GROUP BY 1"""))
 def encoding_stats(spark, sf):
     out = encoding.encoding_stats(_scored(spark, sf), "farm", "score", "farm_grade")
     return _rounded(out, ["farm_grade_mean", "farm_grade_std"])
 
 
-@query(with_roles("animals", f""", t AS (SELECT animal, farm, {_SCORE_SQL} AS score FROM animals),
+@query(with_roles("graded_rows", f""", t AS (SELECT animal, farm, {_SCORE_SQL} AS score FROM graded_rows),
     s AS (SELECT farm, sum(score) AS s, count(score) AS c, avg(score) AS m, stddev_samp(score) AS d FROM t GROUP BY 1)
     SELECT animal, {r('(s - score) / greatest(c - 1, 1)')} AS farm_grade_loo, {r('m')} AS farm_grade_mean, c AS farm_grade_cnt,
            {r('d')} AS farm_grade_std FROM t JOIN s USING (farm)"""))
@@ -83,7 +83,7 @@ def sire_loo_encoding(spark, sf):
     return _rounded(out.select("sire", "price", "sire_score_loo", "sire_score_cnt"), ["sire_score_loo"])
 
 
-@query(with_roles("animals", f""", t AS (SELECT animal, farm, year(judged) AS y, {_SCORE_SQL} AS score FROM animals),
+@query(with_roles("graded_rows", f""", t AS (SELECT animal, farm, year(judged) AS y, {_SCORE_SQL} AS score FROM graded_rows),
     s AS (SELECT farm, avg(score) AS m, count(*) AS c, stddev_samp(score) AS d FROM t WHERE y <= 1996 GROUP BY 1),
     g AS (SELECT avg(score) AS mu FROM t WHERE y <= 1996)
     SELECT animal, {r('m')} AS farm_grade_loo, {r('coalesce(m, mu)')} AS farm_grade_mean, coalesce(c, 0) AS farm_grade_cnt,
@@ -98,7 +98,7 @@ def encoding_lookup(spark, sf):
     return _rounded(out.select("animal", *names, "farm_grade_cnt"), names)
 
 
-@query(with_roles("animals", f""", t AS (SELECT animal, farm, animal % 3 AS fold, {_SCORE_SQL} AS score FROM animals),
+@query(with_roles("graded_rows", f""", t AS (SELECT animal, farm, animal % 3 AS fold, {_SCORE_SQL} AS score FROM graded_rows),
     s AS (SELECT farm, sum(score) AS s, count(*) AS c FROM t GROUP BY 1),
     f AS (SELECT farm, fold, sum(score) AS s, count(*) AS c FROM t GROUP BY 1, 2),
     k AS (SELECT t.*, s.s - coalesce(f.s, 0) AS rest, s.c - coalesce(f.c, 0) AS others, i FROM t CROSS JOIN range(3) r(i)
@@ -142,21 +142,21 @@ def sire_semi_join(spark, sf):
     return joins.stack_rows(*parts)
 
 
-@query("""SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 250000) AS left_keys,
-           (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_acctbal > 0) AS right_keys,
-           (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000 AND c_acctbal > 0) AS matched_keys,
-           floor((SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000 AND c_acctbal > 0)
-             * 100e0 / (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 250000) * 1e4 + 0.500001e0) / 1e4 AS match_pct""")
+@query("""SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS left_keys,
+           (SELECT count(DISTINCT c_custkey) FROM customer) AS right_keys,
+           (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey) AS matched_keys,
+           floor((SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey)
+             * 100e0 / (SELECT count(DISTINCT o_custkey) FROM orders) * 1e4 + 0.500001e0) / 1e4 AS match_pct""")
 def join_coverage(spark, sf):
-    left = roles.table(spark, sf, "orders").filter("o_totalprice > 250000")
-    right = roles.table(spark, sf, "customer").filter("c_acctbal > 0")
+    left = roles.table(spark, sf, "orders")
+    right = roles.table(spark, sf, "customer")
     return _rounded(joins.key_coverage(left, right, "o_custkey", "c_custkey"), ["match_pct"])
 
 
-@query("""SELECT DISTINCT o_custkey AS key FROM orders WHERE o_totalprice > 250000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0""")
+@query("""SELECT DISTINCT o_custkey AS key FROM orders INTERSECT SELECT c_custkey FROM customer""")
 def shared_keys(spark, sf):
-    left = roles.table(spark, sf, "orders").filter("o_totalprice > 250000")
-    return joins.shared_keys(left, roles.table(spark, sf, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey")
+    left = roles.table(spark, sf, "orders")
+    return joins.shared_keys(left, roles.table(spark, sf, "customer"), "o_custkey", "c_custkey")
 
 
 @query("SELECT DISTINCT p_brand AS brand FROM part")
@@ -164,13 +164,17 @@ def distinct_values(spark, sf):
     return roles.table(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct()
 
 
-@query("""SELECT l_suppkey AS farm, l_shipdate AS at, l_orderkey AS animal, l_linenumber AS line FROM (
-      SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+@query("""SELECT farm, seen, animal, line FROM (
+      SELECT *, row_number() OVER (PARTITION BY farm ORDER BY seen NULLS LAST, animal NULLS LAST, line) AS rn FROM (
+        SELECT nullif(l_suppkey, 3) AS farm, CASE WHEN l_linenumber > 1 THEN l_shipdate END AS seen, nullif(l_orderkey, 7) AS animal, l_linenumber AS line
+        FROM lineitem) WHERE farm IS NOT NULL) WHERE rn = 1""")
 def lookup_dedupe(spark, sf):
+    """The first row of each key, where a NULL never comes before a value; rows without a key go."""
     df = roles.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("farm"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("animal"), F.col("l_linenumber").alias("line")
+        F.nullif("l_suppkey", F.lit(3)).alias("farm"), F.when(F.col("l_linenumber") > 1, F.col("l_shipdate")).alias("seen"),
+        F.nullif("l_orderkey", F.lit(7)).alias("animal"), F.col("l_linenumber").alias("line"),
     )
-    return joins.unique_lookup(df, ["farm"], ["at", "animal", "line"])
+    return joins.unique_lookup(df, ["farm"], ["seen", "animal", "line"])
 
 
 @query("""SELECT l_orderkey AS animal, l_linenumber AS line, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -179,29 +183,32 @@ def duplicate_keys(spark, sf):
     return joins.duplicate_keys(df, ["animal", "line"])
 
 
-@query(with_roles("animals", f"""
-    SELECT animal, weight, {_SCORE_SQL} AS score FROM animals"""))
+@query(with_roles("graded_rows", f"""
+    SELECT animal, weight, {_SCORE_SQL} AS score FROM graded_rows"""))
 def column_concat(spark, sf):
     """Two feature frames of the same rows put side by side by their key."""
-    df = roles.animals(spark, sf)
+    df = roles.graded_rows(spark, sf)
     left = df.select("animal", "weight")
     return left.join(_scored(spark, sf).select("animal", "score"), "animal", "left")
 
 
-@query("""SELECT o_orderkey AS animal, o_totalprice AS weight,
-           CASE WHEN o_orderpriority = '5-LOW' THEN '등외' ELSE o_orderstatus END AS grade FROM orders""")
+@query("""SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey // 2 END AS animal, o_totalprice AS weight,
+           CASE WHEN o_orderkey % 5 = 0 THEN '등외' ELSE coalesce((SELECT min(p.o_orderstatus) FROM orders p
+             WHERE p.o_orderpriority <> '5-LOW' AND p.o_orderkey // 2 = o.o_orderkey // 2), '등외') END AS grade FROM orders o""")
 def aligned_predictions(spark, sf):
-    """Every original row with its prediction; rows without one get the default class."""
-    orders = roles.table(spark, sf, "orders").select(F.col("o_orderkey").alias("animal"), F.col("o_totalprice").alias("weight"), F.lit("?").alias("grade"))
+    """Every original row with its prediction, with missing and repeated keys on either side."""
+    half = F.floor(F.col("o_orderkey") / 2).cast("long")
+    orders = roles.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, half).alias("animal"), F.lit("?").alias("grade"), F.col("o_totalprice").alias("weight"))
     scored = roles.table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'")
-    predicted = scored.select(F.col("o_orderkey").alias("animal"), F.col("o_orderstatus").alias("grade"))
+    predicted = scored.select(half.alias("animal"), F.col("o_orderstatus").alias("grade"))
+    predicted = joins.stack_rows(predicted, predicted.withColumn("animal", F.lit(None).cast("long")))
     return joins.align_predictions(orders, predicted, ["animal"], "grade", domain.OUTSIDE)
 
 
 @query("""SELECT o_orderstatus AS part, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS BIGINT) AS only_f FROM orders
-    WHERE o_orderstatus IN ('F', 'O') GROUP BY 1""")
+    GROUP BY 1""")
 def stacked_rows(spark, sf):
     """Chunks of one table put under each other; a column one chunk lacks is NULL there."""
     df = roles.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("part"), "o_orderkey")
-    out = joins.stack_rows(df.filter("part = 'F'"), df.filter("part = 'O'").drop("o_orderkey"))
+    out = joins.stack_rows(df.filter("part = 'F'"), df.filter("part = 'O'").drop("o_orderkey"), df.filter("part NOT IN ('F', 'O')").drop("o_orderkey"))
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("only_f"))

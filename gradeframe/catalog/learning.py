@@ -62,9 +62,9 @@ def stratified_sample_approx(spark, sf):
     return sampling.stratified_sample_approx(_keys(spark, sf), "priority", {p: 0.25 for p in PRIORITIES})
 
 
-@query(with_roles("animals", "SELECT year(judged) <= 1997 AS is_train, count(*) AS n FROM animals GROUP BY 1"))
+@query(with_roles("graded_rows", "SELECT year(judged) <= 1997 AS is_train, count(*) AS n FROM graded_rows GROUP BY 1"))
 def time_split(spark, sf):
-    train, later = sampling.split_by_year(roles.animals(spark, sf).select("animal", "judged"), "judged", 1997)
+    train, later = sampling.split_by_year(roles.graded_rows(spark, sf).select("animal", "judged"), "judged", 1997)
     both = joins.stack_rows(train.withColumn("is_train", F.lit(True)), later.withColumn("is_train", F.lit(False)))
     return both.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"))
 
@@ -178,7 +178,7 @@ def reuse_or_write(spark, sf):
 def domain_tables(spark, sf):
     """Role tables under the domain's own column names."""
     key = F.col("animal")
-    fact = roles.animals(spark, sf).select(
+    fact = roles.graded_rows(spark, sf).select(
         "animal", F.col("stn").cast("int").alias("stn"), F.lit("경기도").alias("sido"), F.col("judged").alias("ABATT_DATE"),
         F.date_format("born", "yyyyMMdd").cast("int").alias("BIRTH_YMD"), F.col("sex").alias("JUDGE_SEX"),
         (F.col("weight") / 1000).alias("WEIGHT"), F.floor(F.datediff("judged", "born") / 30).cast("int").alias("AGE"),
@@ -205,8 +205,8 @@ _FEATURE_CHECK = ["age_sq", "s_thi_mean", "p1_ta_mean", "p2_cold_d", "p3_rn_sum"
                   "farm_grade_loo", "farm_grade_std", "rear_ta_mean", "rear_month_cnt"]
 
 
-@query(with_roles("animals monthly farm_area farms deaths", f""", t AS (
-      SELECT *, {_SCORE} AS score, (judged - born) // 30 AS age, CASE WHEN born < DATE '{FLOOR}' THEN DATE '{FLOOR}' ELSE born END AS start FROM animals),
+@query(with_roles("graded_rows monthly farm_area farms deaths", f""", t AS (
+      SELECT *, {_SCORE} AS score, (judged - born) // 30 AS age, CASE WHEN born < DATE '{FLOOR}' THEN DATE '{FLOOR}' ELSE born END AS start FROM graded_rows),
     e AS (SELECT farm, sum(score) AS s, count(*) AS c, stddev_samp(score) AS d FROM t GROUP BY 1),
     x AS (SELECT animal, stn, CAST(unnest(generate_series(date_trunc('month', start), date_trunc('month', judged), INTERVAL 1 MONTH)) AS DATE) AS month
           FROM t WHERE start <= judged),
@@ -227,9 +227,9 @@ def training_features(spark, sf):
     return df.select("animal", *[stable_round(F.col(c), 4).alias(c) for c in _FEATURE_CHECK])
 
 
-@query(with_roles("animals", f""", t AS (SELECT *, nullif(CASE WHEN animal % 17 = 0 THEN -99 ELSE marbling END, -99) AS ins,
+@query(with_roles("graded_rows", f""", t AS (SELECT *, nullif(CASE WHEN animal % 17 = 0 THEN -99 ELSE marbling END, -99) AS ins,
       nullif(CASE WHEN animal % 13 = 0 THEN -99 ELSE weight / 10000 END, -99) AS fat, animal % 211 AS sire,
-      CASE WHEN animal % 5 <> 0 THEN animal % 37 END AS kpn FROM animals),
+      CASE WHEN animal % 5 <> 0 THEN animal % 37 END AS kpn FROM graded_rows),
     s AS (SELECT sire, avg(ins) AS m FROM t WHERE ins IS NOT NULL GROUP BY 1), k AS (SELECT kpn, avg(ins) AS m FROM t WHERE ins IS NOT NULL AND kpn IS NOT NULL GROUP BY 1),
     f AS (SELECT farm, avg(ins) AS i, avg(fat) AS b FROM t GROUP BY 1)
     SELECT animal, {r('s.m')} AS father_insfat, {r('k.m')} AS kpn_insfat, {r('f.i')} AS farm_insfat, {r('f.b')} AS farm_backfat

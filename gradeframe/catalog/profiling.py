@@ -16,12 +16,16 @@ from gradeframe.session import settle
 _QUALITY_SQL = "nullif(regexp_extract(grade, '^(1\\+\\+|1\\+|1|2|3|등외)', 1), '')"
 
 
+# The grades and one class that never occurs.
+LISTED = [*domain.GRADES, "미판정"]
+
+
 def _rounded(df, columns, digits=4):
     return df.withColumns({c: stable_round(F.col(c), digits) for c in columns})
 
 
 def _graded(spark, sf):
-    return roles.animals(spark, sf).withColumn("quality", domain.quality_of(F.col("grade")))
+    return roles.graded_rows(spark, sf).withColumn("quality", domain.quality_of(F.col("grade")))
 
 
 @query("SELECT c_mktsegment AS region, count(*) AS n FROM customer GROUP BY 1")
@@ -29,15 +33,15 @@ def value_counts(spark, sf):
     return profile.value_counts(roles.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("region")), "region")
 
 
-@query(with_roles("animals", f"""SELECT grade, {r('count(*) * 1e0 / sum(count(*)) OVER ()', 6)} AS share FROM animals
+@query(with_roles("graded_rows", f"""SELECT grade, {r('count(*) * 1e0 / sum(count(*)) OVER ()', 6)} AS share FROM graded_rows
     WHERE grade IS NOT NULL GROUP BY 1"""))
 def value_shares(spark, sf):
-    return _rounded(profile.value_shares(roles.animals(spark, sf), "grade").drop("n"), ["share"], 6)
+    return _rounded(profile.value_shares(roles.graded_rows(spark, sf), "grade").drop("n"), ["share"], 6)
 
 
-@query(with_roles("animals", f"""
+@query(with_roles("graded_rows", f"""
     SELECT sex, {', '.join(f"{r(f'count(*) FILTER (WHERE q = {chr(39)}{v}{chr(39)}) * 1e0 / count(*)', 6)} AS {chr(34)}{v}{chr(34)}" for v in domain.QUALITY)}
-    FROM (SELECT sex, {_QUALITY_SQL} AS q FROM animals) WHERE q IS NOT NULL GROUP BY 1"""))
+    FROM (SELECT sex, {_QUALITY_SQL} AS q FROM graded_rows) WHERE q IS NOT NULL GROUP BY 1"""))
 def crosstab_share(spark, sf):
     return _rounded(profile.crosstab_share(_graded(spark, sf), "sex", "quality", domain.QUALITY), domain.QUALITY, 6)
 
@@ -50,7 +54,7 @@ def pivot_means(spark, sf):
     return _rounded(profile.pivot_means(df, "month", "y", years, "o_totalprice"), [str(y) for y in years])
 
 
-@query(with_roles("animals", f""", q AS (SELECT region, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM animals)
+@query(with_roles("graded_rows", f""", q AS (SELECT region, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM graded_rows)
     SELECT region, {r('avg(high)', 6)} AS rate, {r('(SELECT avg(high) FROM q)', 6)} AS overall FROM q GROUP BY 1"""))
 def member_rate(spark, sf):
     return _rounded(profile.member_rate(_graded(spark, sf), "region", "quality", domain.HIGH_QUALITY), ["rate", "overall"], 6)
@@ -60,7 +64,7 @@ _SEASON_CASE = ("CASE WHEN month(judged) BETWEEN 3 AND 5 THEN '봄(3-5)' WHEN mo
                 "WHEN month(judged) BETWEEN 9 AND 11 THEN '가을(9-11)' ELSE '겨울(12-2)' END")
 
 
-@query(with_roles("animals", f""", q AS (SELECT {_SEASON_CASE} AS season, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM animals)
+@query(with_roles("graded_rows", f""", q AS (SELECT {_SEASON_CASE} AS season, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM graded_rows)
     SELECT season, {r('avg(high)', 6)} AS rate, {r('(SELECT avg(high) FROM q)', 6)} AS overall,
            list_position(['봄(3-5)', '여름(6-8)', '가을(9-11)', '겨울(12-2)'], season) - 1 AS rank FROM q GROUP BY 1"""))
 def season_rate(spark, sf):
@@ -71,10 +75,10 @@ def season_rate(spark, sf):
     return profile.in_list_order(_rounded(rates, ["rate", "overall"], 6), "season", domain.SEASONS)
 
 
-@query(with_roles("animals farm_area farms", f""", s AS (
+@query(with_roles("graded_rows farm_area farms", f""", s AS (
       SELECT farm, CASE WHEN avg_cattle <= 0 THEN NULL WHEN avg_cattle <= 2 THEN 'a' WHEN avg_cattle <= 4 THEN 'b'
                         WHEN avg_cattle IS NOT NULL THEN 'c' END AS size FROM farms),
-    q AS (SELECT size, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM animals LEFT JOIN s USING (farm))
+    q AS (SELECT size, coalesce({_QUALITY_SQL} IN ('1++', '1+'), false)::INT AS high FROM graded_rows LEFT JOIN s USING (farm))
     SELECT size, {r('avg(high)', 6)} AS rate, {r('(SELECT avg(high) FROM q)', 6)} AS overall FROM q WHERE size IS NOT NULL GROUP BY 1"""))
 def herd_size_rate(spark, sf):
     from gradeframe.functions.binning import fixed_bins
@@ -86,10 +90,10 @@ def herd_size_rate(spark, sf):
     return _rounded(profile.member_rate(df, "size", "quality", domain.HIGH_QUALITY), ["rate", "overall"], 6)
 
 
-@query(with_roles("animals", f"""SELECT count(*) AS n_rows, count(c) AS n_valid, {r('avg(c)')} AS mean, {r('min(c)')} AS min,
-    {r('max(c)')} AS max, {r('median(c)')} AS median FROM (SELECT nullif(cost, -99) AS c FROM animals)"""))
+@query(with_roles("graded_rows", f"""SELECT count(*) AS n_rows, count(c) AS n_valid, {r('avg(c)')} AS mean, {r('min(c)')} AS min,
+    {r('max(c)')} AS max, {r('median(c)')} AS median FROM (SELECT nullif(cost, -99) AS c FROM graded_rows)"""))
 def scalars(spark, sf):
-    df = clean.null_if_sentinel(roles.animals(spark, sf).select("cost"), ["cost"])
+    df = clean.null_if_sentinel(roles.graded_rows(spark, sf).select("cost"), ["cost"])
     return _rounded(profile.scalars(df, "cost"), ["mean", "min", "max", "median"])
 
 
@@ -127,7 +131,7 @@ _PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def exact_quantiles(spark, sf):
     """The counted-bucket way on purpose, so that it is compared on whole tables."""
     df = roles.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    return _rounded(quantiles.quantiles(df, "l_extendedprice", _PROBS, ["flag"], direct_values=0), ["value"])
+    return _rounded(quantiles.quantiles(df, "l_extendedprice", _PROBS, ["flag"]), ["value"])
 
 
 _CORR = ["l_quantity", "l_extendedprice", "disc", "tax", "l_linenumber"]
@@ -167,7 +171,7 @@ def histogram_by_group(spark, sf):
     return _rounded(_rounded(out, ["low", "high"]), ["density"], 6)
 
 
-@query(with_roles("animals", f""", v AS (SELECT {_QUALITY_SQL} AS quality, nullif(cost, -99) AS c FROM animals),
+@query(with_roles("graded_rows", f""", v AS (SELECT {_QUALITY_SQL} AS quality, nullif(cost, -99) AS c FROM graded_rows),
     q AS (SELECT quality, quantile_cont(c, 0.25) AS q25, quantile_cont(c, 0.5) AS q50, quantile_cont(c, 0.75) AS q75
           FROM v WHERE c IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
     f AS (SELECT *, q25 - (q75 - q25) * 1.5 AS a, q75 + (q75 - q25) * 1.5 AS z FROM q)
@@ -187,31 +191,31 @@ def _null_sql(name: str, source: str, columns: list[str]) -> str:
         f"count(*) - count({c}) AS nulls, {r(f'(count(*) - count({c})) * 100e0 / count(*)')} AS null_pct FROM {source}" for c in columns)
 
 
-@query(with_roles("animals daily", """, a AS (SELECT animal, grade, nullif(cost, -99) AS cost, nullif(wgrade, '-99.0') AS wgrade FROM animals) """
-    + _null_sql("animals", "a", ["animal", "grade", "cost", "wgrade"]) + " UNION ALL "
+@query(with_roles("graded_rows daily", """, a AS (SELECT animal, grade, nullif(cost, -99) AS cost, nullif(wgrade, '-99.0') AS wgrade FROM graded_rows) """
+    + _null_sql("graded_rows", "a", ["animal", "grade", "cost", "wgrade"]) + " UNION ALL "
     + _null_sql("daily", "daily", ["stn", "date", "ta_max", "ta_min", "rhm_avg", "rn_day", "ws_davg"])))
 def null_profile(spark, sf):
-    df = roles.animals(spark, sf).select("animal", "grade", "cost", "wgrade")
+    df = roles.graded_rows(spark, sf).select("animal", "grade", "cost", "wgrade")
     df = clean.null_if_text(clean.null_if_sentinel(df, ["cost"]), ["wgrade"])
-    return _rounded(profile.null_profiles({"animals": df, "daily": roles.daily(spark, sf)}), ["null_pct"])
+    return _rounded(profile.null_profiles({"graded_rows": df, "daily": roles.daily(spark, sf)}), ["null_pct"])
 
 
-@query(with_roles("animals", f"""
-    SELECT CAST(i AS INTEGER) AS rank, g AS grade, (SELECT count(*) FROM animals WHERE grade = g AND sex = '암') AS n,
-           {r("(SELECT count(*) FROM animals WHERE grade = g AND sex = '암') * 100e0 / (SELECT count(*) FROM animals WHERE sex = '암')")} AS pct
-    FROM (SELECT unnest(range(16)) AS i, unnest([{', '.join(f"'{g}'" for g in domain.GRADES)}]) AS g)"""))
+@query(with_roles("graded_rows", f"""
+    SELECT CAST(i AS INTEGER) AS rank, g AS grade, (SELECT count(*) FROM graded_rows WHERE grade = g) AS n,
+           {r("(SELECT count(*) FROM graded_rows WHERE grade = g) * 100e0 / (SELECT count(*) FROM graded_rows)")} AS pct
+    FROM (SELECT unnest(range({len(LISTED)})) AS i, unnest([{', '.join(f"'{g}'" for g in LISTED)}]) AS g)"""))
 def class_distribution(spark, sf):
-    df = roles.animals(spark, sf).filter(F.col("sex") == "암")
-    return _rounded(profile.class_distribution(df, "grade", domain.GRADES), ["pct"])
+    df = roles.graded_rows(spark, sf)
+    return _rounded(profile.class_distribution(df, "grade", LISTED), ["pct"])
 
 
-@query(with_roles("animals", f"""
-    SELECT g AS grade, CAST(i AS INTEGER) AS rank, (SELECT count(*) FROM animals WHERE grade = g AND sex = '암') AS n
-    FROM (SELECT unnest(range(16)) AS i, unnest([{', '.join(f"'{g}'" for g in domain.GRADES)}]) AS g)"""))
+@query(with_roles("graded_rows", f"""
+    SELECT g AS grade, CAST(i AS INTEGER) AS rank, (SELECT count(*) FROM graded_rows WHERE grade = g) AS n
+    FROM (SELECT unnest(range({len(LISTED)})) AS i, unnest([{', '.join(f"'{g}'" for g in LISTED)}]) AS g)"""))
 def list_order_filled(spark, sf):
     """Counts in grade order, an absent grade kept with 0."""
-    counts = profile.value_counts(roles.animals(spark, sf).filter(F.col("sex") == "암"), "grade")
-    return profile.in_list_order(counts, "grade", domain.GRADES, {"n": 0})
+    counts = profile.value_counts(roles.graded_rows(spark, sf), "grade")
+    return profile.in_list_order(counts, "grade", LISTED, {"n": 0})
 
 
 @query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, brand LIMIT 10")

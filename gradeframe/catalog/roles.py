@@ -30,8 +30,8 @@ YIELD_BY_STATUS = {"F": "A", "O": "B", "P": "C"}
 SEX_BY_STATUS = {"F": "암", "O": "수", "P": "거세"}
 
 
-def animals(spark: SparkSession, sf: str) -> DataFrame:
-    """Graded animals, one row per order."""
+def graded_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Graded graded_rows, one row per order."""
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("animal"), F.col("o_custkey").alias("farm"),
         F.col("o_orderdate").cast("date").alias("judged"), "o_orderpriority", "o_orderstatus",
@@ -121,7 +121,7 @@ def _sql_case(column: str, mapping: dict[str, str]) -> str:
 
 
 SQL = {
-    "animals": f"""
+    "graded_rows": f"""
         SELECT o_orderkey AS animal, o_custkey AS farm, c_nationkey AS stn, c_mktsegment AS region,
                CAST(o_orderdate AS DATE) AS judged,
                CAST(o_orderdate AS DATE) - CAST(o_orderkey % 900 AS INTEGER) AS born,

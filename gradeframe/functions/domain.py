@@ -41,9 +41,9 @@ def grade_score(grade: Column) -> Column:
     return code_of(grade, {g: len(GRADES) - 1 - i for i, g in enumerate(GRADES)}, 0)
 
 
-def grade_index(grade: Column) -> Column:
+def grade_index(grade: Column, strict: bool = False) -> Column:
     """Class index; a missing grade counts as the lowest class."""
-    return label_index(grade, GRADES, OUTSIDE)
+    return label_index(grade, GRADES, OUTSIDE, strict)
 
 
 def sex_code(sex: Column) -> Column:
@@ -63,8 +63,9 @@ def yield_of(grade: Column) -> Column:
 
 
 def join_grade(quality: Column, yield_: Column) -> Column:
-    """Final class from its two parts; an outside quality has no yield part."""
-    return F.when(quality == OUTSIDE, F.lit(OUTSIDE)).otherwise(F.concat(quality, yield_))
+    """Final class from its two parts; a part that is outside or missing makes the whole so."""
+    inside = quality.isin(QUALITY) & yield_.isin(YIELD)
+    return F.when(inside, F.concat(quality, yield_)).otherwise(F.lit(OUTSIDE))
 
 
 def yield_index(sex: Column, back_fat: Column, eye_area: Column, weight: Column) -> Column:

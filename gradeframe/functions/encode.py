@@ -37,9 +37,16 @@ def season_label(month: Column, labels: Sequence[str]) -> Column:
     )
 
 
-def label_index(c: Column, labels: Sequence[str], missing: str) -> Column:
-    """Class index in ``labels`` order; a missing label counts as ``missing``."""
-    return code_of(F.coalesce(c, F.lit(missing)), {v: i for i, v in enumerate(labels)}, None)
+def label_index(c: Column, labels: Sequence[str], missing: str, strict: bool = False) -> Column:
+    """Class index in ``labels`` order; a missing label counts as ``missing``.
+
+    A label that is not listed is NULL, or with ``strict`` an error, so that no
+    row leaves a training set unnoticed.
+    """
+    index = code_of(F.coalesce(c, F.lit(missing)), {v: i for i, v in enumerate(labels)}, None)
+    if strict:
+        index = F.coalesce(index, F.raise_error(F.concat(F.lit("unknown label: "), c)).cast("int"))
+    return index
 
 
 def label_of(index: Column, labels: Sequence[str]) -> Column:

@@ -120,12 +120,14 @@ def attach(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
 def unique_lookup(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """One row per key: the first in ``order_by`` order, ties by the other columns.
 
-    A minimum over the row struct is combined on the map side, so a key with
-    very many copies never gathers them in one task. NULL keys are dropped.
+    A NULL comes after every value, so an empty row never hides a filled one. A
+    minimum over the row struct is combined on the map side, so a key with very
+    many copies never gathers them in one task. NULL keys are dropped.
     """
     key, order_by = list(key), list(order_by)
     rest = [c for c in df.columns if c not in key and c not in order_by]
-    first = F.min(F.struct(*order_by, *rest)) if order_by or rest else F.lit(None)
+    fields = [f for i, c in enumerate([*order_by, *rest]) for f in (F.col(c).isNull().alias(f"_{i}"), F.col(c))]
+    first = F.min(F.struct(*fields)) if fields else F.lit(None)
     picked = df.filter(_all_present(key)).groupBy(*key).agg(first.alias("_first"))
     back = [F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in df.columns]
     return picked.select(*back)
@@ -144,6 +146,13 @@ def assert_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df
 
 
+def require_row_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Raise when a row key is NULL or repeats; otherwise return the rows."""
+    if not df.filter(~_all_present(key)).select(*key).isEmpty():
+        raise ValueError(f"row key {list(key)} has NULLs")
+    return assert_unique(df, key)
+
+
 def keep_key_members(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is in a key set (each key once after the distinct)."""
     key = list(key)
@@ -177,16 +186,22 @@ def shared_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 
 def align_predictions(original: DataFrame, predicted: DataFrame, key: Sequence[str], label: str, default: str) -> DataFrame:
-    """Every original row with its predicted label; a row without one gets ``default``.
+    """Every original row with its predicted label, in the original column order.
 
-    Repeated predictions for a key keep the smallest label, so the row count of
-    the original is preserved.
+    A row without a prediction, or without a key, gets ``default``. Rows are
+    told apart by the key, so runs check it with ``require_row_key``; repeated
+    predictions for a key keep the smallest label, and the row count of the
+    original is preserved.
     """
     key = list(key)
-    one = predicted.groupBy(*key).agg(F.min(label).alias("_pred"))
-    base = original.drop(label)
-    # Both sides are as large as the fact table, so this is a plain shuffle join.
-    return base.join(one, key, "left").withColumn(label, F.coalesce("_pred", F.lit(default))).drop("_pred")
+    zero = F.pmod(F.hash(*key), F.lit(1))
+    one = predicted.filter(_all_present(key)).groupBy(*key).agg(F.min(label).alias("_pred")).withColumn("_salt", zero)
+    # Both sides are as large as the fact table, so this is a plain shuffle join; rows without a key are spread.
+    spot = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
+    base = original.withColumn("_salt", F.when(_all_present(key), F.lit(0)).otherwise(spot))
+    value = F.coalesce("_pred", F.lit(default)).alias(label)
+    columns = [value if c == label else F.col(c) for c in original.columns]
+    return base.join(one, [*key, "_salt"], "left").select(*columns, *([] if label in original.columns else [value]))
 
 
 def stack_rows(first: DataFrame, *rest: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.clean import is_member
 from gradeframe.operators.joins import attach, lookup_join
-from gradeframe.operators.quantiles import DIRECT_VALUES, quantiles_wide
+from gradeframe.operators.quantiles import quantiles_wide
 from gradeframe.session import settle
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -110,17 +110,10 @@ def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> Dat
         moments.append(F.struct(
             F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.approx_count_distinct(v).alias("_d"),
         ))
     base = settle(df.agg(F.array(*moments).alias("_m")).select(F.inline("_m")))
-    if base.agg(F.sum("_d")).first()[0] <= DIRECT_VALUES and not approx:
-        # The distinct values of all columns fit one buffer, so one more aggregate will do.
-        at = [F.struct(F.lit(c).alias("column"), F.percentile(_clean(c), list(QUARTILES.values())).alias("_p")) for c in columns]
-        picked = df.agg(F.array(*at).alias("_m")).select(F.inline("_m"))
-        quart = picked.select("column", *[F.get("_p", F.lit(i)).alias(q) for i, q in enumerate(QUARTILES)])
-    else:
-        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-        quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx, direct_values=0)
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx)
     # Both sides have one row per described column.
     return base.join(quart, "column", "left").select("column", "n", "mean", "std", "min", *QUARTILES, "max")
 
@@ -134,25 +127,23 @@ def group_size_summary(df: DataFrame, key: str) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete correlation matrix in long form, from one aggregate.
 
-    Each row yields its pairs, which keeps the generated aggregate small however
-    many columns there are; pairs combine on the map side to one row each. A
-    column that is constant over a pair's rows gives NULL; the built-in
-    correlation would fail on it in ANSI mode.
+    A row is read once and stays one row: every pair is an aggregate of its own
+    beside the others. A column that is constant over a pair's rows gives NULL;
+    the built-in correlation would fail on it in ANSI mode.
     """
     n = len(columns)
     values = df.select(*[_clean(c).alias(f"_c{i}") for i, c in enumerate(columns)])
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_c{i}").alias("x"), F.col(f"_c{j}").alias("y"))
-        for i in range(n) for j in range(i, n)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    parts = [
+        F.struct(F.regr_sxy(f"_c{i}", f"_c{j}").alias("xy"), F.regr_sxx(f"_c{i}", f"_c{j}").alias("xx"), F.regr_syy(f"_c{i}", f"_c{j}").alias("yy"))
+        for i, j in pairs
     ]
-    spread = F.sqrt(F.regr_sxx("x", "y") * F.regr_syy("x", "y"))
-    found = values.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(
-        F.try_divide(F.regr_sxy("x", "y"), spread).alias("corr")
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    sides = F.array(F.struct(F.col("i").alias("p"), F.col("j").alias("q")), F.struct(F.col("j").alias("p"), F.col("i").alias("q")))
-    both = found.select("corr", F.inline(F.array_distinct(sides)))
-    return both.select(F.get(names, F.col("p")).alias("a"), F.get(names, F.col("q")).alias("b"), "corr")
+    sums = values.agg(*[part.alias(f"_p{k}") for k, part in enumerate(parts)])
+    sides = [
+        F.struct(F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), F.try_divide(F.col(f"_p{k}.xy"), F.sqrt(F.col(f"_p{k}.xx") * F.col(f"_p{k}.yy"))).alias("corr"))
+        for k, (i, j) in enumerate(pairs) for a, b in dict.fromkeys([(i, j), (j, i)])
+    ]
+    return sums.select(F.inline(F.array(*sides)))
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact quantiles that never gather a large group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer, so it is
-used only when every group has few of them. Beyond that a sketch proposes
-cut points; the rows are counted per bucket between those cuts, which is exact
-whatever the sketch said, and only the few buckets that hold a wanted rank are
-ranked value by value.
+Rows are first reduced to distinct values with their counts, which combines on
+the map side. The reduced table is sorted by ranges of (group, value): its rows
+are distinct, so no range outgrows the others, however skewed the values are.
+Adding up the ranges' counts tells which ranges hold the wanted ranks, and only
+those are ranked value by value. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -13,14 +13,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gradeframe.operators.joins import attach, lookup_join
+from gradeframe.operators.joins import lookup_join
 from gradeframe.session import settle
 
 SKETCH_ACCURACY = 10_000
-SUB_BUCKETS = 256
-# Most distinct values ``percentile`` may buffer: in one global buffer, or in one of many.
-DIRECT_VALUES = 1_000_000
-DIRECT_GROUP_VALUES = 100_000
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -29,28 +25,6 @@ def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return rows.dropna(subset=list(by)) if by else rows
 
 
-def _bucketed(rows: DataFrame, cuts: int) -> DataFrame:
-    """Add a bucket number that never decreases with the value."""
-    v, edges = F.col("_v"), F.col("_edges")
-    segment = sum(((v > F.get(edges, F.lit(i + 1))).cast("int") for i in range(cuts)), F.lit(0))
-    rows = rows.withColumn("_s", segment)
-    low, high = F.get(edges, F.col("_s")), F.get(edges, F.col("_s") + 1)
-    part = F.coalesce(F.floor(F.try_divide(v - low, high - low) * SUB_BUCKETS), F.lit(0))
-    bucket = F.col("_s").cast("long") * SUB_BUCKETS + F.least(part, F.lit(SUB_BUCKETS - 1))
-    # Never NULL, so that joins on it need no null check of the whole expression.
-    return rows.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("long"))).drop("_s", "_edges")
-
-
-def _most_distinct(rows: DataFrame, by: Sequence[str]) -> int:
-    """Largest estimated number of distinct values in a group.
-
-    Distinct values are what ``percentile`` buffers, so measures on a short
-    scale stay with it at any row count. The estimate picks a way, not a result.
-    """
-    sizes = rows.groupBy(*by).agg(F.approx_count_distinct("_v").alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def quantiles(
     df: DataFrame,
     value: str,
@@ -58,36 +32,23 @@ def quantiles(
     by: Sequence[str] = (),
     approx: bool = False,
     accuracy: int = SKETCH_ACCURACY,
-    direct_values: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, long form.
 
     Returns ``by`` columns, ``probability`` and ``value``. NULL and NaN values
     and NULL group keys are left out. ``approx`` returns the sketch's answer.
-    Groups of at most ``direct_values`` distinct values use the built-in aggregate.
     """
     by, probs = list(by), [float(p) for p in probabilities]
     rows = _values(df, value, by)
-    limit = direct_values if direct_values is not None else (DIRECT_GROUP_VALUES if by else DIRECT_VALUES)
-    if approx or _most_distinct(rows, by) <= limit:
-        pick = F.approx_percentile("_v", probs, accuracy) if approx else F.percentile("_v", probs)
-        wide = rows.groupBy(*by).agg(pick.alias("_p"))
+    if approx:
+        wide = rows.groupBy(*by).agg(F.approx_percentile("_v", probs, accuracy).alias("_p"))
         pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("probability"), F.col("_p").alias("value"))
         return wide.select(*by, F.inline(pairs)).toDF(*by, "probability", "value")
 
-    eps = 2.0 / accuracy
-    marks = sorted({max(p - eps, 0.0) for p in probs} | {min(p + eps, 1.0) for p in probs})
-    edges = rows.groupBy(*by).agg(
-        F.concat(
-            F.array(F.min("_v")), F.approx_percentile("_v", marks, accuracy), F.array(F.max("_v"))
-        ).alias("_edges")
-    )
-    if by:
-        edges = settle(edges)
-    bucketed = _bucketed(attach(rows, edges, by), len(marks))
-
-    # At most (cuts + 1) * SUB_BUCKETS rows per group from here.
-    counts = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # The range number is fixed by settling: every later use sees the same one.
+    ranged = settle(distinct.repartitionByRange(*by, "_v").withColumn("_b", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_b").agg(F.sum("_c").alias("_c"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     running = group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
@@ -103,15 +64,10 @@ def quantiles(
     )
     needed = settle(needed)
     if by:
-        hits = lookup_join(bucketed, needed.select(*by, "_b").withColumn("_hit", F.lit(True)), [*by, "_b"], "inner")
-    else:
-        # One bucket number or two per quantile.
-        hits = bucketed.filter(F.col("_b").isin([r["_b"] for r in needed.select("_b").collect()]))
-    distinct = hits.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if by:
-        ranked = lookup_join(distinct, needed, [*by, "_b"], "inner")
+        ranked = lookup_join(ranged, needed, [*by, "_b"], "inner")
     else:
-        ranked = distinct.join(F.broadcast(needed), "_b")
+        # One range or two per quantile.
+        ranked = ranged.join(F.broadcast(needed), "_b")
     in_bucket = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = ranked.withColumn("_in", F.sum("_c").over(in_bucket)).select(*by, "_v", "_in", F.explode("_t").alias("_t"))
     upto = F.col("_t._before") + F.col("_in")
@@ -129,10 +85,9 @@ def quantiles(
 
 def quantiles_wide(
     df: DataFrame, value: str, named: Mapping[str, float], by: Sequence[str] = (), approx: bool = False,
-    direct_values: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per named quantile."""
-    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx, direct_values=direct_values)
+    long = quantiles(df, value, list(dict.fromkeys(named.values())), by, approx)
     columns = [F.max(F.when(F.col("probability") == F.lit(float(p)), F.col("value"))).alias(n) for n, p in named.items()]
     return long.groupBy(*by).agg(*columns)
 

@@ -132,6 +132,6 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str, k: int, out:
 
 
 def split_by_year(df: DataFrame, date: str, last_train_year: int) -> tuple[DataFrame, DataFrame]:
-    """Time split: rows up to a year, and the rows after it."""
-    year = F.year(date)
-    return df.filter(year <= last_train_year), df.filter(year > last_train_year)
+    """Time split: rows up to a year, and the rows after it; undated rows are with the first."""
+    later = F.coalesce(F.year(date) > last_train_year, F.lit(False))
+    return df.filter(~later), df.filter(later)

@@ -161,12 +161,17 @@ def daily_means(daily: DataFrame, date: str, columns: Sequence[str]) -> DataFram
     return daily.filter(F.col(date).isNotNull()).groupBy(date).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def gap_filled_counts(df: DataFrame, date: str, out: str = "n") -> DataFrame:
-    """Rows per calendar month, with 0 for months without any."""
+def gap_filled_counts(df: DataFrame, date: str, out: str = "n", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows per calendar month, with 0 for months without any.
+
+    The months run from the first to the last in the data, or from ``start`` or
+    to ``end`` where those lie further out.
+    """
     counts = settle(
         df.filter(F.col(date).isNotNull()).groupBy(F.trunc(date, "MM").alias("month")).agg(F.count(F.lit(1)).alias(out))
     )
-    spine = counts.agg(F.min("month").alias("a"), F.max("month").alias("z")).filter("a is not null").select(
+    bound = lambda d: F.trunc(F.lit(d).cast("date"), "MM")
+    spine = counts.agg(F.least(F.min("month"), bound(start)).alias("a"), F.greatest(F.max("month"), bound(end)).alias("z")).filter("a is not null and z is not null").select(
         F.explode(F.sequence("a", "z", F.expr(ONE_MONTH))).alias("month")
     )
     return spine.join(counts, "month", "left").withColumn(out, F.coalesce(out, F.lit(0)))

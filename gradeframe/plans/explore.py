@@ -176,7 +176,7 @@ def sires(fact: DataFrame, edges: DataFrame, support: int = 30) -> dict[str, Dat
 
 
 def herd_rates(fact: DataFrame, area: DataFrame) -> dict[str, DataFrame]:
-    """High-grade rate by herd size and by density quartile (quartiles over animals)."""
+    """High-grade rate by herd size and by density quartile (quartiles over graded_rows)."""
     lookup = settle(joins.unique_lookup(farms(area).select(FARM, "avg_cattle", "density"), [FARM], ["avg_cattle", "density"]))
     df = joins.lookup_join(fact, lookup, [FARM], "left")
     sized = df.withColumn("size", binning.fixed_bins(F.col("avg_cattle"), domain.HERD_EDGES, domain.HERD_LABELS))

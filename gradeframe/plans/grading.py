@@ -145,7 +145,7 @@ def with_target(fact: DataFrame) -> DataFrame:
     """Ordinal grade score and class index."""
     grade = F.col("LAST_GRADE")
     return fact.withColumns({
-        "grade_score": domain.grade_score(grade).cast("double"), "label": domain.grade_index(grade),
+        "grade_score": domain.grade_score(grade).cast("double"), "label": domain.grade_index(grade, strict=True),
     })
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradeframe.functions import domain
 from gradeframe.functions.domain import GRADES, OUTSIDE
 from gradeframe.operators import encoding, joins, metrics, profile, sampling
 from gradeframe.plans import grading, training
@@ -48,10 +49,15 @@ def read_inputs(spark: SparkSession, folder: str, train: str, scoring: str, weat
 
 
 def fold_features(inputs: Inputs, lookups: grading.Lookups, key: str, folds: int, weather_start: str) -> DataFrame:
-    """Training features, fold numbers and the encodings of every fold."""
+    """Training features, fold numbers and the encodings of every fold.
+
+    Folds need the key and the label only, so they are drawn on the bare rows and
+    the wide features are computed once.
+    """
+    bare = inputs.train.select(key, domain.grade_index(F.col(LABEL), strict=True).alias("label"))
+    drawn = settle(sampling.stratified_folds(bare, [key], "label", folds).select(key, "fold"))
     df = grading.training_features(inputs.train, lookups, weather_start)
-    df = df.select(key, grading.FARM, "grade_score", "label", *grading.FEATURES)
-    df = sampling.stratified_folds(df, [key], "label", folds)
+    df = df.select(key, grading.FARM, "grade_score", "label", *grading.FEATURES).join(drawn, key)
     return encoding.with_fold_encoding(df, grading.FARM, "grade_score", "fold", folds, "farm_grade")
 
 
@@ -65,6 +71,8 @@ def full_run(
     under a fingerprint of the inputs and settings, and reused by a later run.
     """
     spark = inputs.train.sparkSession
+    for rows in (inputs.train, inputs.scoring):
+        joins.require_row_key(rows, [key])
     named = {k: v for k, v in vars(inputs).items() if v is not None and k != "scoring"}
     mark = store.fingerprint(named, {"params": params, "folds": folds, "start": weather_start}) if root else ""
     lookups = grading.lookups(inputs.weather, inputs.area, inputs.death)
@@ -93,6 +101,8 @@ def baseline_run(
     Sire, strain and farm means come from the training part only, so the
     hold-out score does not see its own targets; scoring uses them too.
     """
+    for rows in (inputs.train, inputs.scoring):
+        joins.require_row_key(rows, [key])
     lookups = grading.lookups(inputs.weather, inputs.area, inputs.death, base=True)
     picked = sampling.stratified_sample(inputs.train, [key], LABEL, sample)
     split = settle(sampling.stratified_holdout(picked, [key], LABEL, 0.2))

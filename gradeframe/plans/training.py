@@ -141,7 +141,11 @@ def fit_all(
 
     def fit():
         data = weighted(with_classes(feature_matrix(df, features, [key, label]), label, classes), "label")
-        return params.forest(trees).fit(with_classes(data, "label", classes))
+        data = with_classes(data, "label", classes).cache()
+        try:
+            return params.forest(trees).fit(data)
+        finally:
+            data.unpersist()
 
     if store is None:
         return fit()

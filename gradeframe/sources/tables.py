@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleTyp
 
 
 def _schema(columns: str) -> T.StructType:
-    """Schema from ``name type`` pairs, without needing a session."""
+    """Schema from ``name type`` pairs, without needing a session as ``fromDDL`` does."""
     pairs = [c.split() for c in columns.split(",")]
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
@@ -45,20 +46,37 @@ def _typed(name: str, data_type: T.DataType) -> Column:
     return F.col(name).try_cast(data_type).alias(name)
 
 
+def _by_name(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a CSV path as text columns, matched by name.
+
+    Spark takes one header for all files of a scan. So the first line of each
+    file is compared, and files with another column order are scanned apart.
+    """
+    headers = (
+        spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        .filter("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+        .groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    )
+    if len(headers) <= 1:
+        return spark.read.option("header", True).csv(path)
+    scans = [spark.read.option("header", True).csv(row["files"]) for row in headers]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
     """Header CSV by column name, with declared types and an optional column subset.
 
-    Reads UTF-8 with or without a byte order mark. Only the header is looked at
-    to plan; unused columns are pruned from the scan. A wanted column the file
+    Reads UTF-8 with or without a byte order mark; files may differ in column
+    order. Unused columns are pruned from the scan. A wanted column the file
     lacks is left out, and a value that does not fit its type is NULL.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = _by_name(spark, path)
     wanted = [f for f in schema if columns is None or f.name in columns]
     return raw.select([_typed(f.name, f.dataType) for f in wanted if f.name in raw.columns])
 
 
 def read_full_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every column of the file, in file order; those in ``schema`` get its type."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = _by_name(spark, path)
     types = {f.name: f.dataType for f in schema}
     return raw.select([_typed(c, types.get(c, T.StringType())) for c in raw.columns])

@@ -16,7 +16,7 @@ def check_groups(spark, groups):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs]
     random.Random(1).shuffle(data)
     df = spark.createDataFrame(data, "g string, x double").repartition(5)
-    got = {(r["g"], r["probability"]): r["value"] for r in q.quantiles(df, "x", PROBS, ["g"], direct_values=0).collect()}
+    got = {(r["g"], r["probability"]): r["value"] for r in q.quantiles(df, "x", PROBS, ["g"]).collect()}
     assert len(got) == len(groups) * len(PROBS)
     for g, vs in groups.items():
         for p in PROBS:
@@ -43,24 +43,24 @@ def test_coarse_sketch_is_still_exact(spark):
     rnd = random.Random(7)
     values = [rnd.random() ** 9 for _ in range(5000)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r["probability"]: r["value"] for r in q.quantiles(df, "x", PROBS, accuracy=20, direct_values=0).collect()}
+    got = {r["probability"]: r["value"] for r in q.quantiles(df, "x", PROBS, accuracy=20).collect()}
     assert [got[p] for p in PROBS] == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12)
 
 
 def test_both_ways_agree_and_skip_missing(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", math.nan), ("a", 2.0), (None, 5.0), ("b", None)], "g string, x double")
-    for direct in (0, 100):
-        got = sorted(tuple(r) for r in q.quantiles(df, "x", [0.5], ["g"], direct_values=direct).collect())
+    for _ in range(2):
+        got = sorted(tuple(r) for r in q.quantiles(df, "x", [0.5], ["g"]).collect())
         assert got == [("a", 0.5, 1.5)]
 
 
 def test_interpolation_and_infinity(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0, 10.0)], "x double")
-    for direct in (0, 100):
-        (row,) = q.quantiles(df, "x", [0.9], direct_values=direct).collect()
+    for _ in range(2):
+        (row,) = q.quantiles(df, "x", [0.9]).collect()
         assert row["value"] == pytest.approx(7.6)
     inf = spark.createDataFrame([(x,) for x in (1.0, math.inf, math.inf, math.inf)], "x double")
-    assert q.quantiles(inf, "x", [0.9], direct_values=0).first()["value"] == math.inf
+    assert q.quantiles(inf, "x", [0.9]).first()["value"] == math.inf
 
 
 def test_empty_input(spark):
