@@ -91,7 +91,8 @@ class Runs:
     """All runs of a block, and its distinct ones (by anchor and content) with their first places."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
+        # The same order in every phase: pieces of a block are cut at fixed places.
+        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
         self.doc_ids = table["doc_id"].to_pylist()
         self.data, self.offsets = flat_bytes(table["text"])
         self.start, self.size, self.anchor = runs_of(self.data, self.offsets)
@@ -242,7 +243,7 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        keys, counts = np.unique(Runs(table.select(["doc_id", "text"])).anchor, return_counts=True)
+        keys, counts = np.unique(Runs(table).anchor, return_counts=True)
         packed = _packed({"keys": keys, "counts": np.minimum(counts, 2).astype(np.uint8)}, bucket_bounds(keys, blocks))
         return pa.table(packed | {"block": pa.array(np.full(len(packed["bucket"]), table["block"][0].as_py()), pa.int32())}).select(["bucket", "block", "keys", "counts"])
 
@@ -300,7 +301,7 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
         })
 
     def remove(mine: pa.Table, told: pa.Table) -> pa.Table:
-        mine, told = mine.combine_chunks(), told.sort_by("bucket")
+        told = told.sort_by("bucket")
         runs = Runs(mine)
         runs.keep(np.unique(_bytes(told["keys"], np.uint64)))
         change = np.zeros(len(runs.data) + 1, dtype=np.int64)
@@ -314,7 +315,7 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
             places = runs.start[first][which] + offset
             np.add.at(change, places, 1)
             np.add.at(change, places + WINDOW, -1)
-        return finish(mine, runs.data, runs.offsets, np.cumsum(change)[:-1] > 0)
+        return finish(runs.table, runs.data, runs.offsets, np.cumsum(change)[:-1] > 0)
 
     kinds = "bucket int, block int, keys binary, names binary, sizes binary, docs binary, starts binary, contents binary"
     empty_runs = pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith(" int") else pa.binary()) for c in kinds.split(", ")})
