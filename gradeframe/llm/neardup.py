@@ -208,12 +208,14 @@ def crowded_candidates(classes: DataFrame, labels: DataFrame, number: int, reach
     salt = F.xxhash64("node")
     all_rows = rows.withColumn("mine", F.pmod(salt, blocks("count"))).withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks("others") - 1))).select("tree", "path", "mine", "theirs", "node", "root", "n", "sig")
     asked = rows.filter("root != main").withColumn("theirs", F.pmod(salt, blocks("others"))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks("count") - 1))).select("tree", "path", "mine", "theirs", "node", "root", "n", "sig")
+    # Names of its own, as both sides come from one table.
+    asked = asked.toDF(*[f"asked_{c}" for c in asked.columns])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
             mine, roots, sizes, nodes = _sigs(left["sig"]), np.array(left["root"].to_pylist(), dtype=object), left["n"].to_numpy(), left["node"].to_pylist()
-            for node, root, n, sig in zip(right["node"].to_pylist(), right["root"].to_pylist(), right["n"].to_pylist(), _sigs(right["sig"])):
+            for node, root, n, sig in zip(right["asked_node"].to_pylist(), right["asked_root"].to_pylist(), right["asked_n"].to_pylist(), _sigs(right["asked_sig"])):
                 close = ((mine == sig).mean(axis=1) >= lowest) & (np.minimum(sizes, n) >= bound * np.maximum(sizes, n)) & (roots != root)
                 for i in np.flatnonzero(close).tolist():
                     a.append(min(node, nodes[i]))
@@ -221,7 +223,7 @@ def crowded_candidates(classes: DataFrame, labels: DataFrame, number: int, reach
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     key = ["tree", "path", "mine", "theirs"]
-    return all_rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, _PAIRS).distinct()
+    return all_rows.groupBy(*key).cogroup(asked.groupBy(*[f"asked_{c}" for c in key])).applyInArrow(meet, _PAIRS).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
