@@ -56,10 +56,14 @@ def stratified_folds(spark, sf):
     return sampling.stratified_folds(_keys(spark, sf), ["animal"], "priority", 3, method="md5", rows_per_range=1000)
 
 
-@query()
+@query("SELECT DISTINCT o_orderpriority AS priority, true AS plausible FROM orders")
 def stratified_sample_approx(spark, sf):
-    """Bernoulli sample per class: sizes are only expected, so there is no SQL twin."""
-    return sampling.stratified_sample_approx(_keys(spark, sf), "priority", {p: 0.25 for p in PRIORITIES})
+    """Bernoulli sample per class: every class is there, with a size within six deviations of the expected one."""
+    keys = _keys(spark, sf)
+    got = sampling.stratified_sample_approx(keys, "priority", {p: 0.25 for p in PRIORITIES}).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    whole = keys.groupBy("priority").agg(F.count(F.lit(1)).alias("of"))
+    off = F.abs(F.coalesce("n", F.lit(0)) - 0.25 * F.col("of"))
+    return whole.join(got, "priority", "left").select("priority", (off <= 6 * F.sqrt(0.25 * 0.75 * F.col("of"))).alias("plausible"))
 
 
 @query(with_roles("graded_rows", "SELECT year(judged) <= 1997 AS is_train, count(*) AS n FROM graded_rows GROUP BY 1"))
@@ -269,57 +273,81 @@ def _cross_validated(df, classes, label, params=PARAMS):
     return training.cross_validate(df, "animal", SMALL, label, "fold", 2, classes, params, per_fold={"farm_grade_loo": "farm_grade_loo"})
 
 
-@query()
+# Learned values differ between engines, so these queries register what holds for
+# any right model: every row once, known classes, probabilities of a distribution.
+
+_LEARNED = "1e0 AS total, true AS known, true AS first_max"
+
+
+def _checked(found, classes, key):
+    """Per row: the sum of its probabilities, whether its class is listed and the first most likely one."""
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    best = encode.label_of(encode.first_argmax(F.col("probability")), classes)
+    return found.select(*key, F.round(total, 6).alias("total"), F.col("predicted_class").isin(classes).alias("known"), (F.col("predicted_class") == best).alias("first_max"))
+
+
+@query(with_roles("graded_rows", f"SELECT animal, {_LEARNED} FROM graded_rows"))
 def oof_predictions(spark, sf):
-    """Out-of-fold class probabilities, one row per animal."""
+    """Out-of-fold class probabilities: each row is predicted once, by a model that has not seen it."""
     df, classes, _ = _learning_set(spark, sf)
-    found = _cross_validated(df, classes, "quality").predictions
-    wide = [F.get("probability", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(classes)]
-    return found.select("animal", "fold", *wide, "predicted_class")
+    return _checked(_cross_validated(df, classes, "quality").predictions, classes, ["animal"])
 
 
-@query()
+@query("SELECT CAST(2 AS BIGINT) AS folds, true AS in_range, true AS between_folds, true AS grown")
 def fold_scores(spark, sf):
+    """Fold scores and the overall macro-F1 lie between 0 and 1; the refit size follows the folds' sizes."""
     df, classes, _ = _learning_set(spark, sf)
     cv = _cross_validated(df, classes, "quality")
-    overall = metrics.macro_f1(cv.predictions, "label", "predicted")
-    return joins.attach(metrics.score_summary(cv.folds, "f1", "trees"), overall, [])
+    overall = metrics.macro_f1(cv.predictions, "label", "predicted").select(F.col("macro_f1").alias("_all"))
+    rows = joins.attach(cv.folds, overall, [])
+    return rows.agg(
+        F.count_distinct("fold").alias("folds"), F.bool_and(F.col("f1").between(0, 1) & F.col("_all").between(0, 1)).alias("in_range"),
+        (F.abs(F.avg("f1") - F.first("_all")) < 0.2).alias("between_folds"), F.bool_and(F.col("trees").isin(*PARAMS.tree_grid)).alias("grown"),
+    )
 
 
-@query()
+@query(with_roles("graded_rows", """
+    SELECT animal, stn, judged, CAST(round(weight, 2) AS DOUBLE) AS weight, true AS known FROM graded_rows WHERE year(judged) > 1996"""))
 def scored_orders(spark, sf):
-    """Train on earlier years, score later rows, write classes beside the original columns."""
+    """Train on earlier years, score later rows: all original rows and columns, each with a listed class."""
     fact, daily, area, death, _ = domain_tables(spark, sf)
-    train, later = sampling.split_by_year(fact, "ABATT_DATE", 1999)
+    train, later = sampling.split_by_year(fact, "ABATT_DATE", 1996)
     lookups = grading.lookups(daily, area, death)
     learn = settle(grading.training_features(train, lookups, FLOOR))
     encodings = settle(grading.encoding_table(train))
     rows = grading.scoring_features(later, lookups, encodings, train, FLOOR)
     model = training.fit_all(learn, "animal", grading.FEATURES, "label", domain.GRADES, 5, PARAMS)
-    return training.predict_rows(model, rows, later, "animal", grading.FEATURES, domain.GRADES, "LAST_GRADE", domain.OUTSIDE)
+    found = training.predict_rows(model, rows, later, "animal", grading.FEATURES, domain.GRADES, "LAST_GRADE", domain.OUTSIDE)
+    return found.select(
+        "animal", F.col("stn").cast("long").alias("stn"), F.col("ABATT_DATE").alias("judged"), F.round(F.col("WEIGHT") * 1000, 2).alias("weight"),
+        F.col("LAST_GRADE").isin(domain.GRADES).alias("known"),
+    )
 
 
-@query()
+@query("SELECT unnest(['WEIGHT', 'AGE', 'sex_code', 'abatt_month', 's_thi_mean', 'farm_grade_loo']) AS feature, true AS valid, 1e0 AS total")
 def feature_importance(spark, sf):
+    """Importances of a model over all rows: one for each feature, none negative, together one."""
     df, classes, _ = _learning_set(spark, sf)
     names = [f"{c}_0" if c == "farm_grade_loo" else c for c in SMALL]
-    model = training.fit_all(df.filter("fold <> 0"), "animal", names, "quality", classes, 5, PARAMS)
-    return training.importance_table(model, SMALL).orderBy(F.desc("importance"), "feature")
+    model = training.fit_all(df, "animal", names, "quality", classes, 5, PARAMS)
+    found = training.importance_table(model, SMALL)
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return joins.attach(found.select("feature", (F.col("importance") >= 0).alias("valid")), total, [])
 
 
-@query()
+@query(with_roles("graded_rows", "SELECT animal, true AS known FROM graded_rows"))
 def two_part_class(spark, sf):
-    """Quality and yield predicted apart and joined into the final class."""
+    """Quality and yield predicted apart and joined into one of the listed classes."""
     df, classes, yields = _learning_set(spark, sf)
     parts = [
         _cross_validated(df, c, label).predictions.select("animal", F.col("predicted_class").alias(label))
         for label, c in (("quality", classes), ("yield", yields))
     ]
     both = parts[0].join(parts[1], "animal")
-    return both.select("animal", domain.join_grade(F.col("quality"), F.col("yield")).alias("grade"))
+    return both.select("animal", domain.join_grade(F.col("quality"), F.col("yield")).isin(domain.GRADES).alias("known"))
 
 
-@query()
+@query(with_roles("graded_rows", f"SELECT animal, {_LEARNED} FROM graded_rows"))
 def stacked_classes(spark, sf):
     """A second classifier on two models' out-of-fold probabilities."""
     df, classes, _ = _learning_set(spark, sf)
@@ -331,4 +359,4 @@ def stacked_classes(spark, sf):
     for held in (0, 1):
         model = PARAMS.forest(5).fit(training.with_classes(labelled.filter(F.col("fold") != held), "label", classes))
         parts.append(training.score(model, labelled.filter(F.col("fold") == held), ["animal", "label"], classes))
-    return joins.stack_rows(*parts).select("animal", "label", "predicted_class")
+    return _checked(joins.stack_rows(*parts), classes, ["animal"])
