@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gradeframe.llm.lm import bucket_bounds
-from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, id_and_text, ragged, span_hashes, text_bytes
+from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, mix, ragged, span_hashes, text_bytes
 
 WINDOW = 100
 ANCHOR = 32
@@ -80,7 +80,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor:
         if len(first):
             breaks = np.flatnonzero(np.append(change | ~whole, True))
             size = breaks[np.searchsorted(breaks, first, side="right")] - first
-            found.append((first + begin, size, hashes[anchors[first]]))
+            # Anchors are least hashes, so they lie low; mixed again they fill all buckets alike.
+            found.append((first + begin, size, mix(hashes[anchors[first]])))
         begin = stop
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
