@@ -2,9 +2,10 @@
 
 Every row gets a hash of its key and seed. A group's rows are split at exact
 ranks of that hash without sorting the group: hash ranges are counted, the
-range that holds a split point is found, and only the rows of that one range
-are ranked. Everything else is decided row by row, so a class that holds most
-of the table never gathers in one task. The result depends on key and seed
+range that holds a split point is found, and only the keys and hashes of that
+one range are ranked, to find the row at the split point. Every row is then
+placed by comparing its hash and key with those few, in one pass, so a class
+that holds most of the table never gathers in one task. The result depends on key and seed
 only, not on partitioning. Rows are identified by ``key``, which must be unique.
 """
 
@@ -14,13 +15,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gradeframe.operators.joins import attach
+from gradeframe.operators.joins import attach, lookup_join
 from gradeframe.session import settle
 
 ROWS_PER_RANGE = 100_000
 # Few enough ranges that counting them combines well on the map side; a range
 # of a very large group is then longer, which only the ranked ranges notice.
-MAX_RANGES = 65_536
+MAX_RANGES = 1 << 20
 
 
 def _hash_columns(key: Sequence[str], seed: int, method: str) -> tuple[Column, Column]:
@@ -69,33 +70,27 @@ def hash_split(
         .withColumn("_p", F.explode(points))
         .filter((F.col("_before") <= F.col("_p.at")) & (F.col("_p.at") < F.col("_before") + F.col("_c")))
     )
-    # One column pair per split point, one row per group.
-    fields = []
-    for i in range(len(bounds)):
-        mine = F.col("_p.i") == i
-        fields.append(F.max(F.when(mine, F.col("_r"))).alias(f"_cut{i}"))
-        fields.append(F.max(F.when(mine, F.col("_p.at") - F.col("_before"))).alias(f"_take{i}"))
-    cuts = sizes.select(*by).join(cut.groupBy(*by).agg(*fields), by, "left") if by else cut.agg(*fields)
-    placed = attach(ranged, settle(cuts) if by else cuts, by)
-
-    def segment(at_cut: Column | None) -> Column:
-        total_below = F.lit(0)
-        for i in range(len(bounds)):
-            r, c = F.col("_r"), F.col(f"_cut{i}")
-            here = F.when(r > c, 1)
-            if at_cut is not None:
-                here = here.when((r == c) & (at_cut > F.col(f"_take{i}")), 1)
-            total_below = total_below + here.otherwise(0)
-        return total_below
-
-    in_cut = F.lit(False)
-    for i in range(len(bounds)):
-        in_cut = in_cut | (F.col("_r") == F.coalesce(F.col(f"_cut{i}"), F.lit(-1)))
-    plain = placed.filter(~in_cut).withColumn(out, segment(None))
-    rank = F.row_number().over(W.partitionBy(*by, "_r").orderBy("_h", *key))
-    ranked = placed.filter(in_cut).withColumn("_rank", rank).withColumn(out, segment(F.col("_rank")))
-    columns = [*df.columns, out]
-    return plain.select(*columns).unionByName(ranked.select(*columns))
+    # The row at each split point, found among the keys and hashes of its range alone.
+    wanted = settle(cut.select(*by, "_r", F.col("_p.i").alias("_i"), (F.col("_p.at") - F.col("_before")).alias("_take")))
+    narrow = ranged.select(*by, "_r", "_h", *key)
+    ranges = wanted.select(*by, "_r").distinct()
+    rank = F.row_number().over(W.partitionBy(*by, "_r").orderBy("_h", *key)) - 1
+    ranked = lookup_join(narrow, ranges, [*by, "_r"], "inner").withColumn("_rank", rank)
+    position = F.struct(F.col("_h"), *[F.col(k) for k in key])
+    at_split = ranked.withColumn("_at", position).join(wanted, [*by, "_r"]).filter("_rank = _take")
+    fields = [F.max(F.when(F.col("_i") == i, F.col("_at"))).alias(f"_at{i}") for i in range(len(bounds))]
+    if by:
+        rows = attach(rows, settle(sizes.select(*by).join(at_split.groupBy(*by).agg(*fields), by, "left")), by)
+        limits = [F.col(f"_at{i}") for i in range(len(bounds))]
+    else:
+        # One row: its positions come in as literals.
+        table = at_split.agg(*fields)
+        found = table.first()
+        kind = table.schema[0].dataType
+        limits = [F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(at, kind)]) if at is not None else None for at in found]
+    reached = [F.coalesce(position >= at, F.lit(False)).cast("int") for at in limits if at is not None]
+    segment = sum(reached, F.lit(0))
+    return rows.withColumn(out, segment).select(*df.columns, out)
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42, method: str = "xxhash64", **kw) -> DataFrame:
