@@ -264,3 +264,12 @@ def yield_index(spark, sf):
     )
     df = df.withColumn("yi", domain.yield_index(F.col("sex"), F.col("fat"), F.col("eye"), F.col("kg")))
     return df.select("animal", stable_round(F.col("yi"), 4).alias("yield_index"), domain.yield_grade(F.col("sex"), F.col("yi")).alias("yield_grade"))
+
+
+@query(f"""SELECT c_custkey AS farm, region, coalesce(CAST(list_position([{', '.join(f"'{n}'" for n in domain.REGIONS)}], region) - 1 AS INTEGER), -1) AS code
+    FROM (SELECT c_custkey, [{', '.join(f"'{n}'" for n in domain.REGIONS)}, '미상'][CAST(c_custkey % 21 AS INTEGER) + 1] AS region FROM customer)""")
+def region_codes(spark, sf):
+    """The region dictionary over all its names, an unknown name and a missing one."""
+    names = F.array(*[F.lit(n) for n in [*domain.REGIONS, "미상"]])
+    df = roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("farm"), F.get(names, (F.col("c_custkey") % 21).cast("int")).alias("region"))
+    return df.withColumn("code", domain.region_code(F.col("region")))

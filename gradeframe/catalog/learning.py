@@ -166,6 +166,20 @@ def csv_round_trip(spark, sf):
     )
 
 
+@query(with_roles("daily", f"""SELECT stn, date, count(*) AS n, {r('sum(ta_max)')} AS ta_max, {r('sum(ta_min)')} AS ta_min, {r('sum(rhm_avg)')} AS rhm_avg,
+    {r('sum(rn_day)')} AS rn_day, {r('sum(ws_davg)')} AS ws_davg FROM daily GROUP BY 1, 2"""))
+def csv_full_round_trip(spark, sf):
+    """Every column of the daily readings, dates included, through two CSV files with different column orders."""
+    path = f"{checkpoint_dir(spark)}/csv_full-{store.fingerprint({'l': roles.table(spark, sf, 'lineitem')})}"
+    daily = roles.daily(spark, sf)
+    even = daily.filter("stn % 2 = 0")
+    sinks.write_csv(even, path, bom=True)
+    daily.filter("stn % 2 <> 0 OR stn IS NULL").select(*reversed(daily.columns)).write.mode("append").option("header", True).csv(path)
+    back = tables.read_csv(spark, path, tables.WEATHER)
+    sums = [stable_round(F.sum(c), 4).alias(c) for c in ("ta_max", "ta_min", "rhm_avg", "rn_day", "ws_davg")]
+    return back.groupBy(F.col("stn").cast("long").alias("stn"), "date").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 @query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1")
 def reuse_or_write(spark, sf):
     """The second request reads what the first one wrote."""
