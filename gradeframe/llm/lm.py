@@ -37,7 +37,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: The lowest bits of a key tell the length of its n-gram.
 _LEVEL = np.uint64(7)
 
-#: Bytes of text in a block of documents, and n-grams' share of work in a bucket.
+#: Bytes of text in a block of documents; there are as many buckets as blocks.
 BLOCK_BYTES = 6 << 20
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -109,8 +109,22 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def _joined(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+def packed_counts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Counts of each run in the fewest bytes that its largest one needs; a first byte tells how many."""
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        kind = np.min_scalar_type(values[a:b].max(initial=0))
+        out.append(bytes([kind.itemsize]) + values[a:b].astype(kind).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked_counts(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(raw, dtype=f"u{raw[0]}", offset=1).astype(np.int64) for raw in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
 
 
 def automaton_scores(block: Block, places: list[np.ndarray], totals: np.ndarray, n_train: int, vocabulary: int, pseudo: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,20 +186,20 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
         cut = np.append(bounds[some], len(keys))
         return pa.table({
             "bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), table["block"][0].as_py()), pa.int32()),
-            "keys": binary_column(keys, cut), "counts": binary_column(counts.astype(np.uint32), cut),
+            "keys": binary_column(keys, cut), "counts": packed_counts(counts, cut),
         })
 
     def answers(table: pa.Table) -> pa.Table:
-        keys, counts = _joined(table["keys"]), _joined(table["counts"], np.uint32)
+        keys, counts = _joined(table["keys"]), unpacked_counts(table["counts"])
         _, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
         cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": binary_column(totals, cut)})
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": packed_counts(totals, cut)})
 
     def scores(mine: pa.Table, got: pa.Table) -> pa.Table:
         data, offsets = flat_bytes(mine["text"])
         block = Block(data, offsets, order)
-        totals = _joined(got.sort_by("bucket")["totals"], np.int64)
+        totals = unpacked_counts(got.sort_by("bucket")["totals"])
         known, base, score = automaton_scores(block, block.distinct()[1], totals, n_train, vocabulary, list(pseudo))
         return pa.table({
             "doc_id": mine["doc_id"], "held_out": mine["held_out"], "n_tokens": pa.array(np.diff(block.offsets) - 1, pa.int64()), "n_known": pa.array(known, pa.int64()),

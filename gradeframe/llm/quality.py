@@ -121,7 +121,7 @@ def js_distance(p: str, q: str) -> Column:
 
 
 def apply_rules(
-    docs: DataFrame, max_class_distance: float = 0.2, max_word_distance: float = 0.6, min_chars: int = 300, min_words: int = 100,
+    docs: DataFrame, max_class_distance: float = 0.2, class_slack: float = 0.8, max_word_distance: float = 0.6, min_chars: int = 300, min_words: int = 100,
     max_symbol_share: float = 0.05,
     id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
 ) -> DataFrame:
@@ -129,7 +129,9 @@ def apply_rules(
 
     A text is kept if the counting rules pass and, where it is long enough for
     a histogram (`min_chars` characters in words, `min_words` words), neither
-    distance to its language is above its limit.
+    distance to its language is above its limit. A short text's histogram is
+    noisier, so its class limit is wider by `class_slack` over the square root
+    of its characters.
     """
     # Written once: the references and the verdicts both read it, without the texts.
     counts = stored(counted(docs, id_column, text_column, lang_column), "quality-counts")
@@ -143,7 +145,7 @@ def apply_rules(
     ).join(F.broadcast(refs) if small else refs, "lang", "left")
     judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes")).withColumn("word_distance", js_distance("commons", "ref_words"))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    too_far = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
+    too_far = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance + class_slack / F.sqrt("word_chars"))) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~F.coalesce(too_far, F.lit(False)) & (F.col("n_symbols") <= max_symbol_share * F.col("word_chars"))).alias("kept"),

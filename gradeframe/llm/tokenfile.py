@@ -33,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.llm.text import id_and_text, partitions_for, shared_folder, stored, text_bytes
+from gradeframe.llm.text import id_and_text, partitions_for, shared_folder, slices, stored, text_bytes
 
 #: Fixed values of the public zstandard formats.
 INDEX_MAGIC = 0x184D2A5D  # a skippable frame, here the document index
@@ -43,8 +43,8 @@ CHECKSUMS = 0x80  # descriptor: entries have checksums
 
 #: Bytes of ids after which a frame ends (always at the end of a document).
 FRAME_BYTES = 256 << 10
-#: Distinct words whose ids a worker remembers; beyond, it starts afresh.
-REMEMBERED = 250_000
+#: Distinct words whose ids a worker remembers, the first it meets; others are encoded again in each batch.
+REMEMBERED = 400_000
 #: Bytes of text to a file.
 FILE_BYTES = 16 << 20
 
@@ -64,18 +64,28 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # A special token that can stand between words, where there is one.
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(((text, i) for i, text in special.items()), (None, -1))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, in one call of the library where a mark can tell them apart."""
+        if self.mark is None or any(self.mark in w for w in words):
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, dtype="<u4")
+        raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark_id) * 4
+        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        missing = set().union(*words).difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set().union(*words)
+        missing = list(set().union(*words).difference(self.known))
         if missing:
-            wanted = list(missing)
-            for word, made in zip(wanted, self.tokenizer.encode_batch(wanted, add_special_tokens=False)):
-                self.known[word] = np.array(made.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+            self.known.update(zip(missing, self.ids_of(missing)))
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        if len(self.known) > REMEMBERED:
+            for word in missing:
+                del self.known[word]
+        return out
 
 
 class SeekableWriter:
@@ -185,8 +195,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         with files.open_output_stream(path, compression=None) as stream:
             writer = SeekableWriter(stream)
             for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    few = batch.slice(first, 256)
+                for few, _, _ in slices([batch]):
                     for doc_id, ids in zip(few.column("doc_id").to_pylist(), encoder.encode(few.column("text").to_pylist())):
                         writer.add(doc_id, ids + end)
             total = writer.close()
