@@ -5,7 +5,7 @@ a MinHash signature, cut into the paths of several trees. A tree is the classes
 in the order of their paths: one sort by ranges of (tree, path, class), which no
 hot path can unbalance. In a sorted run the neighbours with the longest common
 prefixes are the candidates; the depth adapts to the region, since in a crowded
-one the nearest neighbours share longer prefixes.
+one only the two nearest count, which share longer prefixes.
 
 Candidates pass a size bound and a sketch bound (five standard deviations below
 the wanted similarity), then full sets decide. First each class is compared
@@ -130,10 +130,13 @@ def _near(trees: np.ndarray, paths: np.ndarray, reach: int, depth: int) -> tuple
     shared = np.where(trees[1:] == trees[:-1], _common(paths), 0)
     before, after = [], []
     least = shared
+    # In a region with more members than `reach`, which is finished exactly later, the two nearest will do.
+    region = np.concatenate(([0], np.cumsum(shared < depth)))
+    crowded = (np.bincount(region) > reach)[region]
     for step in range(1, min(reach, len(trees) - 1) + 1):
         if step > 1:
             least = np.minimum(least[:-1], shared[step - 1 :])
-        at = np.flatnonzero(least >= depth)
+        at = np.flatnonzero((least >= depth) & ((step <= 2) | ~crowded[step:]))
         before.append(at)
         after.append(at + step)
     return np.concatenate(before), np.concatenate(after)
