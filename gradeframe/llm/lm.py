@@ -110,16 +110,22 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
 
 
 def packed_counts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Counts of each run in the fewest bytes that its largest one needs; a first byte tells how many."""
+    """Counts of each run, one byte each; those of 255 and more stand in full before them."""
+    small = np.minimum(values, 255).astype(np.uint8)
     out = []
     for a, b in zip(bounds[:-1], bounds[1:]):
-        kind = np.min_scalar_type(values[a:b].max(initial=0))
-        out.append(bytes([kind.itemsize]) + values[a:b].astype(kind).tobytes())
+        large = values[a:b][small[a:b] == 255].astype("<u8")
+        out.append(len(large).to_bytes(4, "little") + large.tobytes() + small[a:b].tobytes())
     return pa.array(out, pa.binary())
 
 
 def unpacked_counts(column: pa.ChunkedArray) -> np.ndarray:
-    parts = [np.frombuffer(raw, dtype=f"u{raw[0]}", offset=1).astype(np.int64) for raw in column.to_pylist()]
+    parts = []
+    for raw in column.to_pylist():
+        large = int.from_bytes(raw[:4], "little")
+        counts = np.frombuffer(raw, np.uint8, offset=4 + 8 * large).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(raw, "<u8", large, 4).astype(np.int64)
+        parts.append(counts)
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
