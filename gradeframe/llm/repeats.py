@@ -20,8 +20,14 @@ Documents are dealt into blocks (one shuffle, read three times):
    place is removed whole.
 
 Copies collapse to one run per block before they are shuffled, so a group of
-copies is no hot key. Nothing is kept by probability but the identity of 64-bit
-hashes of anchors and runs together; equal windows are compared byte by byte.
+copies is no hot key. An anchor with more distinct runs than `runs_limit`, added
+up over the blocks, is not compared in one bucket: its distinct windows go by
+their own 128-bit hashes to buckets of their own, with their first places, and
+the bucket tells each block whether it holds the first place of all.
+
+Nothing is kept by probability but the identity of 64-bit hashes of anchors and
+runs together, and of those 128 bits; other equal windows are compared byte by
+byte.
 
 Contract: one row per document row; null texts are empty; matches never cross
 documents; a null id is smaller than all others; rows with the same id are the
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gradeframe.llm.lm import bucket_bounds
+from gradeframe.llm.lm import bucket_bounds, packed_counts, unpacked_counts
 from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, mix, ragged, span_hashes, text_bytes
 
 WINDOW = 100
@@ -47,7 +53,13 @@ ANCHOR = 32
 #: Bytes of windows that are looked at together.
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
+#: Distinct runs of one anchor that a bucket compares, of up to 168 bytes each.
+RUNS_LIMIT = 1 << 14
+#: Buckets of windows for each bucket of runs: a block has many more windows than runs.
+WINDOW_BUCKETS = 4
 
+#: Other values for each byte, for the second half of a window's hash.
+_OTHER_VALUES = mix(BYTE_VALUES + np.uint64(1))
 _PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
 _FIRST = np.iinfo(np.int64).min
@@ -88,6 +100,13 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among these sorted ones."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 class Runs:
     """All runs of a block, and its distinct ones (by anchor and content) with their first places."""
 
@@ -98,19 +117,24 @@ class Runs:
         self.data, self.offsets = flat_bytes(table["text"])
         self.start, self.size, self.anchor = runs_of(self.data, self.offsets)
 
+    def choose(self, chosen: np.ndarray) -> None:
+        self.start, self.size, self.anchor = self.start[chosen], self.size[chosen], self.anchor[chosen]
+
+    def places(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document id of each byte, and its place in the document."""
+        doc = np.searchsorted(self.offsets, start, side="right") - 1
+        ids = np.array([_FIRST if i is None else i for i in self.doc_ids], dtype=np.int64)
+        return ids[doc], start - self.offsets[doc]
+
     def keep(self, repeated: np.ndarray) -> None:
         """Only the runs whose anchors are among these sorted hashes; name the distinct ones."""
-        at = np.minimum(np.searchsorted(repeated, self.anchor), max(len(repeated) - 1, 0))
-        chosen = repeated[at] == self.anchor if len(repeated) else np.zeros(len(self.anchor), dtype=bool)
-        self.start, self.size, self.anchor = self.start[chosen], self.size[chosen], self.anchor[chosen]
+        self.choose(_among(self.anchor, repeated))
         content = np.empty(len(self.start), dtype=np.uint64)
         for first in range(0, len(self.data), PIECE_BYTES):  # prefix sums of bounded pieces
             own = slice(*np.searchsorted(self.start, (first, first + PIECE_BYTES)))
             piece = self.data[first : first + PIECE_BYTES + 2 * WINDOW]
             content[own] = span_hashes(piece, self.start[own] - first, self.start[own] - first + self.size[own] + WINDOW - 1, BYTE_VALUES)
-        doc = np.searchsorted(self.offsets, self.start, side="right") - 1
-        ids = np.array([_FIRST if i is None else i for i in self.doc_ids], dtype=np.int64)
-        self.doc, self.doc_id, self.within = doc, ids[doc], self.start - self.offsets[doc]
+        self.doc_id, self.within = self.places(self.start)
         order = np.lexsort((self.within, self.doc_id, content, self.anchor))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (self.anchor[order][1:] != self.anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -120,6 +144,35 @@ class Runs:
         self.content = content
 
 
+class Windows:
+    """All windows of the runs with these sorted anchors, taken away from the runs; the distinct ones with their first places."""
+
+    def __init__(self, runs: Runs, anchors: np.ndarray):
+        chosen = _among(runs.anchor, anchors)
+        size = runs.size[chosen]
+        self.start = np.repeat(runs.start[chosen], size) + ragged(size)
+        runs.choose(~chosen)
+        self.high, self.low = (np.empty(len(self.start), dtype=np.uint64) for _ in range(2))
+        for first in range(0, len(runs.data) if len(self.start) else 0, PIECE_BYTES):
+            own = slice(*np.searchsorted(self.start, (first, first + PIECE_BYTES)))
+            piece, at = runs.data[first : first + PIECE_BYTES + WINDOW], self.start[own] - first
+            self.high[own] = span_hashes(piece, at, at + WINDOW, BYTE_VALUES)
+            self.low[own] = span_hashes(piece, at, at + WINDOW, _OTHER_VALUES)
+        self.doc_id, self.within = runs.places(self.start)
+        order, fresh = in_place_order(self.high, self.low, self.doc_id, self.within)
+        self.firsts = order[fresh]
+        self.number = np.empty(len(order), dtype=np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+
+
+def in_place_order(high: np.ndarray, low: np.ndarray, doc_id: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by both halves of a name and then by place, and where in it a name is new."""
+    order = np.lexsort((within, doc_id, low, high))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    return order, fresh
+
+
 def type_of(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is larger than its successor (the last one is)."""
     n = len(text)
@@ -232,7 +285,7 @@ def _packed(rows: dict[str, np.ndarray], bounds: np.ndarray) -> dict[str, pa.Arr
     return {"bucket": pa.array(some, pa.int32())} | {name: binary_column(np.ascontiguousarray(values), cut) for name, values in rows.items()}
 
 
-def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[str] | None = None, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[str] | None = None, block_bytes: int = BLOCK_BYTES, runs_limit: int = RUNS_LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Find the bytes to remove and let `finish(table, data, offsets, removed)` make each block's rows of `schema`.
 
     `removed` is a boolean for each byte. `extra` names further columns that
@@ -244,24 +297,33 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        keys, counts = np.unique(Runs(table).anchor, return_counts=True)
-        packed = _packed({"keys": keys, "counts": np.minimum(counts, 2).astype(np.uint8)}, bucket_bounds(keys, blocks))
+        runs = Runs(table)
+        keys, counts = np.unique(runs.anchor, return_counts=True)
+        runs.keep(keys[counts > 1])
+        # At least 2 for an anchor that occurs twice, and at least its distinct runs.
+        distinct = np.bincount(np.searchsorted(keys, runs.anchor[runs.firsts]), minlength=len(keys))
+        bounds = bucket_bounds(keys, blocks)
+        packed = _packed({"keys": keys}, bounds)
+        packed["counts"] = packed_counts(np.maximum(np.minimum(counts, 2), distinct), np.append(bounds[packed["bucket"].to_numpy()], bounds[-1]))
         return pa.table(packed | {"block": pa.array(np.full(len(packed["bucket"]), table["block"][0].as_py()), pa.int32())}).select(["bucket", "block", "keys", "counts"])
 
     def tell_anchors(table: pa.Table) -> pa.Table:
         keys, inverse = np.unique(_bytes(table["keys"], np.uint64), return_inverse=True)
-        twice = np.bincount(inverse, weights=_bytes(table["counts"], np.uint8), minlength=len(keys)) > 1
-        told = twice[inverse]
-        lengths = np.array([len(k) // 8 for k in table["keys"].to_pylist()])
-        cut = np.concatenate(([0], np.cumsum(lengths)))
-        each = np.add.reduceat(told, cut[:-1]) if len(lengths) else lengths
-        found = keys[inverse][told]
-        return pa.table({"block": table["block"], "keys": binary_column(found, np.concatenate(([0], np.cumsum(each))))})
+        total = np.bincount(inverse, weights=unpacked_counts(table["counts"]), minlength=len(keys))[inverse]
+        cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])))
+
+        def chosen(which: np.ndarray) -> pa.Array:
+            return binary_column(keys[inverse][which], np.concatenate(([0], np.cumsum(which)))[cut])
+
+        return pa.table({"block": table["block"], "keys": chosen((total > 1) & (total <= runs_limit)), "many": chosen(total > runs_limit)})
 
     def ask_runs(mine: pa.Table, told: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return empty_runs
         runs = Runs(mine)
+        block = mine["block"][0].as_py()
+        many = np.sort(_bytes(told["many"], np.uint64))
+        windows = Windows(runs, many)
         runs.keep(np.sort(_bytes(told["keys"], np.uint64)))
         own = runs.firsts
         bounds = bucket_bounds(runs.anchor[own], blocks)
@@ -271,9 +333,32 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
         some = packed["bucket"].to_numpy()
         body = runs.data[np.repeat(runs.start[own], length) + ragged(length)]
         packed["contents"] = binary_column(body, ends[np.append(bounds[some], bounds[-1])])
-        return pa.table({"bucket": packed["bucket"], "block": pa.array(np.full(len(some), mine["block"][0].as_py()), pa.int32())} | {k: packed[k] for k in empty_runs.column_names[2:]})
+        packed["block"] = pa.array(np.full(len(some), block), pa.int32())
+        asked = pa.table(packed).select(empty_runs.column_names)
+        if not len(many):
+            return asked
+        own = windows.firsts
+        packed = _packed({"keys": windows.high[own], "names": windows.low[own], "docs": windows.doc_id[own], "starts": windows.within[own]}, bucket_bounds(windows.high[own], blocks * WINDOW_BUCKETS))
+        rows_ = len(packed["bucket"])
+        # Buckets of windows stand behind those of runs; the first row has the anchors, for the block to know them again.
+        packed["bucket"] = pa.array(packed["bucket"].to_numpy() + blocks, pa.int32())
+        packed |= {"block": pa.array(np.full(rows_, block), pa.int32()), "sizes": pa.array([b""] * rows_, pa.binary()), "contents": pa.array([many.tobytes()] + [b""] * (rows_ - 1), pa.binary())}
+        return pa.concat_tables([asked, pa.table(packed).select(empty_runs.column_names)])
+
+    def tell_windows(table: pa.Table) -> pa.Table:
+        """Whether each block's first place of a window is the first of all."""
+        docs_, starts = _bytes(table["docs"], np.int64), _bytes(table["starts"], np.int64)
+        order, fresh = in_place_order(_bytes(table["keys"], np.uint64), _bytes(table["names"], np.uint64), docs_, starts)
+        lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        first = np.empty(len(order), dtype=np.uint8)
+        first[order] = (docs_[order] == docs_[lead]) & (starts[order] == starts[lead])
+        cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])))
+        none = pa.array([b""] * table.num_rows, pa.binary())
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "keys": table["contents"], "docs": none, "starts": none, "masks": binary_column(first, cut)})
 
     def tell_runs(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= blocks:
+            return tell_windows(table)
         keys, names = _bytes(table["keys"], np.uint64), _bytes(table["names"], np.uint64)
         sizes = _bytes(table["sizes"], np.uint8).astype(np.int64)
         docs_, starts = _bytes(table["docs"], np.int64), _bytes(table["starts"], np.int64)
@@ -303,7 +388,10 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
 
     def remove(mine: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("bucket")
+        of_runs = int(np.searchsorted(told["bucket"].to_numpy(), blocks))
+        told, of_windows = told.slice(0, of_runs), told.slice(of_runs)
         runs = Runs(mine)
+        windows = Windows(runs, np.sort(_bytes(of_windows["keys"], np.uint64)))
         runs.keep(np.unique(_bytes(told["keys"], np.uint64)))
         change = np.zeros(len(runs.data) + 1, dtype=np.int64)
         if len(runs.start):
@@ -316,11 +404,17 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
             places = runs.start[first][which] + offset
             np.add.at(change, places, 1)
             np.add.at(change, places + WINDOW, -1)
+        if len(windows.start):
+            lead = windows.firsts[windows.number]
+            kept = _bytes(of_windows["masks"], np.uint8)[windows.number] == 1
+            kept &= (windows.doc_id == windows.doc_id[lead]) & (windows.within == windows.within[lead])
+            np.add.at(change, windows.start[~kept], 1)
+            np.add.at(change, windows.start[~kept] + WINDOW, -1)
         return finish(runs.table, runs.data, runs.offsets, np.cumsum(change)[:-1] > 0)
 
     kinds = "bucket int, block int, keys binary, names binary, sizes binary, docs binary, starts binary, contents binary"
     empty_runs = pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith(" int") else pa.binary()) for c in kinds.split(", ")})
-    anchors = dealt.groupBy("block").applyInArrow(ask_anchors, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(tell_anchors, "block int, keys binary")
+    anchors = dealt.groupBy("block").applyInArrow(ask_anchors, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(tell_anchors, "block int, keys binary, many binary")
     runs = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_runs, kinds)
     told = runs.groupBy("bucket").applyInArrow(tell_runs, "block int, bucket int, keys binary, docs binary, starts binary, masks binary")
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)

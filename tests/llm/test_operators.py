@@ -269,6 +269,22 @@ def test_op9_rows_of_one_id_and_pieces(docs_of, monkeypatch):
     assert windows(whole) == windows(parts)
 
 
+def test_op9_many_contexts_of_one_anchor(docs_of):
+    """A short phrase with other surroundings each time, beside copies: its windows are compared in many buckets."""
+    rnd = random.Random(6)
+    phrase = "this very common phrase of some sixty bytes stands in all texts "
+    line = random_text(rnd, 12)
+    texts = [random_text(rnd, 20) + phrase + random_text(rnd, 20) for _ in range(60)]
+    rows = [*ROWS, *((1000 + i, t) for i, t in enumerate(texts)), *((2000 + i, "x " + t) for i, t in enumerate(texts[:20])), *((3000 + i, line + phrase + line) for i in range(5))]
+    docs = docs_of(rows)
+    want = brute.repeats(rows)
+    for limit in (1, 8):
+        assert by_id(repeats.find_repeats(docs, block_bytes=10_000, runs_limit=limit), *SPANS) == want
+    again = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (5, texts[1]), (2, texts[0]), (1, texts[2])]
+    spans = lambda **options: sorted(map(str, repeats.find_repeats(docs_of(again), **options).collect()))
+    assert spans(block_bytes=2000, runs_limit=1) == spans()
+
+
 def test_op9_cut_keeps_characters_and_columns(documents):
     kept = repeats.without_repeats(documents)
     assert kept.columns == documents.columns
