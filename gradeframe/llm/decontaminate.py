@@ -174,10 +174,15 @@ def _matches_column(found: tuple[np.ndarray, ...], docs: int) -> pa.Array:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the longest matches with their places."""
+    return _judged(docs, _blocks(benchmark, item_column, item_text, broadcast_bytes), window, id_column, text_column).drop("mark")
+
+
+def _judged(docs: DataFrame, blocks: list[DataFrame], window: int, id_column: str, text_column: str) -> DataFrame:
+    """What find_contamination gives; of several blocks also `mark`, a hash of the row's text."""
     rows = id_and_text(docs, id_column, text_column)
     spark = docs.sparkSession
     parts = []
-    for block in _blocks(benchmark, item_column, item_text, broadcast_bytes):
+    for block in blocks:
         tests = spark.sparkContext.broadcast(TestSuffixes([(r["doc_id"], r["text"]) for r in block.toLocalIterator()], window))
 
         def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
@@ -203,25 +208,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, n, found, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "matches", "times"))):
+            for doc_id, mark, n, found, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "n_words", "matches", "times"))):
                 hit = np.zeros(n, dtype=bool)
                 for m in found:
                     hit[m["word_start"] : m["word_start"] + m["n_words"]] = True
                 items = {m["item_id"] for m in found}
-                row = {"doc_id": doc_id, "n_words": n, "n_hit": int(hit.sum()), "n_items": len(items), "items_sha256": digest(items), "contaminated": too_much(int(hit.sum()), n), "matches": found}
+                row = {"doc_id": doc_id, "n_words": n, "n_hit": int(hit.sum()), "n_items": len(items), "items_sha256": digest(items), "contaminated": too_much(int(hit.sum()), n), "matches": found, "mark": mark}
                 out += [row] * times
             yield pa.RecordBatch.from_pylist(out, batch_schema)
 
-    batch_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("word_start", pa.int64()), ("n_words", pa.int64())])))])
-    return merged.select("doc_id", "n_words", "matches", "times").mapInArrow(again, schema)
+    batch_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("word_start", pa.int64()), ("n_words", pa.int64())]))), ("mark", pa.int64())])
+    return merged.select("doc_id", "mark", "n_words", "matches", "times").mapInArrow(again, schema + ", mark long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     blocks = _blocks(benchmark, "item_id", "text", broadcast_bytes)
     if len(blocks) > 1:
-        bad = find_contamination(docs, benchmark, window, broadcast_bytes, id_column, text_column).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col(id_column).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+        # Each row goes by its own text: rows may share an id or have none.
+        bad = _judged(docs, blocks, window, id_column, text_column).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct()
+        same = F.col(id_column).cast("long").eqNullSafe(F.col("_bad")) & F.xxhash64(F.col(text_column).cast("string")).eqNullSafe(F.col("_mark"))
+        return docs.join(bad, same, "left_anti")
     tests = docs.sparkSession.sparkContext.broadcast(TestSuffixes([(r["doc_id"], r["text"]) for r in blocks[0].toLocalIterator()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,20 @@ def test_op2_finds_all_windows(spark, documents):
     assert decontaminate.remove_contaminated(documents, table).columns == documents.columns
 
 
+def test_op2_removes_rows_by_their_own_text(spark, docs_of):
+    """Null and repeated ids: blocks of the benchmark remove the same rows as the whole."""
+    bad = " ".join(ROWS[8][1].split()[100:160])
+    items = spark.createDataFrame([(1, bad), (2, " ".join(ROWS[12][1].split()[:40])), (3, "completely other words " * 10)], "item_id long, text string")
+    rows = [(None, bad), (None, "a clean text"), (None, None), (7, bad), (7, "another clean text"), (7, bad), (7, None), (8, "a clean text"), (8, "a clean text"), (9, bad)]
+    docs = docs_of(rows)
+    want = sorted((str(r) for r in rows if r[1] != bad))
+    for size in (1 << 20, 300):
+        kept = decontaminate.remove_contaminated(docs, items, broadcast_bytes=size)
+        assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == want
+        assert kept.columns == docs.columns
+        assert decontaminate.find_contamination(docs, items, broadcast_bytes=size).count() == len(rows)
+
+
 def test_op2_gives_longest_matches_with_places(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(50))
     docs = docs_of([(1, "start here " + text + " end")])
