@@ -1,8 +1,10 @@
 """The numbered operators against plain versions, on edge cases and on whole small tables."""
 
 import io
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +88,30 @@ def test_op1_higher_order_beats_the_base_on_held_out_text(spark, sf):
     assert got[0] > got[1]
 
 
+def test_op1_query_backs_off_through_two_contexts(spark, sf):
+    """The query's scores against trigrams counted one by one."""
+    rows = {r["doc_id"]: ["<s>", *brute.SPACED.findall(brute.lower(r["text"])), "</s>"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = Counter()
+    for doc_id, words in rows.items():
+        if zlib.crc32(str(doc_id).encode()) % 7 != 2:
+            seen.update(tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+    told = {g[0]: c for g, c in seen.items() if len(g) == 1 and g[0] != "<s>"}
+    size = sum(told.values()) + len(told) + 1
+
+    def likelihood(before, word):
+        p = (told.get(word, 0) + 1) / size
+        for m, n in ((500.0, 1), (50.0, 2)):
+            context = tuple(before[-n:])
+            if len(before) >= n and seen[context]:
+                p = (seen[(*context, word)] + m * p) / (seen[context] + m)
+        return p
+
+    got = by_id(QUERIES["op1_lm_scores"](spark, sf), "score")
+    for doc_id, words in rows.items():
+        want = sum(math.log10(likelihood(words[:i], words[i])) for i in range(1, len(words)))
+        assert got[doc_id] == pytest.approx((want,), rel=1e-9)
+
+
 DECON = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
