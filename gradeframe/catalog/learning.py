@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeframe.catalog import roles
+from gradeframe.catalog import roles, weathering
 from gradeframe.catalog.registry import query
 from gradeframe.catalog.roles import sql_round as r, with_roles
-from gradeframe.functions import clean, domain, encode
+from gradeframe.functions import clean, domain, encode, weather
 from gradeframe.functions.clean import stable_round
 from gradeframe.operators import encoding, joins, metrics, sampling
 from gradeframe.plans import grading, training
@@ -262,6 +262,66 @@ def baseline_features(spark, sf):
     return df.select("animal", *[stable_round(F.col(c), 4).alias(c) for c in names])
 
 
+# The whole plans: every column of the feature lists, SQL and columns from the same lists.
+
+_SEASON = lambda d: f"CASE WHEN month({d}) BETWEEN 3 AND 5 THEN 0 WHEN month({d}) BETWEEN 6 AND 8 THEN 1 WHEN month({d}) BETWEEN 9 AND 11 THEN 2 ELSE 3 END"
+_SEX = "CASE sex WHEN '암' THEN 0 WHEN '수' THEN 1 WHEN '거세' THEN 2 ELSE -1 END"
+_AGE = "(judged - born) // 30"
+_ROW_SQL = {
+    "stn": "t.stn", "WEIGHT": "weight / 1000", "AGE": _AGE, "abatt_year": "year(judged)", "abatt_month": "month(judged)", "abatt_season": _SEASON("judged"),
+    "birth_year": "year(born)", "birth_month": "month(born)", "birth_season": _SEASON("born"), "sex_code": _SEX, "sido_code": str(domain.REGIONS.index("경기도")),
+}
+_INTERACTION_SQL = {"age_sq": f"{_AGE} * ({_AGE})", "age_sex": f"{_AGE} * ({_SEX})", "age_abatt_season": f"{_AGE} * ({_SEASON('judged')})"}
+_FARM_SQL = {"avg_cattle": "avg_cattle", "density": "density", "death_cnt": "coalesce(dc.n, 0)", "death_rate": "coalesce(dc.n, 0) / (coalesce(avg_cattle, 1) + 1)"}
+_FULL_SQL = _ROW_SQL | _INTERACTION_SQL | _FARM_SQL | {
+    "farm_grade_loo": "(e.s - score) / greatest(e.c - 1, 1)", "farm_grade_cnt": "e.c", "farm_grade_std": "e.d",
+    **{p + m: f"m{k}.{m}" for p, k in [*grading.LAGS.items(), ("b_", "b")] for m in weather.FULL_METRICS}, **{c: f"f.{c}" for c in grading.REARING_FEATURES},
+}
+_BASELINE_SQL = _ROW_SQL | _FARM_SQL | {
+    "farm_insfat": "h.i", "farm_backfat": "h.b", "father_insfat": "s.m", "kpn_insfat": "k.m",
+    **{p + m: f"m{k}.{m}" for p, k in (("s_", 0), ("b_", "b")) for m in grading.BASE_METRICS},
+}
+_MONTHS = lambda lags: f"LEFT JOIN monthly mb ON mb.stn = t.stn AND mb.month = {_MONTH('born')} " + " ".join(
+    f"LEFT JOIN monthly m{k} ON m{k}.stn = t.stn AND m{k}.month = CAST(date_trunc('month', judged) - INTERVAL {k} MONTH AS DATE)" for k in lags)
+_ALL = lambda names, sql: ", ".join(f"{r(sql[c])} AS {c}" for c in names)
+
+
+def _all_columns(df, names):
+    return df.select("animal", *[stable_round(F.col(c).cast("double"), 4).alias(c) for c in names])
+
+
+@query(with_roles("graded_rows monthly farm_area farms deaths", f""", t AS (
+      SELECT *, {_SCORE} AS score, CASE WHEN born < DATE '{FLOOR}' THEN DATE '{FLOOR}' ELSE born END AS start FROM graded_rows),
+    e AS (SELECT farm, sum(score) AS s, count(*) AS c, stddev_samp(score) AS d FROM t GROUP BY 1),
+    x AS (SELECT animal, stn, CAST(unnest(generate_series(date_trunc('month', start), date_trunc('month', judged), INTERVAL 1 MONTH)) AS DATE) AS month
+          FROM t WHERE start <= judged),
+    f AS (SELECT animal, {", ".join(f"{(weathering.REAR_MEANS | weathering.REAR_COUNTS)[c]} AS {c}" for c in grading.REARING_FEATURES)}
+          FROM x LEFT JOIN monthly m ON m.stn = x.stn AND m.month = x.month GROUP BY 1),
+    dc AS (SELECT farm, count(*) AS n FROM deaths GROUP BY 1)
+    SELECT animal, {_ALL(grading.FEATURES, _FULL_SQL)}
+    FROM t JOIN e USING (farm) LEFT JOIN farms USING (farm) LEFT JOIN dc USING (farm) LEFT JOIN f USING (animal) {_MONTHS(range(4))}"""))
+def training_features_all(spark, sf):
+    """The full feature plan with all of its columns."""
+    fact, daily, area, death, _ = domain_tables(spark, sf)
+    return _all_columns(grading.training_features(fact, grading.lookups(daily, area, death), FLOOR), grading.FEATURES)
+
+
+@query(with_roles("graded_rows monthly farm_area farms deaths", f""", t AS (SELECT *, nullif(CASE WHEN animal % 17 = 0 THEN -99 ELSE marbling END, -99) AS ins,
+      nullif(CASE WHEN animal % 13 = 0 THEN -99 ELSE weight / 10000 END, -99) AS fat, animal % 211 AS sire,
+      CASE WHEN animal % 5 <> 0 THEN animal % 37 END AS kpn FROM graded_rows),
+    s AS (SELECT sire, avg(ins) AS m FROM t WHERE ins IS NOT NULL GROUP BY 1), k AS (SELECT kpn, avg(ins) AS m FROM t WHERE ins IS NOT NULL AND kpn IS NOT NULL GROUP BY 1),
+    h AS (SELECT farm, avg(ins) AS i, avg(fat) AS b FROM t GROUP BY 1),
+    dc AS (SELECT farm, count(*) AS n FROM deaths GROUP BY 1)
+    SELECT animal, {_ALL(grading.BASELINE_FEATURES, _BASELINE_SQL)}
+    FROM t LEFT JOIN s USING (sire) LEFT JOIN k ON k.kpn = t.kpn LEFT JOIN h USING (farm) LEFT JOIN farms USING (farm) LEFT JOIN dc USING (farm) {_MONTHS([0])}"""))
+def baseline_features_all(spark, sf):
+    """The baseline feature plan with all of its columns."""
+    fact, daily, area, death, lineage = domain_tables(spark, sf)
+    parents = grading.pedigree(lineage)
+    df = grading.baseline_features(fact, grading.lookups(daily, area, death, base=True), parents, grading.target_statistics(fact, parents))
+    return _all_columns(df, grading.BASELINE_FEATURES)
+
+
 PARAMS = training.ForestParams(tree_grid=(5, 10), depth=5, min_rows=5, bins=32)
 SMALL = ["WEIGHT", "AGE", "sex_code", "abatt_month", "s_thi_mean", "farm_grade_loo"]
 

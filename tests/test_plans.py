@@ -45,6 +45,11 @@ def test_feature_joins_do_not_move_the_fact_when_lookups_are_small(spark, sf):
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_whole_feature_queries_return_every_feature(spark, sf):
+    assert learning.training_features_all(spark, sf).columns == ["animal", *grading.FEATURES]
+    assert learning.baseline_features_all(spark, sf).columns == ["animal", *grading.BASELINE_FEATURES]
+
+
 def test_feature_joins_beyond_the_broadcast_limit_give_the_same_rows(spark, sf):
     fact, daily, area, death, _ = learning.domain_tables(spark, sf)
     fact = joins.settle(fact)
