@@ -15,8 +15,8 @@ nearer side, and
 All vectors of a slice take their steps together on numpy arrays. The two bounds
 are floats, loosened by more than their rounding error, so they never decide a
 tie; every distance is an integer. A round adds up components and counts per
-cluster inside each partition, so only k rows of each leave it and one row of
-each cluster reaches the driver: no cluster ever gathers in a task, however hot.
+cluster inside each partition, so only k sums leave it and one of each
+cluster and component reaches the driver: no cluster ever gathers in a task, however hot.
 
 Contract: vectors with another number of components, null ones, or with a null
 or non-finite component are left out. A null id is hashed as empty text and
@@ -30,7 +30,6 @@ sums to the largest long; the choice of clusters is exact at any size.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +48,7 @@ LIMB = 1 << 32
 LARGEST = (1 << 63) - 1
 
 ASSIGNED = "vec_id long, cluster int, distance long"
-SUMS = "cluster int, rows long, high array<long>, low array<long>"
+SUMS = "cluster int, component int, high long, low long"
 
 
 def integer_rows(ids: pa.Array, vectors: pa.Array, dims: int, scale: float) -> tuple[pa.Array, np.ndarray]:
@@ -191,18 +190,20 @@ def _new_centroids(vectors: DataFrame, centroids: list[list[int]], dims: int, sc
             high, low = np.floor_divide(rows, LIMB)[order], np.mod(rows, LIMB)[order]
             totals[present] += np.add.reduceat(high, first).astype(object) * LIMB + np.add.reduceat(low, first).astype(object)
             counts += np.bincount(number, minlength=k)
-        some = np.flatnonzero(counts).tolist()
+        some = np.flatnonzero(counts)
+        # A row for each component, and one for the number of vectors.
+        values = [v for c in some.tolist() for v in (*totals[c], int(counts[c]))]
         yield pa.RecordBatch.from_pydict({
-            "cluster": some, "rows": counts[some].tolist(),
-            "high": [[v // LIMB for v in totals[c]] for c in some], "low": [[v % LIMB for v in totals[c]] for c in some],
-        }, pa.schema([("cluster", pa.int32()), ("rows", pa.int64()), ("high", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))]))
+            "cluster": np.repeat(some, dims + 1), "component": np.tile(np.arange(dims + 1), len(some)),
+            "high": [v // LIMB for v in values], "low": [v % LIMB for v in values],
+        }, pa.schema([("cluster", pa.int32()), ("component", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]))
 
-    partial = vectors.mapInArrow(run, SUMS)
-    wide = [F.sum(F.col(part)[j].cast("decimal(38,0)")).alias(f"{part}{j}") for part in ("high", "low") for j in range(dims)]
+    sums = np.zeros((len(centroids), dims + 1), dtype=object)
+    for row in vectors.mapInArrow(run, SUMS).groupBy("cluster", "component").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect():
+        sums[row["cluster"], row["component"]] = row["high"] * LIMB + row["low"]
     out = list(centroids)
-    for row in partial.groupBy("cluster").agg(F.sum("rows").alias("rows"), *wide).collect():
-        n = int(row["rows"])
-        out[row["cluster"]] = [(int(row[f"high{j}"]) * LIMB + int(row[f"low{j}"])) // n for j in range(dims)]
+    for c in np.flatnonzero(sums[:, dims]).tolist():
+        out[c] = [v // sums[c, dims] for v in sums[c, :dims]]
     return out
 
 
