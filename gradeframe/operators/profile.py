@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.clean import is_member
 from gradeframe.operators.joins import attach, lookup_join
-from gradeframe.operators.quantiles import quantiles_wide
+from gradeframe.operators.quantiles import SKETCH_ACCURACY, column_quantiles, quantiles_wide
 from gradeframe.session import settle
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -104,18 +104,20 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max, one row per column."""
-    moments = []
-    for c in columns:
-        v = _clean(c)
-        moments.append(F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        ))
-    base = settle(df.agg(F.array(*moments).alias("_m")).select(F.inline("_m")))
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    quart = quantiles_wide(df.select(F.inline(F.array(*pairs))), "value", QUARTILES, ["column"], approx)
-    # Both sides have one row per described column.
-    return base.join(quart, "column", "left").select("column", "n", "mean", "std", "min", *QUARTILES, "max")
+    if approx:
+        pairs = [F.struct(F.lit(c).alias("column"), F.count(_clean(c)).alias("n"), *[m.alias(k) for k, m in _moments(_clean(c)).items()],
+                          F.approx_percentile(_clean(c), list(QUARTILES.values()), SKETCH_ACCURACY).alias("_q")) for c in columns]
+        rows = df.agg(F.array(*pairs).alias("_m")).select(F.inline("_m"))
+        return rows.select("column", "n", "mean", "std", "min", *[F.col("_q")[k].alias(q) for k, q in enumerate(QUARTILES)], "max")
+    found = column_quantiles(df, columns, list(QUARTILES.values()), also=_moments)
+    quarts = [F.max(F.when(F.col("probability") == p, F.col("value"))).alias(q) for q, p in QUARTILES.items()]
+    # A row for each column and quartile.
+    wide = found.groupBy("column").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in ("mean", "std", "min", "max")], *quarts)
+    return wide.select("column", "n", "mean", "std", "min", *QUARTILES, "max")
+
+
+def _moments(v: Column) -> dict[str, Column]:
+    return {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
 
 
 def group_size_summary(df: DataFrame, key: str) -> DataFrame:
