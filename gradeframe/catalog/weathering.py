@@ -113,9 +113,9 @@ REAR_COUNTS = {
 def rearing_weather(spark, sf):
     facts = roles.graded_rows(spark, sf).select("animal", "stn", "born", "judged")
     lookup = settle(monthly(spark, sf))
-    out = timeseries.interval_rollup(
-        facts, lookup, ["stn"], "born", "judged", weather.rearing_aggregates(), floor=F.lit(FLOOR).cast("date")
-    )
+    floor = F.lit(FLOOR).cast("date")
+    table = timeseries.interval_measures(facts, lookup, ["stn"], "born", "judged", *weather.rearing_measures(), floor=floor)
+    out = timeseries.apply_interval_table(facts, table, ["stn"], "born", "judged", floor)
     return _rounded(out.drop("stn", "born", "judged"), list(REAR_MEANS))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gradeframe.operators.intervals import months_in
+
 # Index thresholds for moderate and severe heat, and for a cold day.
 HEAT_MODERATE = 80
 HEAT_SEVERE = 85
@@ -101,3 +103,27 @@ def rearing_aggregates() -> list[Column]:
         F.avg(F.when(_in_season(winter), F.col("ta_mean"))).alias("rear_winter_ta"),
         _season_sum(winter, "cold_d").alias("rear_winter_cold"),
     ]
+
+
+def rearing_measures() -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """The same metrics as sums and maxima of months, and how they are made of them."""
+    summer, winter = (6, 7, 8), (12, 1, 2)
+    means = {"rear_ta_mean": "ta_mean", "rear_ta_max": "ta_max_mean", "rear_ta_min": "ta_min_mean", "rear_thi_mean": "thi_mean", "rear_rhm_mean": "rhm_mean"}
+    totals = {"rear_heat2d_total": "heat2d", "rear_heat3d_total": "heat3d", "rear_cold_d_total": "cold_d"}
+    sums = {m: F.col(m) for m in (*means.values(), *totals.values(), "rn_sum")} | {
+        "summer_thi": F.when(_in_season(summer), F.col("thi_mean")), "summer_heat": F.when(_in_season(summer), F.col("heat2d")),
+        "winter_ta": F.when(_in_season(winter), F.col("ta_mean")), "winter_cold": F.when(_in_season(winter), F.col("cold_d")),
+    }
+    mean = lambda m: F.try_divide(F.col(m), F.col(f"{m}_count"))
+    zero = lambda m: F.coalesce(F.col(m), F.lit(0))
+
+    def seasonal(months: tuple[int, ...], m: str) -> Column:
+        # The months of the interval count, with weather or without.
+        return F.when(months_in(F.col("_first_month"), F.col("_last_month"), months) > 0, zero(m))
+
+    derived = (
+        {name: mean(m) for name, m in means.items()} | {"rear_thi_max": F.col("thi_max")} | {name: zero(m) for name, m in totals.items()}
+        | {"rear_rn_total": F.coalesce(F.col("rn_sum"), F.lit(0.0)), "rear_month_cnt": F.col("ta_mean_count"), "rear_summer_thi": mean("summer_thi"),
+           "rear_summer_heat": seasonal(summer, "summer_heat"), "rear_winter_ta": mean("winter_ta"), "rear_winter_cold": seasonal(winter, "winter_cold")}
+    )
+    return sums, {"thi_max": F.col("thi_max")}, derived

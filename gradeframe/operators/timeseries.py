@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradeframe.functions.clean import clip_lower
+from gradeframe.operators import intervals
 from gradeframe.operators.joins import heavy_groups, lookup_join
 from gradeframe.session import settle, spread
 
@@ -65,11 +66,11 @@ def interval_table(
     and the keys, not by the fact rows.
     """
     span_key = [*keys, "_from", "_to"]
-    intervals = (
+    distinct = (
         _spans(fact, start, end, floor).dropna(subset=span_key).groupBy(*span_key).agg(F.count(F.lit(1)).alias("_rows"))
     )
     # The final aggregate keeps this partitioning, so it adds no shuffle of the expanded rows.
-    months = spread(intervals, span_key).withColumn("month", F.explode(F.sequence("_from", "_to", F.expr(ONE_MONTH))))
+    months = spread(distinct, span_key).withColumn("month", F.explode(F.sequence("_from", "_to", F.expr(ONE_MONTH))))
     covered = lookup_join(months, monthly, [*keys, "month"], "left", **join)
     return settle(covered.groupBy(*span_key).agg(*aggregates, F.first("_rows").alias("_rows")))
 
@@ -95,24 +96,43 @@ def interval_rollup(
     return apply_interval_table(fact, table, keys, start, end, floor, **join)
 
 
+def interval_measures(
+    fact: DataFrame, monthly: DataFrame, keys: Sequence[str], start: str, end: str,
+    sums: Mapping[str, Column], largest: Mapping[str, Column], derived: Mapping[str, Column], floor: Column | None = None, **join,
+) -> DataFrame:
+    """Like `interval_table`, for measures of a monthly table that running totals and a sparse table can tell.
+
+    Nothing is expanded: each distinct interval takes two lookups, however long
+    it is. ``derived`` makes the wanted columns of the sums (``x`` and
+    ``x_count``), the maxima and the month numbers ``_first_month`` and ``_last_month``.
+    """
+    span_key = [*keys, "_from", "_to"]
+    spans = (
+        _spans(fact, start, end, floor).dropna(subset=span_key).groupBy(*span_key).agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumns({"_first_month": intervals.month_number(F.col("_from")), "_last_month": intervals.month_number(F.col("_to"))})
+    )
+    index = intervals.interval_index(monthly, keys, intervals.month_number(F.col("month")), sums, largest)
+    measured = intervals.interval_values(spans, index, F.col("_first_month"), F.col("_last_month"), **join)
+    return settle(measured.select(*span_key, *[c.alias(n) for n, c in derived.items()], "_rows"))
+
+
 def preceding_days(
     fact: DataFrame, daily: DataFrame, keys: Sequence[str], date: str, at: str, days: int,
     sums: Mapping[str, Column], **join,
 ) -> DataFrame:
     """Add daily sums over the ``days`` days before ``at`` (that day excluded).
 
-    Daily rows are first reduced to one row per key and day; each such row then
-    counts towards the following ``days`` dates. Missing days give NULLs.
+    Every distinct (key, date) of the facts takes two lookups in an index of
+    running totals, so the cost doesn't depend on the number of days. A window
+    without any value gives NULLs.
     """
     keys = list(keys)
-    per_day = daily.dropna(subset=[*keys, date]).groupBy(*keys, F.col(date).alias("_d")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()]
-    )
-    forward = spread(per_day, [*keys, "_d"]).withColumn(
-        "_at", F.explode(F.sequence(F.date_add("_d", 1), F.date_add("_d", days), F.expr(ONE_DAY)))
-    )
-    rolled = settle(forward.groupBy(*keys, "_at").agg(*[F.sum(n).alias(n) for n in sums]))
-    return lookup_join(fact.withColumn("_at", F.col(at)), rolled, [*keys, "_at"], "left", **join).drop("_at")
+    index = intervals.interval_index(daily, keys, intervals.day_number(F.col(date)), sums)
+    asked = fact.select(*keys, F.col(at).alias("_at")).dropna().groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_rows"))
+    day = intervals.day_number(F.col("_at"))
+    rolled = settle(intervals.interval_values(asked, index, day - days, day - 1, **join).select(*keys, "_at", *sums, "_rows"))
+    hot = lambda: heavy_groups(rolled, [*keys, "_at"], "_rows")
+    return lookup_join(fact.withColumn("_at", F.col(at)), rolled.drop("_rows"), [*keys, "_at"], "left", hot, **join).drop("_at")
 
 
 def interval_daily_sums(

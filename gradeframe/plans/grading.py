@@ -113,8 +113,8 @@ def _hot_months(base: DataFrame, date: str) -> DataFrame:
 
 def rearing_table(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
     """Rearing weather of every distinct (station, birth month, slaughter month)."""
-    return timeseries.interval_table(
-        fact, tables.monthly, ["stn"], "BIRTH_YMD", "ABATT_DATE", weather.rearing_aggregates(),
+    return timeseries.interval_measures(
+        fact, tables.monthly, ["stn"], "BIRTH_YMD", "ABATT_DATE", *weather.rearing_measures(),
         floor=F.lit(weather_start).cast("date"), **join,
     )
 
