@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.clean import is_member
 from gradeframe.operators.joins import attach, lookup_join
+from gradeframe.operators.moments import correlations  # noqa: F401  part of this module's interface
 from gradeframe.operators.quantiles import SKETCH_ACCURACY, column_quantiles, quantiles_wide
 from gradeframe.session import settle
 
@@ -126,28 +127,6 @@ def group_size_summary(df: DataFrame, key: str) -> DataFrame:
     return describe(settle(sizes), ["size"])
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete correlation matrix in long form, from one aggregate.
-
-    A row is read once and stays one row: every pair is an aggregate of its own
-    beside the others. A column that is constant over a pair's rows gives NULL;
-    the built-in correlation would fail on it in ANSI mode.
-    """
-    n = len(columns)
-    values = df.select(*[_clean(c).alias(f"_c{i}") for i, c in enumerate(columns)])
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    parts = [
-        F.struct(F.regr_sxy(f"_c{i}", f"_c{j}").alias("xy"), F.regr_sxx(f"_c{i}", f"_c{j}").alias("xx"), F.regr_syy(f"_c{i}", f"_c{j}").alias("yy"))
-        for i, j in pairs
-    ]
-    sums = values.agg(*[part.alias(f"_p{k}") for k, part in enumerate(parts)])
-    sides = [
-        F.struct(F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), F.try_divide(F.col(f"_p{k}.xy"), F.sqrt(F.col(f"_p{k}.xx") * F.col(f"_p{k}.yy"))).alias("corr"))
-        for k, (i, j) in enumerate(pairs) for a, b in dict.fromkeys([(i, j), (j, i)])
-    ]
-    return sums.select(F.inline(F.array(*sides)))
-
-
 def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Fixed-width histogram over each group's own range, empty bins included.
 
