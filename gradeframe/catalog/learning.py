@@ -10,7 +10,7 @@ from gradeframe.catalog.roles import sql_round as r, with_roles
 from gradeframe.functions import clean, domain, encode, weather
 from gradeframe.functions.clean import stable_round
 from gradeframe.operators import encoding, joins, metrics, sampling
-from gradeframe.plans import grading, training
+from gradeframe.plans import grading, stopping, training
 from gradeframe.session import checkpoint_dir, settle
 from gradeframe.sources import sinks, store, tables
 
@@ -380,6 +380,22 @@ def fold_scores(spark, sf):
     )
 
 
+@query("SELECT CAST(unnest([0, 1]) AS INTEGER) AS fold, CAST(24 AS BIGINT) AS curve_length, true AS least, true AS cut_there, true AS refit_follows")
+def early_stopping(spark, sf):
+    """Each fold grows one forest and cuts it where the validation log-loss is least; the refit size follows the folds'."""
+    df, classes, _ = _learning_set(spark, sf)
+    params = training.ForestParams(tree_grid=(24,), depth=5, min_rows=5, bins=32, stop_after=24)
+    cv = _cross_validated(df, classes, "quality", params)
+    rows, label, sizes = [], "quality", [r["trees"] for r in cv.folds.orderBy("fold").collect()]
+    for i, trees in enumerate(sizes):
+        columns = [f"{c}_{i}" if c == "farm_grade_loo" else c for c in SMALL]
+        data = training.with_classes(training.feature_matrix(df, columns, ["animal", "fold", label]), label, classes)
+        train = training.with_classes(training.weighted(data.filter(F.col("fold") != i), "label"), "label", classes)
+        curve = stopping.loss_curve(params.forest(24).fit(train), data.filter(F.col("fold") == i))
+        rows.append((i, len(curve), abs(curve[trees - 1] - min(curve)) < 1e-9, cv.models[i].getNumTrees == trees, cv.refit_trees == int(sum(sizes) / 2 * 1.1)))
+    return spark.createDataFrame(rows, "fold int, curve_length long, least boolean, cut_there boolean, refit_follows boolean")
+
+
 @query(with_roles("graded_rows", """
     SELECT animal, stn, judged, CAST(round(weight, 2) AS DOUBLE) AS weight, true AS known FROM graded_rows WHERE year(judged) > 1996"""))
 def scored_orders(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeframe.functions.encode import blend, first_argmax, label_of
 from gradeframe.operators.joins import align_predictions, lookup_join, stack_rows
 from gradeframe.operators.metrics import class_weights, macro_f1
+from gradeframe.plans import stopping
 from gradeframe.sources.store import reuse_or_fit, reuse_or_write
 
 MISSING_FEATURE = -999.0
@@ -20,7 +21,12 @@ MISSING_FEATURE = -999.0
 
 @dataclass(frozen=True)
 class ForestParams:
-    """Forest settings; ``tree_grid`` is tried in order until the score stops rising."""
+    """Forest settings.
+
+    ``tree_grid`` is tried in order until the score stops rising. With
+    ``stop_after`` only its last size is grown, once, and cut back to the prefix
+    of least validation log-loss, looked for until so many trees bring no gain.
+    """
 
     tree_grid: tuple[int, ...] = (20, 40, 80)
     depth: int = 10
@@ -30,6 +36,7 @@ class ForestParams:
     bins: int = 64
     seed: int = 42
     patience: int = 1
+    stop_after: int | None = None
 
     def forest(self, trees: int) -> RandomForestClassifier:
         return RandomForestClassifier(
@@ -79,7 +86,15 @@ def _score_of(df: DataFrame) -> float:
 
 
 def choose_trees(train: DataFrame, valid: DataFrame, params: ForestParams, keep: Sequence[str], classes: Sequence[str]):
-    """Grow the forest size while the validation macro-F1 rises; return the best fit."""
+    """Grow the forest size while the validation macro-F1 rises; return the best fit.
+
+    With ``stop_after``, the prefix of one forest with the least validation log-loss.
+    """
+    if params.stop_after is not None:
+        model = params.forest(params.tree_grid[-1]).fit(train)
+        curve = stopping.loss_curve(model, valid)
+        trees, _ = stopping.best_prefix(curve, params.stop_after)
+        return stopping.prefix_of(model, trees), -curve[trees - 1] if curve else None, trees
     best, since = None, 0
     for trees in params.tree_grid:
         model = params.forest(trees).fit(train)
@@ -129,7 +144,7 @@ def cross_validate(
         models.append(model)
         scores.append((i, _score_of(out), model.getNumTrees))
     folds = spark.createDataFrame(scores, "fold int, f1 double, trees int")
-    refit = int(sum(s[2] for s in scores) / k * 1.1)
+    refit = stopping.refit_size([s[2] for s in scores])
     return CrossValidation(stack_rows(*held), folds, refit, models)
 
 
