@@ -10,7 +10,8 @@ no shuffle but that of the language references (one row per language and task).
 
 Contract: one row per document row; null texts have no words and fail; a null
 language is compared with the documents that have none; repeated rows each give
-a row; other columns are ignored. Windows are compared by 64-bit hashes.
+a row; texts of any length are counted whole; other columns are ignored. Windows
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -122,16 +123,17 @@ def js_distance(p: str, q: str) -> Column:
 
 def apply_rules(
     docs: DataFrame, max_class_distance: float = 0.2, class_slack: float = 0.8, max_word_distance: float = 0.6, min_chars: int = 300, min_words: int = 100,
-    max_symbol_share: float = 0.05,
+    max_symbol_distance: float = 0.13,
     id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
 ) -> DataFrame:
-    """Per document: counts, base_failed, both distances, and kept.
+    """Per document: counts, base_failed, the distances, and kept.
 
     A text is kept if the counting rules pass and, where it is long enough for
-    a histogram (`min_chars` characters in words, `min_words` words), neither
-    distance to its language is above its limit. A short text's histogram is
-    noisier, so its class limit is wider by `class_slack` over the square root
-    of its characters.
+    a histogram (`min_chars` characters in words, `min_words` words), no
+    distance to its language is above its limit. Symbols are few in any prose,
+    so the histogram of symbols against all else is compared on its own, too. A
+    short text's histogram is noisier, so its class limits are wider by
+    `class_slack` over the square root of its characters.
     """
     # Written once: the references and the verdicts both read it, without the texts.
     counts = stored(counted(docs, id_column, text_column, lang_column), "quality-counts")
@@ -143,11 +145,16 @@ def apply_rules(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*_parts(CLASSES)).alias("classes"), F.array(*_parts(WORDS)).alias("commons"),
     ).join(F.broadcast(refs) if small else refs, "lang", "left")
-    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes")).withColumn("word_distance", js_distance("commons", "ref_words"))
+    symbols = lambda c: F.array(F.col(c)[CLASSES.index("c_symbol")], 1 - F.col(c)[CLASSES.index("c_symbol")])
+    judged = joined.withColumns({"symbols": symbols("classes"), "ref_symbols": symbols("ref_classes")}).withColumns({
+        "class_distance": js_distance("classes", "ref_classes"), "word_distance": js_distance("commons", "ref_words"),
+        "symbol_distance": js_distance("symbols", "ref_symbols")})
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    too_far = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance + class_slack / F.sqrt("word_chars"))) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
+    slack = class_slack / F.sqrt(F.greatest("word_chars", F.lit(1)))
+    classes_far = (F.col("class_distance") > max_class_distance + slack) | ((F.col("symbol_distance") > max_symbol_distance + slack / 4) & (F.col("classes")[CLASSES.index("c_symbol")] > F.col("ref_classes")[CLASSES.index("c_symbol")]))
+    too_far = ((F.col("word_chars") >= min_chars) & classes_far) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
-        (~base_failed & ~F.coalesce(too_far, F.lit(False)) & (F.col("n_symbols") <= max_symbol_share * F.col("word_chars"))).alias("kept"),
-        "class_distance", "word_distance",
+        (~base_failed & ~F.coalesce(too_far, F.lit(False))).alias("kept"),
+        "class_distance", "word_distance", "symbol_distance",
     )
