@@ -15,8 +15,10 @@ window are finished exactly: members outside a region's largest component are
 queries against all its members, in blocks of bounded size.
 
 Contract: one row per document row; null and empty texts have an empty set, are
-linked with nothing and kept; a null id is never smallest while the component
-has another; repeated rows share a component; other columns are ignored. A pair
+linked with nothing and kept; a null id takes part in links and is never smallest
+while the component has another; texts of any length are read whole; repeated
+rows, and rows of one id with equal sets, share a component, those with
+different texts are judged by their own; other columns are ignored. A pair
 at the limit shares at least `depth` path values in one of the trees with a
 probability of 1 - (1 - s^depth)^trees; with more documents, raise both.
 """
@@ -31,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm.text import BYTE_VALUES, LOWER, SPACED, binary_column, id_and_text, mix, partitions_for, ragged, slices, span_hashes, stored, word_spans
+from gradeframe.operators.joins import lookup_join
 
 VALUES = BYTE_VALUES[LOWER]
 TREES, PATH = 16, 8
@@ -96,9 +99,16 @@ def _sketches(docs: DataFrame, words: int, number: int) -> DataFrame:
                 table = signatures(sets, own, number)
                 for i, key, row in zip(full.tolist(), set_keys(sets, own), table):
                     keys[i], marks[i] = key, row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_name"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())],
+                names=["doc_id", "text_name", "n_shingles", "key", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return docs.withColumn("text_name", _text_name("text")).mapInArrow(run, "doc_id long, text_name binary, n_shingles long, key binary, sig binary")
+
+
+def _text_name(column: str) -> "F.Column":
+    """A 128-bit name of a text; null has its own."""
+    return F.coalesce(F.unhex(F.md5(F.col(column).cast("string").cast("binary"))), F.lit(b""))
 
 
 def _node(rep) -> "F.Column":
@@ -187,7 +197,9 @@ def forest_candidates(classes: DataFrame, number: int, reach: int, depth: int) -
         found = _pair_rows([r[2] for r in rows], before, after)
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    parts = partitions_for(spark, classes.count() * number // PATH * (4 * PATH + 32), 8 << 20)
+    rows = classes.count() * number // PATH
+    # A seam compares the ends of two tasks, so each task must hold many more rows than `reach`.
+    parts = max(1, min(partitions_for(spark, rows * (4 * PATH + 32), 8 << 20), rows // (8 * reach)))
     ranged = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     made = stored(ranged.mapInArrow(run, "a binary, b binary, seam int, tree int, path binary, node binary"), "forest")
     # Neighbours on both sides of a cut between two tasks.
@@ -252,16 +264,20 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4, 5), trees: int = TREES, reach: int = REACH, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after their components' roots were joined by further links; `more` labels the roots."""
+    onto = more.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+    moved = lookup_join(labels, onto, ["root"], "left").select("node", F.coalesce("onto", "root").alias("root"))
+    # Roots without an earlier link stood for themselves.
+    return stored(moved.union(more.join(labels.select("node"), "node", "left_anti").select("node", "root")), "labels")
 
-    Two sets are linked if limit[1] * intersection >= limit[0] * union.
-    """
+
+def _grouped(docs: DataFrame, words: int, limit: tuple[int, int], trees: int, reach: int, depth: int) -> DataFrame:
+    """Per row of (doc_id, text): n_shingles, the text's and the set's names, the component, and the name of its smallest class."""
     number = trees * PATH
     bound = limit[0] / limit[1]
     lowest = bound - 5 * np.sqrt(bound * (1 - bound) / number)
-    rows = id_and_text(docs, id_column, text_column)
-    marked = stored(_sketches(rows, words, number), "sketches")
+    marked = stored(_sketches(docs, words, number), "sketches")
     classes = stored(marked.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).select(_node(F.col("rep")).alias("node"), "rep", "key", "n", "sig"), "classes")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +304,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4
                     yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, own), pa.binary()), binary_column(sets, own)], names=["key", "items"])
 
         wanted = nodes.join(classes.select("node", "rep", "key"), "node")
-        texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        if nameless:  # a null id names no document, so all of them are looked through
+            texts = texts.union(docs.filter("doc_id IS NULL"))
         found = texts.mapInArrow(run, "key binary, items binary")
         return stored(found.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
     def confirmed(asked: DataFrame, sets: DataFrame) -> DataFrame:
+        names = asked.columns
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
@@ -300,38 +320,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(limit[1] * both >= limit[0] * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
         sided = asked.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        return sided.select("a", "b", "x", "y").mapInArrow(run, _PAIRS)
+        return sided.select(*names, "x", "y").mapInArrow(run, asked.schema)
 
     def across(asked: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of different components, with the components' roots."""
         for x in ("a", "b"):
             asked = asked.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-        return asked.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        asked = asked.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+        return asked.filter("root_a != root_b")
+
+    def joined(labels: DataFrame, asked: DataFrame, sets: DataFrame) -> DataFrame:
+        """Labels after further pairs: only roots are nodes of this run, and a link of two components counts once."""
+        links = stored(confirmed(across(asked, labels), sets).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+        return labels if links.isEmpty() else _merged(labels, components(links))
 
+    nameless = not classes.filter("rep IS NULL").isEmpty()
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # Of each class's candidates the smallest of those that look alike for certain, else the likeliest.
     one = pairs.groupBy("b").agg(F.min(F.when(F.col("likeness") > (1 + bound) / 2, F.col("a"))).alias("sure"), F.max_by("a", "likeness").alias("best")).select(F.coalesce("sure", "best").alias("a"), "b")
-    links = stored(confirmed(one, sets), "links")
-    labels = components(links)
-    links = stored(links.union(confirmed(across(pairs, labels), sets)), "links")
-    labels = components(links)
+    labels = joined(components(stored(confirmed(one, sets), "links")), pairs.select("a", "b"), sets)
     rest = crowded_candidates(classes, labels, number, reach, depth, lowest, bound)
     if rest is not None:
         rest = stored(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            more = sets_of(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-            labels = components(links.union(confirmed(rest, more)))
-    roots = classes.join(labels, "node", "left").select("key", F.coalesce(_doc_of("root"), F.col("rep")).alias("component"))
-    out = marked.select("doc_id", "n_shingles", "key").join(roots, "key", "left")
+            labels = joined(labels, rest, sets_of(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    roots = classes.join(labels, "node", "left").select("key", F.coalesce(_doc_of("root"), F.col("rep")).alias("component"), F.coalesce("root", "node").alias("root"))
+    return marked.select("doc_id", "text_name", "n_shingles", "key").join(roots, "key", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4, 5), trees: int = TREES, reach: int = REACH, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+
+    Two sets are linked if limit[1] * intersection >= limit[0] * union.
+    """
+    out = _grouped(id_and_text(docs, id_column, text_column), words, limit, trees, reach, depth)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns; of identical rows of it, one."""
-    kept = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    # By range of row order within an id: repeated rows are rare, and a null id stands for many documents.
-    return rows.dropDuplicates([id_column, text_column])
+def keep_one(docs: DataFrame, words: int = 5, limit: tuple[int, int] = (4, 5), trees: int = TREES, reach: int = REACH, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns.
+
+    It is a row of the group's smallest document and smallest class; of several
+    such texts the one with the smallest name stays, of several rows of that
+    text the one with the smallest hash over all columns. Texts without words
+    stay, each (id, text) once.
+    """
+    found = _grouped(id_and_text(docs, id_column, text_column), words, limit, trees, reach, depth)
+    main = found.filter(F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("key") == F.substring("root", 9, 16)))
+    chosen = main.groupBy("root").agg(F.min(F.struct("text_name", "doc_id")).alias("m")).select("m.doc_id", "m.text_name")
+    kept = chosen.union(found.filter("key IS NULL").select("doc_id", "text_name").distinct())
+    known, number = F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
+    kept = kept.select(known.alias("_known"), number.alias("_id"), F.col("text_name").alias("_name"))
+    # Repeated rows become one before the join, so no row of it meets many.
+    own = F.col(id_column).cast("long")
+    named = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), own.isNotNull().alias("_known"), F.coalesce(own, F.lit(0).cast("long")).alias("_id"),
+        _text_name(text_column).alias("_name"), F.xxhash64(*docs.columns).alias("_hash"))
+    single = named.groupBy("_known", "_id", "_name").agg(F.min_by("_row", "_hash").alias("_row"))
+    return single.join(kept, ["_known", "_id", "_name"], "left_semi").select("_row.*")

@@ -385,3 +385,74 @@ def test_empty_benchmark_matches_nothing(spark, documents):
 def test_oracles_have_queries():
     assert set(ORACLES) <= set(QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_op3_null_ids_take_part_in_links(docs_of):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    near = base[:50] + ["changed"] + base[51:]
+    other = [f"v{rnd.randrange(10**6)}" for _ in range(100)]
+    docs = docs_of([(1, " ".join(base)), (None, " ".join(near)), (None, " ".join(other)), (None, " ".join(other[:-1])), (5, None), (2, "a b c d"), (2, " ".join(near))])
+    got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, words=5, limit=(4, 5)).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (0, 1, False), (0, None, True), (0, None, True), (5, 5, True), (2, 2, True), (2, 1, False)], key=repr)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_one(docs).collect())
+    # Of the two nameless near copies one stays; of id 2 only the text that copies nothing.
+    assert [k for k, _ in kept] == [0, 1, 2, 5] and kept[0][1] in (" ".join(other), " ".join(other[:-1])) and kept[2][1] == "a b c d"
+
+
+def test_op3_short_ranges_keep_neighbours(docs_of, spark):
+    """More tasks than rows to fill them: near copies must meet all the same."""
+    rnd = random.Random(13)
+    rows = []
+    for i in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-1]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = by_id(neardup.near_duplicates(docs_of(rows), words=3, limit=(85, 100)), "n_shingles", "component_id", "kept")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute.near_duplicates(rows, 3, 85, 100)
+
+
+def test_op8_verdicts_as_plain_distances(spark, sf):
+    """Distances and `kept` against plain histograms of the whole small table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    text_of = {r["doc_id"]: (r["lang"] or "", r["text"] or "") for r in docs}
+
+    def shares(text):
+        words = brute.SPACED.findall(text)
+        classes = [sum(k(c) for c in text) for k in (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9")]
+        classes += [len(text) - sum(map(len, words)), sum(c in ".,;:!?" for c in text), sum(c in "#*$%&|<>" for c in text)]
+        classes.append(len(text) - sum(classes))
+        counts = Counter(w.lower() if w == w.capitalize() else w for w in words)
+        commons = [sum(n for w, n in Counter(words).items() if w in (c, c.capitalize())) for c in quality.COMMON_WORDS]
+        assert counts
+        commons.append(len(words) - sum(commons))
+        return [x / len(text) for x in classes], [x / len(words) for x in commons]
+
+    def distance(p, q):
+        part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
+
+    own = {d: shares(t) for d, (_, t) in text_of.items() if brute.SPACED.search(t)}
+    by_lang = {}
+    for d, (lang, t) in text_of.items():
+        if len(brute.SPACED.findall(t)) >= 100:
+            by_lang.setdefault(lang, []).append(own[d])
+    refs = {lang: [np.mean([o[k] for o in some], axis=0).tolist() for k in (0, 1)] for lang, some in by_lang.items()}
+    judged = 0
+    for r in quality.apply_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        lang, text = text_of[r["doc_id"]]
+        if lang not in refs or r["doc_id"] not in own:
+            continue
+        (classes, commons), (ref_classes, ref_words) = own[r["doc_id"]], refs[lang]
+        c, w = distance(classes, ref_classes), distance(commons, ref_words)
+        s = distance([classes[5], 1 - classes[5]], [ref_classes[5], 1 - ref_classes[5]])
+        assert (r["class_distance"], r["word_distance"], r["symbol_distance"]) == (pytest.approx(c, abs=1e-6), pytest.approx(w, abs=1e-6), pytest.approx(s, abs=1e-6))
+        slack = 0.8 / math.sqrt(r["word_chars"])
+        far = r["word_chars"] >= 300 and (c > 0.2 + slack or (s > 0.13 + slack / 4 and classes[5] > ref_classes[5])) or r["n_words"] >= 100 and w > 0.6
+        assert r["kept"] == (not r["base_failed"] and not far), r["doc_id"]
+        judged += 1
+    assert judged > 100
