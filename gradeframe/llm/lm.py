@@ -11,13 +11,14 @@ The automaton of a whole corpus fits nowhere, but a block of documents only
 needs the arcs that its own n-grams can take. So documents are dealt into
 blocks; a block sends its distinct n-gram keys with its own training counts to
 hash buckets; a bucket adds up what all blocks sent and returns the totals in
-the order of the request; the block builds its part of the automaton and scores
-its documents in one left-to-right traversal. Everything that moves is
+the order of the request; the block builds its part of the automaton, states,
+arcs and failure arcs, and scores its documents in one left-to-right traversal
+that carries the state and adds up log-probabilities. Everything that moves is
 pre-aggregated to distinct n-grams of a block, so frequent words are no hot
 keys, and all counts grow with the corpus.
 
 Contract: one row per document row; null and empty texts consist of the end
-token; an empty table gives no rows; repeated rows each give a row; other
+token; texts of any length are read whole, in strides that advance together; an empty table gives no rows; repeated rows each give a row; other
 columns are ignored. N-grams are told apart by 64-bit hashes.
 """
 
@@ -133,33 +134,119 @@ def _joined(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
 
 
-def automaton_scores(block: Block, places: list[np.ndarray], totals: np.ndarray, n_train: int, vocabulary: int, pseudo: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Traverse the block's part of the automaton; per document: known tokens, base score, score.
+class Automaton:
+    """The part of the weighted backoff automaton that a block's own n-grams can reach.
 
-    A state is the longest context before a token that training has seen; what
-    follows from a state is its arc, or else the arc of the first state along
-    its failure arcs that has one. All documents of the block advance together:
-    stored n-grams are closed under suffixes, so each token's state is known
-    from the counts of the n-grams that end before it.
+    State 0 is the root; each seen n-gram shorter than the order is a state, the
+    context it stands for. Arcs are sorted by (state, word) and carry a weight
+    and the state they lead to: the longest suffix of context and word that is a
+    state. A failure arc leads from a context to its longest proper suffix and
+    costs the share left for words unseen there. At the root every word goes on,
+    unknown ones with the add-one share. Seen n-grams are closed under prefixes
+    and suffixes, so that both ends of every arc are states.
     """
-    count = [np.zeros(len(block.depth), dtype=np.int64) for _ in places]
-    for n, at in enumerate(places, 1):
-        count[n - 1][block.whole(n)] = totals[at]
-    seen = count[0].astype(np.float64)
-    # The root: its arcs are the words.
-    logp = np.log10((seen + 1) / (n_train + vocabulary + 1))
-    base = logp
-    for n in range(2, len(places) + 1):
-        m = pseudo[n - 2]
-        context = np.concatenate(([0], count[n - 2][:-1])).astype(np.float64)
-        context[block.begins] = 0
-        state = (context > 0) & block.whole(n)
-        failure = np.log10(m / (context + m))
-        # Unseen: the failure arc, then what the shorter context says. Seen: the arc, which holds that share as well.
-        arc = np.log10((count[n - 1] + m * 10.0**logp) / (context + m))
-        logp = np.where(state, np.where(count[n - 1] > 0, arc, failure + logp), logp)
-    told = ~block.begins
-    return run_sums((seen > 0) & told, block.offsets), run_sums(np.where(told, base, 0.0), block.offsets), run_sums(np.where(told, logp, 0.0), block.offsets)
+
+    def __init__(self, block: Block, places: list[np.ndarray], totals: np.ndarray, n_train: int, vocabulary: int, pseudo: list[float]):
+        order, tokens = len(places), len(block.depth)
+        ends = [np.flatnonzero(block.whole(n)) for n in range(1, order + 1)]
+        gram = np.full((order, tokens), -1, dtype=np.int64)
+        for n, at in enumerate(places):
+            gram[n, ends[n]] = at
+        words, self.words = np.unique(gram[0], return_inverse=True)
+        self.width = max(1, len(words))
+        weight, state = np.zeros(len(totals)), np.zeros(len(totals), dtype=np.int64)
+        size = n_train + vocabulary + 1
+        self.unknown = -np.log10(size)
+        weight[words] = np.log10((totals[words] + 1) / size)
+        self.root_weight = weight[words]
+        failure, fall, arcs, states = [np.zeros(1, np.int64)], [np.zeros(1)], [], 1
+        for n in range(1, order + 1):
+            # Each seen n-gram once, and a place where it ends: its prefix and suffix end before it and there.
+            grams, first = np.unique(places[n - 1], return_index=True)
+            seen = totals[grams] > 0
+            grams, last = grams[seen], ends[n - 1][first[seen]]
+            suffix = gram[n - 2, last] if n > 1 else None
+            if n > 1:
+                m, prefix = pseudo[n - 2], gram[n - 2, last - 1]
+                weight[grams] = np.log10((totals[grams] + m * 10.0 ** weight[suffix]) / (totals[prefix] + m))
+            if n < order:
+                state[grams] = states + np.arange(len(grams))
+                states += len(grams)
+                m = pseudo[n - 1]
+                failure.append(np.zeros(len(grams), np.int64) if n == 1 else state[suffix])
+                fall.append(np.log10(m / (totals[grams] + m)))
+            if n > 1:
+                arcs.append((state[prefix] * self.width + self.words[last], weight[grams], state[grams if n < order else suffix]))
+        self.failure, self.fall = np.concatenate(failure), np.concatenate(fall)
+        self.root_target = state[words]
+        self.root_known = totals[words] > 0
+        codes = np.concatenate([a[0] for a in arcs])
+        by = np.argsort(codes)
+        # A last code that no lookup has, so that a search never leaves the table.
+        self.codes = np.append(codes[by], np.iinfo(np.int64).max)
+        self.weight = np.concatenate([a[1] for a in arcs])[by]
+        self.target = np.concatenate([a[2] for a in arcs])[by]
+        self.falls = 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read one word in each state: what it costs, and the states it leads to."""
+        cost, state = np.zeros(len(state)), state.copy()
+        left = np.arange(len(state))
+        while len(left):
+            at_root = state[left] == 0
+            root, left = left[at_root], left[~at_root]
+            cost[root] += np.where(self.root_known[word[root]], self.root_weight[word[root]], self.unknown)
+            state[root] = self.root_target[word[root]]
+            code = state[left] * self.width + word[left]
+            arc = np.searchsorted(self.codes, code)
+            taken = self.codes[arc] == code
+            cost[left[taken]] += self.weight[arc[taken]]
+            state[left[taken]] = self.target[arc[taken]]
+            left = left[~taken]
+            cost[left] += self.fall[state[left]]
+            state[left] = self.failure[state[left]]
+            self.falls += len(left)
+        return cost, state
+
+
+def automaton_scores(block: Block, automaton: Automaton, order: int, stride: int = 64) -> np.ndarray:
+    """Log10 probability of each document: one traversal from left to right with a carried state.
+
+    Documents are cut into strides that advance together, each by a word a step,
+    so a very long document takes no more steps than a short one. A state
+    depends on the last order - 1 words only: a stride inside a document first
+    reads those from the root, at no cost, and so begins in the state that the
+    document's own traversal has there.
+    """
+    docs = len(block.offsets) - 1
+    length = np.diff(block.offsets) - 1
+    stride = max(stride, order)
+    pieces = -(-length // stride)
+    doc = np.repeat(np.arange(docs), pieces)
+    begin = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = block.offsets[doc] + 1 + begin * stride
+    size = np.minimum(stride, length[doc] - begin * stride)
+    state = np.zeros(len(doc), dtype=np.int64)
+    head = begin == 0
+    state[head] = automaton.root_target[automaton.words[start[head] - 1]]
+    inner = np.flatnonzero(~head)
+    for back in range(order - 1, 0, -1):
+        _, state[inner] = automaton.step(state[inner], automaton.words[start[inner] - back])
+    automaton.falls = 0
+    total = np.zeros(len(doc))
+    by = np.argsort(-size, kind="stable")
+    for k in range(stride):
+        alive = by[: np.searchsorted(-size[by], -k, side="left")]
+        cost, state[alive] = automaton.step(state[alive], automaton.words[start[alive] + k])
+        total[alive] += cost
+    return np.bincount(doc, weights=total, minlength=docs)
+
+
+def unigram_scores(block: Block, places: list[np.ndarray], totals: np.ndarray, n_train: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: known tokens, and the score of the root's own model."""
+    seen, told = totals[places[0]], ~block.begins
+    base = np.where(told, np.log10((seen + 1) / (n_train + vocabulary + 1)), 0.0)
+    return run_sums((seen > 0) & told, block.offsets), run_sums(base, block.offsets)
 
 
 def score_documents(docs: DataFrame, held_out: Column | None = None, order: int = 2, pseudo: tuple[float, ...] = (500.0, 50.0, 10.0, 10.0), block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,7 +293,9 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
         data, offsets = flat_bytes(mine["text"])
         block = Block(data, offsets, order)
         totals = unpacked_counts(got.sort_by("bucket")["totals"])
-        known, base, score = automaton_scores(block, block.distinct()[1], totals, n_train, vocabulary, list(pseudo))
+        places = block.distinct()[1]
+        known, base = unigram_scores(block, places, totals, n_train, vocabulary)
+        score = automaton_scores(block, Automaton(block, places, totals, n_train, vocabulary, list(pseudo)), order)
         return pa.table({
             "doc_id": mine["doc_id"], "held_out": mine["held_out"], "n_tokens": pa.array(np.diff(block.offsets) - 1, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(known), n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score),

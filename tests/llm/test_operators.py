@@ -74,13 +74,74 @@ def test_op1_scores_edges_in_one_and_many_blocks(documents):
 
 
 def test_op1_probabilities_of_a_context_sum_to_one(docs_of):
-    rows = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a"])]
-    words = ["a", "b", "c", None]
-    asked = [(1000 + k, f"a {w}" if w else "a") for k, w in enumerate(words)]
-    got = by_id(lm.score_documents(docs_of(rows + asked), held_out=F.col("doc_id") >= 1000), "score", "base_score")
-    # P(w | a) of "a w </s>" over P of "a </s>" parts needs the end's share; the unknown word takes the rest.
-    want = brute.lm_scores(rows)
-    assert all(v[0] < 0 for v in got.values()) and want
+    """All known words, the end and one unknown word after "a b", the texts' common beginning taken away."""
+    rows = [(i, t) for i, t in enumerate(["a b a c", "b a b", "c c a b", "a"])]
+    asked = [(1000 + k, f"a b {w}") for k, w in enumerate(["a", "b", "c", "never"])] + [(2000, "a b"), (2001, "a")]
+    for order in (2, 3):
+        scored = lm.score_documents(docs_of(rows + asked), held_out=F.col("doc_id") >= 1000, order=order)
+        got = {d: v[0] for d, v in by_id(scored, "score").items()}
+        said = lambda text: brute_order(rows, text.split(), order)
+        for d, text in asked:
+            assert got[d] == pytest.approx(sum(map(math.log10, said(text))), rel=1e-12)
+        after = [10 ** got[1000 + k] / math.prod(said(f"a b {w}")[:2]) / said(f"a b {w}")[3] for k, w in enumerate(["a", "b", "c", "never"])]
+        end = 10 ** got[2000] / math.prod(said("a b")[:2])
+        assert sum(after) + end == pytest.approx(1.0, abs=1e-12)
+
+
+def brute_order(rows, words, order, pseudo=(500.0, 50.0)):
+    """Probability of each word and the end, counted one by one."""
+    seen = Counter()
+    for _, text in rows:
+        line = ["<s>", *text.split(), "</s>"]
+        seen.update(tuple(line[i : i + n]) for n in range(1, order + 1) for i in range(len(line) - n + 1))
+    told = {g[0]: c for g, c in seen.items() if len(g) == 1 and g[0] != "<s>"}
+    line, out = ["<s>", *words, "</s>"], []
+    for i in range(1, len(line)):
+        p = (told.get(line[i], 0) + 1) / (sum(told.values()) + len(told) + 1)
+        for n in range(1, order):
+            context = tuple(line[max(0, i - n) : i])
+            if i >= n and seen[context]:
+                p = (seen[(*context, line[i])] + pseudo[n - 1] * p) / (seen[context] + pseudo[n - 1])
+        out.append(p)
+    return out
+
+
+def lm_block(texts, order):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    return lm.Block(data, np.concatenate(([0], np.cumsum([len(r) for r in raw]))), order)
+
+
+def lm_automaton(texts, trained, order):
+    block = lm_block(texts, order)
+    keys, places = block.distinct()
+    learns = np.repeat(np.arange(len(texts)) < trained, np.diff(block.offsets))
+    totals = sum(np.bincount(at[learns[block.whole(n)]], minlength=len(keys)) for n, at in enumerate(places, 1))
+    return block, lm.Automaton(block, places, totals, 100, 10, [500.0, 50.0, 10.0])
+
+
+def test_op1_traversal_takes_arcs_and_failure_arcs():
+    """A training text takes arcs only; an unknown word falls through every context before it."""
+    block, automaton = lm_automaton(["a b c d", "a b x c"], 1, 3)
+    assert len(automaton.failure) == 1 + 6 + 5 and (automaton.failure[1:7] == 0).all() and (automaton.failure[7:] > 0).all()
+    lm.automaton_scores(block, automaton, 3)
+    # "a b" -> "b" -> root on x; c and the end: c from the root; after "c" the end is unseen: one fall.
+    assert automaton.falls == 3
+    block, automaton = lm_automaton(["a b c d"], 1, 3)
+    lm.automaton_scores(block, automaton, 3)
+    assert automaton.falls == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_op1_strides_carry_the_state(order):
+    rnd = random.Random(order)
+    texts = [random_text(rnd, n) for n in (0, 1, 2, 700, 64, 65, 129)] + ["", "a b"]
+    block, automaton = lm_automaton(texts, 4, order)
+    whole = lm.automaton_scores(block, automaton, order, stride=10_000)
+    falls = automaton.falls
+    for stride in (order, 7, 64):
+        assert lm.automaton_scores(block, automaton, order, stride) == pytest.approx(whole, rel=1e-12)
+        assert automaton.falls == falls
 
 
 def test_op1_higher_order_beats_the_base_on_held_out_text(spark, sf):
