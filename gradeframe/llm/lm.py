@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.text import BYTE_VALUES, LOWER, SPACED, binary_column, flat_bytes, id_and_text, mix, partitions_for, run_sums, slices, span_hashes, text_bytes, word_spans
+from gradeframe.llm.text import BYTE_VALUES, LOWER, SPACED, flat_bytes, mix, run_sums, slices, span_hashes, text_bytes, word_spans
 
 VALUES = BYTE_VALUES[LOWER]
 BEGIN, END = np.uint64(0x5BD1E995_00000100), np.uint64(0x5BD1E995_00000200)
@@ -90,6 +90,29 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
+def packed_keys(keys: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Runs of sorted distinct keys: the first in full, then differences in as few bytes as the largest takes."""
+    out = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        steps = np.diff(keys[a:b])
+        width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
+        low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        out.append(keys[a : a + 1].astype("<u8").tobytes() + bytes([width]) + low.tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
+    runs = []
+    for raw in column.to_pylist():
+        width = raw[8]
+        low = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+        steps = np.zeros((len(low) + 1, 8), dtype=np.uint8)
+        steps[0] = np.frombuffer(raw, np.uint8, 8)
+        steps[1:, :width] = low
+        runs.append(np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64))
+    return runs
+
+
 def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """Tokens of the training documents, and how many distinct ones there are."""
 
@@ -100,10 +123,10 @@ def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
             bounds = bucket_bounds(keys, buckets)
             some = np.flatnonzero(np.diff(bounds))
             cut = np.append(bounds[some], len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), binary_column(keys, cut), pa.array(np.add.reduceat(counts, bounds[some]) if len(some) else [], pa.int64())], names=["bucket", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), packed_keys(keys, cut), pa.array(np.add.reduceat(counts, bounds[some]) if len(some) else [], pa.int64())], names=["bucket", "keys", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        return pa.table({"v": pa.array([len(np.unique(_joined(table["keys"])))], pa.int64()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
+        return pa.table({"v": pa.array([len(np.unique(np.concatenate(unpacked_keys(table["keys"]))))], pa.int64()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
 
     packed = docs.filter(~F.col("held_out")).select("text").mapInArrow(words, "bucket int, keys binary, n long")
     row = packed.groupBy("bucket").applyInArrow(count, "v long, n long").agg(F.sum("n"), F.sum("v")).first()
@@ -130,10 +153,6 @@ def unpacked_counts(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _joined(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
-
-
 class Automaton:
     """The part of the weighted backoff automaton that a block's own n-grams can reach.
 
@@ -152,7 +171,10 @@ class Automaton:
         gram = np.full((order, tokens), -1, dtype=np.int64)
         for n, at in enumerate(places):
             gram[n, ends[n]] = at
-        words, self.words = np.unique(gram[0], return_inverse=True)
+        told = np.zeros(len(totals), dtype=bool)
+        told[places[0]] = True
+        words = np.flatnonzero(told)
+        self.words = (np.cumsum(told) - 1)[gram[0]]
         self.width = max(1, len(words))
         weight, state = np.zeros(len(totals)), np.zeros(len(totals), dtype=np.int64)
         size = n_train + vocabulary + 1
@@ -162,9 +184,10 @@ class Automaton:
         failure, fall, arcs, states = [np.zeros(1, np.int64)], [np.zeros(1)], [], 1
         for n in range(1, order + 1):
             # Each seen n-gram once, and a place where it ends: its prefix and suffix end before it and there.
-            grams, first = np.unique(places[n - 1], return_index=True)
-            seen = totals[grams] > 0
-            grams, last = grams[seen], ends[n - 1][first[seen]]
+            place = np.full(len(totals), -1, dtype=np.int64)
+            place[places[n - 1]] = ends[n - 1]
+            grams = np.flatnonzero((place >= 0) & (totals > 0))
+            last = place[grams]
             suffix = gram[n - 2, last] if n > 1 else None
             if n > 1:
                 m, prefix = pseudo[n - 2], gram[n - 2, last - 1]
@@ -279,14 +302,14 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
         cut = np.append(bounds[some], len(keys))
         return pa.table({
             "bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), table["block"][0].as_py()), pa.int32()),
-            "keys": binary_column(keys, cut), "counts": packed_counts(counts, cut),
+            "keys": packed_keys(keys, cut), "counts": packed_counts(counts, cut),
         })
 
     def answers(table: pa.Table) -> pa.Table:
-        keys, counts = _joined(table["keys"]), unpacked_counts(table["counts"])
-        _, inverse = np.unique(keys, return_inverse=True)
+        runs, counts = unpacked_keys(table["keys"]), unpacked_counts(table["counts"])
+        _, inverse = np.unique(np.concatenate(runs), return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
-        cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])))
+        cut = np.concatenate(([0], np.cumsum([len(k) for k in runs])))
         return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": packed_counts(totals, cut)})
 
     def scores(mine: pa.Table, got: pa.Table) -> pa.Table:

@@ -132,6 +132,14 @@ def test_op1_traversal_takes_arcs_and_failure_arcs():
     assert automaton.falls == 0
 
 
+def test_op1_keys_survive_packing():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False))
+    keys = np.concatenate((keys, [np.uint64((1 << 64) - 1)]))
+    cut = np.array([0, 1, 3, 400, 401, len(keys)])
+    got = lm.unpacked_keys(lm.packed_keys(keys, cut))
+    assert [len(g) for g in got] == list(np.diff(cut)) and (np.concatenate(got) == keys).all()
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_op1_strides_carry_the_state(order):
     rnd = random.Random(order)
