@@ -43,8 +43,12 @@ def mean_with_support(df: DataFrame, key: str, target: str, minimum: int, mean:
 
 def apply_encoding(df: DataFrame, stats: DataFrame, key: str, prefix: str, **join) -> DataFrame:
     """Look a trained encoding up; an unseen key gets NULL mean and count 0."""
-    out = lookup_join(df, stats, [key], "left", **join)
-    return out.withColumn(f"{prefix}_cnt", F.coalesce(F.col(f"{prefix}_cnt"), F.lit(0)))
+    return unseen_as_zero(lookup_join(df, stats, [key], "left", **join), prefix)
+
+
+def unseen_as_zero(df: DataFrame, prefix: str) -> DataFrame:
+    """Count 0 where a looked-up encoding has no row."""
+    return df.withColumn(f"{prefix}_cnt", F.coalesce(F.col(f"{prefix}_cnt"), F.lit(0)))
 
 
 def leave_one_out_table(df: DataFrame, key: str, target: str, prefix: str) -> DataFrame:
@@ -63,12 +67,17 @@ def apply_leave_one_out(
     singleton: str = "zero", prior: float | None = None, **join,
 ) -> DataFrame:
     """Join the table back and take each row's own target out of its key's mean."""
+    hot = lambda: heavy_groups(table, [key], "_rows")
+    out = lookup_join(df, table.drop("_rows"), [key], "left", hot, **join)
+    return without_own(out, target, prefix, singleton, prior)
+
+
+def without_own(df: DataFrame, target: str, prefix: str, singleton: str = "zero", prior: float | None = None) -> DataFrame:
+    """The leave-one-out mean of rows that carry their key's sum and count already."""
     count = F.col(f"{prefix}_cnt")
     loo = (F.col("_sum") - F.col(target)) / F.when(count > 1, count - 1).otherwise(1)
     alone = {"zero": loo, "null": F.lit(None).cast("double"), "prior": F.lit(prior).cast("double")}[singleton]
-    hot = lambda: heavy_groups(table, [key], "_rows")
-    out = lookup_join(df, table.drop("_rows"), [key], "left", hot, **join)
-    return out.withColumn(f"{prefix}_loo", F.when(count <= 1, alone).otherwise(loo)).drop("_sum")
+    return df.withColumn(f"{prefix}_loo", F.when(count <= 1, alone).otherwise(loo)).drop("_sum")
 
 
 def with_leave_one_out(

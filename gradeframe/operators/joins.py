@@ -8,18 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gradeframe.session import settle
+from gradeframe.session import settle, spread
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key is hot when it holds more than this share of the fact rows; at most
-# 1 / HOT_SHARE keys can, which bounds what the skew path broadcasts.
+# A key is hot when it holds more than this share of the fact rows, or more
+# rows than one task should hold. At most HOT_KEYS keys are hot, whatever the
+# number of rows, which bounds what the skew path broadcasts.
 HOT_SHARE = 1e-3
+TASK_ROWS = 2_000_000
+HOT_KEYS = 100_000
+# Hot keys' values are broadcast up to this size; beyond, they are copied for
+# so many tasks.
+HEAVY_BYTES = BROADCAST_BYTES
+COPIES = 256
 # Number of salts that rows of hot and missing keys are spread over.
 SPREAD = 4096
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """Whether a table takes at most ``limit`` bytes in memory.
+def held_bytes(df: DataFrame, limit: int) -> int | None:
+    """Bytes a table takes in memory, or None when they exceed ``limit``.
 
     Rows are counted first, which for a file scan only reads footers; text is
     measured only when the row count alone does not settle it.
@@ -35,26 +42,36 @@ def fits(df: DataFrame, limit: int) -> bool:
         else:
             fixed += 8
     size = df.count() * fixed
-    if size > limit or not variable:
-        return size <= limit
-    text = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in variable])
-    return size + (df.agg(F.sum(text)).first()[0] or 0) <= limit
+    if size <= limit and variable:
+        text = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in variable])
+        size += df.agg(F.sum(text)).first()[0] or 0
+    return size if size <= limit else None
+
+
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether a table takes at most ``limit`` bytes in memory."""
+    return held_bytes(df, limit) is not None
 
 
 def _all_present(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
-def hot_keys(fact: DataFrame, on: Sequence[str], hot_share: float = HOT_SHARE) -> DataFrame:
-    """Keys above ``hot_share`` of the rows; at most ``1 / hot_share`` of them."""
+def hot_keys(fact: DataFrame, on: Sequence[str], hot_share: float = HOT_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys above ``hot_share`` of the rows, or above ``task_rows`` rows; see ``heavy_groups``."""
     counts = fact.filter(_all_present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return heavy_groups(counts, on, "_rows", hot_share)
+    return heavy_groups(counts, on, "_rows", hot_share, task_rows)
 
 
-def heavy_groups(counts: DataFrame, on: Sequence[str], rows: str, hot_share: float = HOT_SHARE) -> DataFrame:
-    """The same from row counts per key that were made anyway."""
-    total = counts.agg(F.sum(rows)).scalar()
-    return counts.filter(F.col(rows) > total * F.lit(float(hot_share))).select(*on)
+def heavy_groups(counts: DataFrame, on: Sequence[str], rows: str, hot_share: float = HOT_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The same from row counts per key that were made anyway.
+
+    The limit is the lower of the share and ``task_rows``, but never so low that
+    more than the larger of ``1 / hot_share`` and ``HOT_KEYS`` keys could exceed it.
+    """
+    total = F.sum(rows)
+    limit = F.least(total * float(hot_share), F.greatest(F.lit(float(task_rows)), total / HOT_KEYS))
+    return counts.filter(F.col(rows) > counts.agg(limit).scalar()).select(*on)
 
 
 def lookup_join(
@@ -70,7 +87,8 @@ def lookup_join(
     The lookup is measured first. Within ``broadcast_bytes`` it is broadcast and
     the fact table does not move. Beyond that the two are shuffled together,
     except that hot keys (made by ``hot``, or counted from the fact) take their values
-    from a broadcast of just those keys; rows of a hot or NULL key are then
+    from a broadcast of just those keys, or, beyond ``HEAVY_BYTES`` of values,
+    from copies for several tasks; rows of a hot or NULL key are then
     spread over all tasks, so no task receives a heavy key. The fact table is
     read once either way, and both ways return the same rows. NULL keys never
     match.
@@ -83,23 +101,55 @@ def lookup_join(
     return _spread_join(fact, lookup, on, how, hot_keys(fact, on) if hot is None else hot())
 
 
+def lookup_joins(
+    fact: DataFrame,
+    lookups: Sequence[DataFrame],
+    on: Sequence[str],
+    hot: Callable[[], DataFrame] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Left-join several lookups on one key; the fact table moves at most once.
+
+    Lookups are broadcast while together they stay within ``broadcast_bytes``.
+    The others are first joined with each other on the key, which moves only
+    lookups, and then meet the fact table as one, as in ``lookup_join``. Each is
+    unique on ``on``, and their other columns differ.
+    """
+    on, out, left, large = list(on), fact, broadcast_bytes, []
+    for lookup in lookups:
+        size = held_bytes(lookup, left)
+        if size is None:
+            large.append(lookup.filter(_all_present(on)))
+        else:
+            out, left = out.join(F.broadcast(lookup), on, "left"), left - size
+    if large:
+        wide = reduce(lambda a, b: a.join(b, on, "full"), large)
+        out = _spread_join(out, wide, on, "left", hot_keys(fact, on) if hot is None else hot())
+    return out.select(*fact.columns, *[c for t in lookups for c in t.columns if c not in on])
+
+
 def _spread_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str, hot: DataFrame) -> DataFrame:
     extra = [c for c in lookup.columns if c not in on]
     values = F.struct(*extra, F.lit(True).alias("_found"))
-    # A bounded number of keys, and the lookup has one row for each.
+    # A bounded number of keys, and the lookup has one row for each; their values are measured.
     keys = settle(hot.select(*on))
     known = lookup.join(F.broadcast(keys), on, "left_semi").select(*on, values.alias("_v"))
     heavy = settle(keys.join(known, on, "left").select(*on, "_v", F.lit(True).alias("_hot")))
-    marked = fact.join(F.broadcast(heavy), on, "left")
-    apart = F.col("_hot").isNotNull() | ~_all_present(on)
+    carried = fits(heavy, HEAVY_BYTES)
+    marked = fact.join(F.broadcast(heavy if carried else heavy.drop("_v")), on, "left")
     # The partition number spreads even identical rows and is the same on a retry.
-    spot = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
-    marked = marked.withColumn("_salt", F.when(apart, spot).otherwise(0))
+    spot = lambda n: F.pmod(F.spark_partition_id(), F.lit(n)) + 1
+    apart = F.when(~_all_present(on), spot(SPREAD)).when(F.col("_hot"), spot(SPREAD if carried else COPIES))
+    marked = marked.withColumn("_salt", apart.otherwise(0))
     # Always 0, but not a literal: the optimizer would fold that one out of the
     # join key, and the rows would be shuffled by the key alone.
     zero = F.pmod(F.hash(*on), F.lit(1))
     cold = lookup.select(*on, values.alias("_w"), zero.alias("_salt"))
-    joined = marked.join(cold, [*on, "_salt"], "left").withColumn("_v", F.coalesce("_v", "_w"))
+    if carried:
+        joined = marked.join(cold, [*on, "_salt"], "left").withColumn("_v", F.coalesce("_v", "_w"))
+    else:
+        copies = spread(heavy, on).select(*on, F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("_salt"))
+        joined = marked.join(cold.unionByName(copies), [*on, "_salt"], "left").withColumnRenamed("_w", "_v")
     if how == "inner":
         joined = joined.filter("_v._found")
     return joined.select(*fact.columns, *[F.col("_v").getField(c).alias(c) for c in extra])

@@ -7,6 +7,7 @@ them; the fact table is never gathered or chunked.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -101,8 +102,9 @@ def with_interactions(df: DataFrame) -> DataFrame:
     })
 
 
-def with_farm(df: DataFrame, farms: DataFrame, **join) -> DataFrame:
-    out = joins.lookup_join(df, farms, [FARM], "left", **join)
+def with_farm(df: DataFrame, farms: DataFrame, *others: DataFrame, **join) -> DataFrame:
+    """Farm features, and whatever other lookups there are by farm, with one join of the rows."""
+    out = joins.lookup_joins(df, [farms, *others], [FARM], **join)
     out = out.withColumn("death_cnt", F.coalesce("death_cnt", F.lit(0)))
     return out.withColumn("death_rate", clean.smoothed_death_rate(F.col("death_cnt"), F.col("avg_cattle")))
 
@@ -120,9 +122,10 @@ def rearing_table(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER
 
 
 def common_features(
-    fact: DataFrame, base: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join,
+    fact: DataFrame, base: DataFrame, tables: Lookups, weather_start: str = WEATHER_START,
+    by_farm: Sequence[DataFrame] = (), hot_farms: Callable[[], DataFrame] | None = None, **join,
 ) -> DataFrame:
-    """Features that training and scoring rows share.
+    """Features that training and scoring rows share, and further lookups by farm.
 
     Slaughter-month and three lag months come from one join on the month, the
     birth month from a second one, the rearing period from a third. ``base`` is
@@ -137,7 +140,8 @@ def common_features(
     df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", hot=hot_months("ABATT_DATE"), **join)
     birth = clean.with_prefix(tables.monthly, "b_", ["stn", "month"])
     df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", hot=hot_months("BIRTH_YMD"), **join)
-    df = with_farm(df, tables.farms, hot=lambda: joins.hot_keys(base, [FARM]), **join)
+    hot_farms = hot_farms or (lambda: joins.hot_keys(base, [FARM]))
+    df = with_farm(df, tables.farms, *by_farm, hot=hot_farms, **join)
     return timeseries.apply_interval_table(df, rearing, ["stn"], "BIRTH_YMD", "ABATT_DATE", floor, **join)
 
 
@@ -151,8 +155,10 @@ def with_target(fact: DataFrame) -> DataFrame:
 
 def training_features(fact: DataFrame, tables: Lookups, weather_start: str = WEATHER_START, **join) -> DataFrame:
     base = with_target(typed_fact(fact))
-    df = encoding.with_leave_one_out(base, FARM, "grade_score", "farm_grade", **join)
-    return common_features(df, base, tables, weather_start, **join)
+    table = encoding.leave_one_out_table(base, FARM, "grade_score", "farm_grade")
+    hot = lambda: joins.heavy_groups(table, [FARM], "_rows")
+    df = common_features(base, base, tables, weather_start, [table.drop("_rows")], hot, **join)
+    return encoding.without_own(df, "grade_score", "farm_grade")
 
 
 def encoding_table(fact: DataFrame) -> DataFrame:
@@ -203,9 +209,11 @@ def baseline_features(fact: DataFrame, tables: Lookups, parents: DataFrame, stat
         renamed = clean.with_prefix(tables.monthly, prefix, ["stn", "month"])
         hot = lambda date=date: _hot_months(base, date)
         df = timeseries.month_join(df, renamed, ["stn"], date, hot=hot, **join)
-    df = with_farm(df, tables.farms, hot=lambda: joins.hot_keys(base, [FARM]), **join)
+    df = with_farm(df, tables.farms, statistics[FARM], hot=lambda: joins.hot_keys(base, [FARM]), **join)
     df = joins.lookup_join(df, parents, ["CATTLE_NO"], "left", lambda: joins.hot_keys(base, ["CATTLE_NO"]), **join)
     for key, means in statistics.items():
+        if key == FARM:
+            continue
         bred = lambda: base.select("CATTLE_NO", FARM).join(parents, "CATTLE_NO", "left")
         df = joins.lookup_join(df, means, [key], "left", lambda key=key: joins.hot_keys(bred(), [key]), **join)
     return df

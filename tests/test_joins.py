@@ -1,6 +1,7 @@
 """Lookup joins in both ways, keys and alignment."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,60 @@ def test_hot_keys_are_bounded_by_their_share(skewed):
     assert joins.hot_keys(fact, ["k"], 0.001).count() <= 1000
 
 
+def test_a_key_below_the_share_is_hot_by_what_a_task_may_hold(skewed):
+    fact, _ = skewed
+    assert joins.hot_keys(fact, ["k"], 0.5).count() == 0
+    assert [r["k"] for r in joins.hot_keys(fact, ["k"], 0.5, task_rows=900).collect()] == ["hot"]
+    assert joins.hot_keys(fact, ["k"], 0.5, task_rows=1000).count() == 0
+
+
+def test_hot_keys_stay_bounded_where_tasks_hold_little(skewed, monkeypatch):
+    fact, _ = skewed
+    monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    assert joins.hot_keys(fact, ["k"], 0.5, task_rows=1).count() <= 3
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_values_of_hot_keys_beyond_the_broadcast_are_copied(skewed, monkeypatch, how):
+    fact, lookup = skewed
+    monkeypatch.setattr(joins, "HEAVY_BYTES", 0)
+    for table in (lookup, lookup.filter("k <> 'hot'")):
+        want = content(joins.lookup_join(fact, table, ["k"], how))
+        assert content(joins.lookup_join(fact, table, ["k"], how, broadcast_bytes=0)) == want
+
+
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 6000, 0])
+def test_several_lookups_on_one_key(spark, skewed, limit):
+    fact, lookup = skewed
+    other = spark.createDataFrame([(f"k{i}", f"w{i}") for i in range(0, 400, 3)] + [("hot", "h"), (None, "n")], "k string, w string")
+    third = spark.createDataFrame([("k7", 1.5), ("elsewhere", 2.5)], "k string, z double")
+    got = joins.lookup_joins(fact, [lookup, other, third], ["k"], broadcast_bytes=limit)
+    want = fact
+    for table in (lookup, other, third):
+        want = joins.lookup_join(want, table, ["k"])
+    assert got.columns == want.columns == ["k", "x", "v", "w", "z"]
+    assert content(got) == content(want) and got.count() == fact.count()
+
+
+def test_several_lookups_move_the_fact_once(spark, skewed):
+    fact, lookup = skewed
+    tables = [lookup.withColumnRenamed("v", f"v{i}") for i in range(3)]
+    marked = fact.withColumn("_mark", F.monotonically_increasing_id())
+    shuffles = lambda df: sum("_mark" in line for line in outputs_of_exchanges(df))
+    assert shuffles(joins.lookup_joins(marked, tables, ["k"], broadcast_bytes=0)) == 1
+    one_by_one = marked
+    for table in tables:
+        one_by_one = joins.lookup_join(one_by_one, table, ["k"], broadcast_bytes=0)
+    assert shuffles(one_by_one) == 3
+
+
+def outputs_of_exchanges(df):
+    """What each shuffle of the plan moves."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    blocks = [b for b in text.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", b)]
+    return [line for b in blocks for line in b.splitlines() if line.startswith("Input")]
+
+
 def test_leave_one_out_and_interval_joins_beyond_the_broadcast_limit(spark, skewed):
     fact, _ = skewed
     a = encoding.with_leave_one_out(fact, "k", "x", "e")
