@@ -439,14 +439,10 @@ def two_part_class(spark, sf):
 
 @query(with_roles("graded_rows", f"SELECT animal, {_LEARNED} FROM graded_rows"))
 def stacked_classes(spark, sf):
-    """A second classifier on two models' out-of-fold probabilities."""
+    """A second classifier on two models' votes, which it never learns from models that saw the held-out fold."""
     df, classes, _ = _learning_set(spark, sf)
+    first = training.ForestParams(tree_grid=(5,), depth=5, min_rows=5, bins=32)
     other = training.ForestParams(tree_grid=(5,), depth=3, min_rows=5, bins=32, seed=7)
-    votes = [settle(_cross_validated(df, classes, "quality", p).predictions) for p in (PARAMS, other)]
-    matrix = training.stacked_matrix(votes, "animal", votes[0].select("animal", "fold", "label"))
-    labelled = settle(training.weighted(training.with_classes(matrix, "label", classes), "label"))
-    parts = []
-    for held in (0, 1):
-        model = PARAMS.forest(5).fit(training.with_classes(labelled.filter(F.col("fold") != held), "label", classes))
-        parts.append(training.score(model, labelled.filter(F.col("fold") == held), ["animal", "label"], classes))
-    return _checked(joins.stack_rows(*parts), classes, ["animal"])
+    found = training.nested_stack(
+        df, "animal", SMALL, "quality", "fold", 2, classes, [first, other], first, per_fold={"farm_grade_loo": "farm_grade_loo"})
+    return _checked(found, classes, ["animal"])

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeframe.functions.encode import blend, first_argmax, label_of
 from gradeframe.operators.joins import align_predictions, lookup_join, stack_rows
 from gradeframe.operators.metrics import class_weights, macro_f1
+from gradeframe.operators.sampling import stratified_folds
 from gradeframe.plans import stopping
+from gradeframe.session import settle
 from gradeframe.sources.store import reuse_or_fit, reuse_or_write
 
 MISSING_FEATURE = -999.0
@@ -196,3 +198,46 @@ def stacked_matrix(predictions: Sequence[DataFrame], key: str, keep: DataFrame)
         out = out.join(p.select(key, F.col("probability").alias(f"_p{i}")), key)
     parts = [F.col(f"_p{i}") for i in range(len(predictions))]
     return out.withColumn("features", array_to_vector(F.concat(*parts))).drop(*[f"_p{i}" for i in range(len(predictions))])
+
+
+def _learned(train: DataFrame, rows: DataFrame, params: ForestParams, keep: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    """Scores of ``rows`` by a forest of the largest size, fitted on ``train`` alone."""
+    data = with_classes(weighted(train, "label"), "label", classes).cache()
+    try:
+        model = params.forest(params.tree_grid[-1]).fit(data)
+    finally:
+        data.unpersist()
+    return score(model, rows, keep, classes)
+
+
+def nested_stack(
+    df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, k: int, classes: Sequence[str],
+    bases: Sequence[ForestParams], top: ForestParams, inner: int = 2, per_fold: Mapping[str, str] | None = None, seed: int = 42,
+) -> DataFrame:
+    """Out-of-fold scores of a second model on the votes of several base models.
+
+    For each held-out fold everything is learned from the other folds: they are
+    split once more into ``inner`` folds, whose out-of-fold votes the second
+    model is fitted on; base models of all other folds vote on the held-out
+    rows, which the second model then scores. So no vote that the second model
+    learns from was made by a model that saw the row itself or a held-out one.
+    ``per_fold`` is as in ``cross_validate``. It takes k x (bases x (inner + 1) + 1)
+    fits; votes are settled, so a lost executor repeats no fit.
+    """
+    keep, parts = [key, fold, "label"], []
+    for i in range(k):
+        columns = [f"{per_fold[c]}_{i}" if per_fold and c in per_fold else c for c in features]
+        data = with_classes(feature_matrix(df, columns, [key, fold, label]), label, classes)
+        held = data.filter(F.col(fold) == i)
+        rest = settle(stratified_folds(data.filter(F.col(fold) != i), [key], label, inner, "_inner", seed))
+        learned, voted = [], []
+        for params in bases:
+            inside = [
+                _learned(rest.filter(F.col("_inner") != j), rest.filter(F.col("_inner") == j), params, keep, classes)
+                for j in range(inner)
+            ]
+            learned.append(settle(stack_rows(*inside)))
+            voted.append(settle(_learned(rest, held, params, keep, classes)))
+        matrix = lambda votes: stacked_matrix(votes, key, votes[0].select(*keep))
+        parts.append(settle(_learned(matrix(learned), matrix(voted), top, keep, classes)))
+    return stack_rows(*parts)

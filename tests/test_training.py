@@ -91,3 +91,37 @@ def test_stacking_and_blending(data, cv):
     assert matrix.first()["features"].size == 8 and matrix.count() == data.count()
     same = training.blended(cv.predictions, cv.predictions, "id", 0.3, CLASSES)
     assert same.join(cv.predictions.select("id", F.col("predicted").alias("p")), "id").filter("predicted <> p").count() == 0
+
+
+TOP = training.ForestParams(tree_grid=(4,), depth=3, min_rows=1, bins=16)
+OTHER = training.ForestParams(tree_grid=(3,), depth=2, min_rows=1, bins=16, seed=5)
+
+
+def test_nested_stacking_never_learns_from_what_it_scores(data, monkeypatch):
+    steps, learned = [], training._learned
+
+    def watched(train, rows, *rest):
+        ids = [{r["id"] for r in d.select("id").collect()} for d in (train, rows)]
+        steps.append(ids)
+        return learned(train, rows, *rest)
+
+    monkeypatch.setattr(training, "_learned", watched)
+    out = training.nested_stack(data, "id", ["a", "b", "enc"], "y", "fold", 3, CLASSES, [TOP, OTHER], TOP, per_fold={"enc": "enc"})
+    assert out.count() == data.count() == out.select("id").distinct().count()
+    assert out.filter("label = predicted").count() > 0.8 * out.count()
+    assert len(steps) == 3 * (2 * 3 + 1) and all(train.isdisjoint(rows) for train, rows in steps)
+    folds = {}
+    for r in data.select("id", "fold").collect():
+        folds.setdefault(r["fold"], set()).add(r["id"])
+    for i in range(3):
+        mine = steps[7 * i : 7 * i + 7]
+        assert mine[-1][1] == folds[i] and all(train.isdisjoint(folds[i]) for train, _ in mine)
+
+
+def test_nested_stacking_of_random_labels_stays_at_chance(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.random(), f"k{i // 2}", c, float(c)) for i in range(600) for c in [rnd.randrange(3)]]
+    df = sampling.stratified_folds(spark.createDataFrame(rows, "id int, a double, k string, y int, t double"), ["id"], "y", 2)
+    deep = training.ForestParams(tree_grid=(5,), depth=8, min_rows=1, bins=32)
+    out = training.nested_stack(df.cache(), "id", ["a"], "y", "fold", 2, CLASSES[:3], [deep, OTHER], deep)
+    assert abs(out.filter("label = predicted").count() / 600 - 1 / 3) < 0.08
