@@ -8,7 +8,7 @@ cut on bytes. Nothing is per-row Python.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +129,59 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - lengths, lengths)
 
 
+class SpanMemory:
+    """Ragged unsigned 32-bit values of byte strings, found by 64-bit hashes.
+
+    `learn` gives the values of distinct strings, end to end, and their n+1
+    offsets. The first `limit` strings are remembered; others are learned again
+    in each call. Remembered hashes lie in sorted runs of geometric sizes, so
+    adding costs a logarithm of copies.
+    """
+
+    def __init__(self, learn: Callable[[Sequence[bytes]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.learn, self.limit, self.count = learn, limit, 0
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.values, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _hold(self, values: np.ndarray) -> None:
+        """Put values behind the used ones, which stay only if `used` is moved."""
+        if self.used + len(values) > len(self.values):
+            grown = np.zeros(max(2 * len(self.values), self.used + len(values)), dtype=np.uint32)
+            grown[: self.used] = self.values[: self.used]
+            self.values = grown
+        self.values[self.used : self.used + len(values)] = values
+
+    def _add(self, run: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.runs.append(run)
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            both = [np.concatenate(pair) for pair in zip(self.runs[-2], self.runs[-1])]
+            order = np.argsort(both[0], kind="stable")
+            self.runs[-2:] = [tuple(column[order] for column in both)]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of data[start:end] for each span, end to end, and n+1 offsets per span."""
+        hashes, sample, place = np.unique(span_hashes(data, starts, ends, BYTE_VALUES), return_index=True, return_inverse=True)
+        first, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        missing = np.ones(len(hashes), dtype=bool)
+        for known, known_first, known_sizes in self.runs:
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            first[hit], sizes[hit] = known_first[at[hit]], known_sizes[at[hit]]
+            missing &= ~hit
+        if missing.any():
+            raw, spans = data.tobytes(), sample[missing]
+            values, cuts = self.learn([raw[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
+            self._hold(values)
+            first[missing], sizes[missing] = self.used + cuts[:-1], np.diff(cuts)
+            if self.count + len(spans) <= self.limit:
+                self.used += len(values)
+                self.count += len(spans)
+                self._add((hashes[missing], first[missing], sizes[missing]))
+        first, sizes = first[place], sizes[place]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        return self.values[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])], offsets
+
+
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """An Arrow binary column of data[offsets[i]:offsets[i+1]] in bytes."""
     width = data.itemsize

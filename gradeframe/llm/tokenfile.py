@@ -8,11 +8,13 @@ magic number. A reader fetches the two tables from the end of the file and
 decompresses only the frames that hold the documents it wants. Any zstandard
 tool decompresses the whole file to the plain ids.
 
-Documents are dealt out by ranges of doc_id, so a hot source or a run of copies
-can't fill one task, and each task writes one file of the global order.
+Documents are dealt out by ranges of doc_id and a hash of the text, so neither a
+hot source or a run of copies nor rows without an id can fill one task, and each
+task writes one file of the global order.
 
 Contract: one document per row, also for null or empty texts (only the end id)
-and for repeated rows; null ids come first; an empty table gives one or no
+and for repeated rows; null ids come first; rows of one id are ordered by their
+text's hash, then the text, so files do not change between attempts; an empty table gives one or no
 file and no rows; other columns are ignored. A file becomes part of the set
 only through the manifest row of the task attempt that succeeded.
 """
@@ -24,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.llm.text import id_and_text, partitions_for, shared_folder, slices, stored, text_bytes
+from gradeframe.llm.text import SpanMemory, id_and_text, partitions_for, shared_folder, slices, stored, text_bytes, word_spans
 
 #: Fixed values of the public zstandard formats.
 INDEX_MAGIC = 0x184D2A5D  # a skippable frame, here the document index
@@ -43,8 +46,11 @@ CHECKSUMS = 0x80  # descriptor: entries have checksums
 
 #: Bytes of ids after which a frame ends (always at the end of a document).
 FRAME_BYTES = 256 << 10
-#: Distinct words whose ids a worker remembers, the first it meets; others are encoded again in each batch.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers (about 40 bytes each), the first it meets; others are encoded again in each slice.
+REMEMBERED = 4_000_000
+#: What separates words: spaces, tabs and line ends.
+BETWEEN = np.ones(256, dtype=bool)
+BETWEEN[[0x20, 0x09, 0x0A, 0x0D]] = False
 #: Bytes of text to a file.
 FILE_BYTES = 16 << 20
 
@@ -63,29 +69,34 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.memory = SpanMemory(self.ids_of, REMEMBERED)
         # A special token that can stand between words, where there is one.
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = next(((text, i) for i, text in special.items()), (None, -1))
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of single words, in one call of the library where a mark can tell them apart."""
-        if self.mark is None or any(self.mark in w for w in words):
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, dtype="<u4")
-        raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark_id) * 4
-        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])]
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        missing = list(set().union(*words).difference(self.known))
-        if missing:
-            self.known.update(zip(missing, self.ids_of(missing)))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        if len(self.known) > REMEMBERED:
-            for word in missing:
-                del self.known[word]
-        return out
+    def ids_of(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words and their offsets, in one call of the library where a mark can tell them apart."""
+        texts = [w.decode() for w in words]
+        if self.mark is None or any(self.mark in t for t in texts):
+            ids = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+        (found,) = self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        # The k-th mark has k others before it, which are taken out.
+        return np.delete(ids, marks), np.concatenate(([0], marks - np.arange(len(marks)), [len(ids) - len(marks)]))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, end to end, and n+1 offsets per text."""
+        starts, ends, words = word_spans(data, offsets, BETWEEN)
+        ids, cuts = self.memory.find(data, starts, ends)
+        return ids, cuts[words]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 class SeekableWriter:
@@ -191,19 +202,23 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         path = f"{root}/ids-{part:06d}-{uuid.uuid4().hex}.zst"
-        encoder, end = WordEncoder(vocabulary), struct.pack("<I", end_id)
+        encoder, end = word_encoder(vocabulary), struct.pack("<I", end_id)
         with files.open_output_stream(path, compression=None) as stream:
             writer = SeekableWriter(stream)
             for batch in batches:
-                for few, _, _ in slices([batch]):
-                    for doc_id, ids in zip(few.column("doc_id").to_pylist(), encoder.encode(few.column("text").to_pylist())):
-                        writer.add(doc_id, ids + end)
+                for few, data, offsets in slices([batch]):
+                    ids, cuts = encoder.encode(data, offsets)
+                    raw, cuts = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+                    for doc_id, a, b in zip(few.column("doc_id").to_pylist(), cuts, cuts[1:]):
+                        writer.add(doc_id, raw[a:b] + end)
             total = writer.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [len(writer.ids)], "ids": [total]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     number = partitions_for(spark, text_bytes(rows), file_bytes)
     # Only the attempt whose row the manifest keeps counts, and the manifest is computed once.
-    return stored(rows.repartitionByRange(number, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(run, MANIFEST), "token-manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    dealt = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange(number, *order).sortWithinPartitions(*order, "text")
+    return stored(dealt.drop("_hash").mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
