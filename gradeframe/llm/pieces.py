@@ -8,32 +8,42 @@ of the longest piece's length; whenever the paths from all of them meet at one
 boundary, the ids up to there are final and leave. Texts of any length take
 bounded memory.
 
-No piece of these models crosses from a letter to a blank, so texts are searched
-from blank to blank and a worker remembers frequent stretches. Where equal
-scores leave no agreeing path (runs of blanks), the stretch is merged directly.
-
-Contract: one row per document row; null and empty texts have no ids; repeated
-rows each give a row; other columns are ignored. Decoding gives the text back,
-but for the blank sign U+2581, which stands for a space.
+No piece of these models crosses from a letter to a blank, so texts are cut on
+bytes from blank to blank and a worker remembers the ids of stretches by their
+hashes. All new stretches of a slice that fit into one window are searched in
+lockstep on flat arrays: one step takes the next boundary of every stretch.
+Their paths meet at their ends, where the ids are final. Longer stretches are
+streamed one by one. Where equal scores leave no agreeing path (runs of
+blanks), the stretch is merged directly.
+
+Contract: one row per document row; null and empty texts have no ids; texts of
+any length are taken whole; repeated rows each give a row; other columns are
+ignored. Decoding gives the text back, but for the blank sign U+2581, which
+stands for a space.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gradeframe.llm.text import id_and_text, slices
+from gradeframe.llm.text import SpanMemory, flat_bytes, id_and_text, mix, ragged, slices
 
 BLANK = "▁"
-#: Stretches and pairs that a worker remembers, the first it meets.
-REMEMBERED = 600_000
+#: Stretches (about 50 bytes each) and pairs that a worker remembers, the first it meets.
+REMEMBERED = 3_000_000
 REMEMBERED_PAIRS = 500_000
+#: Slots for pairs of ids whose agreement is known; a pair replaces the one in its slot.
+PAIR_SLOTS = 1 << 20
+
+
+#: Odd multiplier of the rolling hash of letters.
+ROLL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
@@ -53,10 +63,22 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = model.unk_id()
         # A line end in no piece is a boundary as well.
-        line = "" if any("\n" in p for p in self.ids) else "\n"
+        self.lines = not any("\n" in p for p in self.ids)
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("the model has pieces across blanks")
-        self.stretches = re.compile(f"{line}|" * bool(line) + f"{BLANK}*[^{BLANK}{line}]+|{BLANK}+")
+        self.prefixes = self._prefix_tables()
+
+    def _prefix_tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the sorted hashes of all prefixes of pieces, with the piece's id or -1."""
+        tables: list[dict[int, int]] = [{} for _ in range(self.longest)]
+        for text, i in self.ids.items():
+            rolled = 0
+            for k, letter in enumerate(text):
+                rolled = (rolled * int(ROLL) + ord(letter) + 1) % (1 << 64)
+                tables[k].setdefault(rolled, -1)
+            tables[len(text) - 1][rolled] = i
+        sorted_keys = [sorted(t) for t in tables]
+        return [(np.array(keys, dtype=np.uint64), np.array([t[k] for k in keys], dtype=np.int64)) for keys, t in zip(sorted_keys, tables)]
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge the best-scored neighbours, the first of equals, to the end."""
@@ -84,7 +106,8 @@ class StreamingViterbi:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.agree: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.memory = SpanMemory(self.learn, REMEMBERED)
+        self.pair_keys, self.pair_fits = np.full(PAIR_SLOTS, -1, dtype=np.int64), np.zeros(PAIR_SLOTS, dtype=bool)
 
     def agrees(self, left: str, right: str) -> bool:
         found = self.agree.get((left, right))
@@ -149,7 +172,8 @@ class StreamingViterbi:
                 del back[b]
         return max(meet, final)
 
-    def stretch(self, text: str) -> bytes:
+    def stretch(self, text: str) -> np.ndarray:
+        """Ids of one stretch of any length."""
         found = self.search(text)
         ids: list[int] = []
         for piece in self.pieces.merged(text) if found is None else found:
@@ -158,19 +182,139 @@ class StreamingViterbi:
                 ids.append(known)
             else:
                 ids += [self.pieces.byte_ids.get(b, self.pieces.unknown) for b in piece.encode()]
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return np.array(ids, dtype=np.uint32)
+
+    def pairs_agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`agrees` for arrays of piece ids."""
+        keys = left * len(self.pieces.text) + right
+        slots = (mix(keys.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
+        fits, known = self.pair_fits[slots], self.pair_keys[slots] == keys
+        if not known.all():
+            new, sample, place = np.unique(keys[~known], return_index=True, return_inverse=True)
+            text = self.pieces.text
+            pairs = zip(left[~known][sample].tolist(), right[~known][sample].tolist())
+            found = np.array([self.pieces.merged(text[a] + text[b]) == [text[a], text[b]] for a, b in pairs], dtype=bool)
+            fits[~known] = found[place]
+            at = slots[~known][sample]
+            self.pair_keys[at] = new
+            # Of several new pairs of one slot the last stays; its answer must be the one beside it.
+            last = self.pair_keys[at] == new
+            self.pair_fits[at[last]] = found[last]
+        return fits
+
+    def lockstep(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Search all stretches at once: ids end to end, ids per stretch, and which stretches have an agreeing path.
+
+        `letters` holds the code points of all stretches, none longer than a window.
+        """
+        n, starts = len(sizes), np.cumsum(sizes) - sizes
+        owner, place = np.repeat(np.arange(n), sizes), ragged(sizes)
+        left_over = np.repeat(sizes, sizes) - place
+        # Every place where a piece lies: rolled on letter by letter while some piece goes on.
+        at, rolled = np.arange(len(letters)), np.zeros(len(letters), dtype=np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for length, (keys, ids) in enumerate(self.pieces.prefixes, 1):
+            inside = left_over[at] >= length
+            at, rolled = at[inside], rolled[inside]
+            if not len(at):
+                break
+            rolled = rolled * ROLL + letters[at + length - 1].astype(np.uint64) + np.uint64(1)
+            where = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
+            hit = keys[where] == rolled
+            at, rolled, where = at[hit], rolled[hit], where[hit]
+            whole = ids[where] >= 0
+            found.append((at[whole], ids[where[whole]], length))
+        first = np.concatenate([f[0] for f in found])
+        piece = np.concatenate([f[1] for f in found])
+        length = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+        # One boundary more than letters in each stretch; boundary b of stretch s is b + starts[s] + s.
+        end = place[first] + length
+        order = np.argsort((end * n + owner[first]) * (self.pieces.longest + 1) - length, kind="stable")
+        first, piece, length, end = first[order], piece[order], length[order], end[order]
+        source = first + owner[first]
+        target = source + length
+        last_piece = np.full(len(letters) + n, -1, dtype=np.int64)
+        back = np.zeros(len(letters) + n, dtype=np.int64)
+        zero = starts + np.arange(n)
+        reached = np.zeros(len(letters) + n, dtype=bool)
+        reached[zero] = True
+        cuts = np.searchsorted(end, np.arange(1, int(sizes.max(initial=0)) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # Pieces that end at this step's boundary, the longest first; each boundary takes the first that fits.
+            open_ = np.arange(a, b)[reached[source[a:b]]]
+            while len(open_):
+                head = np.ones(len(open_), dtype=bool)
+                head[1:] = target[open_[1:]] != target[open_[:-1]]
+                tried = open_[head]
+                before = last_piece[source[tried]]
+                fits = before < 0
+                if not fits.all():
+                    fits[~fits] = self.pairs_agree(before[~fits], piece[tried[~fits]])
+                taken = tried[fits]
+                reached[target[taken]] = True
+                last_piece[target[taken]], back[target[taken]] = piece[taken], source[taken]
+                open_ = open_[~head]
+                open_ = open_[~reached[target[open_]]]
+        done = reached[zero + sizes]
+        # Follow the backpointers of all stretches from their ends.
+        live = np.flatnonzero(done)
+        now, steps = (zero + sizes)[live], []
+        while len(live):
+            steps.append((live, last_piece[now]))
+            now = back[now]
+            going = now > zero[live]
+            live, now = live[going], now[going]
+        if not steps:
+            return np.zeros(0, dtype=np.uint32), np.zeros(n, dtype=np.int64), done
+        whose = np.concatenate([x[0] for x in steps])
+        rank = np.repeat(np.arange(len(steps)), [len(x[0]) for x in steps])
+        out = np.concatenate([x[1] for x in steps])[np.lexsort((-rank, whose))]
+        return out.astype(np.uint32), np.bincount(whose, minlength=n), done
+
+    def learn(self, raw: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stretches, end to end, and their offsets."""
+        texts = [r.decode().replace(" ", BLANK) for r in raw]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        window = 2 * self.pieces.longest
+        short = np.flatnonzero(sizes <= window)
+        few = "".join([texts[k] for k in short.tolist()])
+        ids, numbers, done = self.lockstep(np.frombuffer(few.encode("utf-32-le"), dtype="<u4"), sizes[short]) if few else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
+        rest = np.concatenate((np.flatnonzero(sizes > window), short[~done] if few else short[:0]))
+        single = [self.stretch(texts[k]) for k in rest.tolist()]
+        whose = np.concatenate((np.repeat(short[: len(numbers)], numbers), np.repeat(rest, [len(i) for i in single]).astype(np.int64)))
+        values = np.concatenate((ids, *single))[np.argsort(whose, kind="stable")]
+        return values, np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(texts)))))
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.pieces.stretches.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.known)
-        for text in missing:
-            self.known[text] = self.stretch(text)
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
-        if len(self.known) > REMEMBERED:
-            for text in missing:
-                del self.known[text]
-        return out
+        ids, cuts = self.encode_arrays(*spaced(pa.array(texts, pa.large_string())))
+        return [part.astype("<u4").tobytes() for part in np.split(ids, cuts[1:-1])] if texts else []
+
+    def encode_arrays(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and n+1 offsets per text; each text starts with a space, as `spaced` makes it."""
+        blank = data == 0x20
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        if self.pieces.lines:
+            line = data == 0x0A
+            begins |= line
+            begins[1:] |= line[:-1]
+        starts = np.flatnonzero(begins)
+        ids, cuts = self.memory.find(data, starts, np.append(starts[1:], len(data))) if len(starts) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        return ids, cuts[np.searchsorted(starts, offsets)]
+
+
+def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts with a space before each that isn't empty; the blank sign becomes a space."""
+    texts = [" " + t.replace(BLANK, " ") if t else "" for t in column.to_pylist()]
+    return flat_bytes(pa.array(texts, pa.large_string()))
+
+
+@lru_cache(maxsize=2)
+def load_search(path: str) -> StreamingViterbi:
+    """One search for all tasks of a worker."""
+    return StreamingViterbi(load_pieces(path))
 
 
 class Decoder:
@@ -179,23 +323,45 @@ class Decoder:
     def __init__(self, pieces: Pieces):
         self.raw = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of else p.replace(BLANK, " ").encode() if p in pieces.ids else b"" for i, p in enumerate(pieces.text)]
 
+        self.flat = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts, their first space included, and n+1 offsets per text."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self.flat[np.repeat(self.first[ids], sizes) + ragged(sizes)], ends[offsets]
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def gives_back(data: np.ndarray, offsets: np.ndarray, decoded: np.ndarray, decoded_offsets: np.ndarray) -> np.ndarray:
+    """Whether each decoded text equals the text."""
+    sizes = np.diff(offsets)
+    same = sizes == np.diff(decoded_offsets)
+    kept = np.where(same, sizes, 0)
+    differ = data[np.repeat(offsets[:-1], kept) + ragged(kept)] != decoded[np.repeat(decoded_offsets[:-1], kept) + ragged(kept)]
+    same[np.repeat(np.arange(len(sizes)), kept)[differ]] = False
+    return same
+
+
 def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: n_pieces, ids_crc32, round_trip (decoding gives the text back), and ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load_pieces(model)
-        search, decoder = StreamingViterbi(pieces), Decoder(pieces)
+        search = load_search(model)
+        decoder = Decoder(search.pieces)
         for part, _, _ in slices(batches):
-            texts = part.column("text").to_pylist()
-            ids = search.encode(texts)
-            same = [decoder.decode(i) == (t or "").replace(BLANK, " ") for i, t in zip(ids, texts)]
+            data, offsets = spaced(part.column("text"))
+            ids, cuts = search.encode_arrays(data, offsets)
+            raw, at = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+            each = [raw[a:b] for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(ids, pa.binary())],
+                [part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array([zlib.crc32(i) for i in each], pa.int64()),
+                 pa.array(gives_back(data, offsets, *decoder.decode_all(ids, cuts)), pa.bool_()), pa.array(each, pa.binary())],
                 names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"],
             )
 
