@@ -36,7 +36,7 @@ from gradeframe.llm.text import SpanMemory, flat_bytes, id_and_text, mix, ragged
 
 BLANK = "▁"
 #: Stretches (about 50 bytes each) and pairs that a worker remembers, the first it meets.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 REMEMBERED_PAIRS = 500_000
 #: Slots for pairs of ids whose agreement is known; a pair replaces the one in its slot.
 PAIR_SLOTS = 1 << 20

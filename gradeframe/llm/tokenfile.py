@@ -47,7 +47,7 @@ CHECKSUMS = 0x80  # descriptor: entries have checksums
 #: Bytes of ids after which a frame ends (always at the end of a document).
 FRAME_BYTES = 256 << 10
 #: Distinct words whose ids a worker remembers (about 40 bytes each), the first it meets; others are encoded again in each slice.
-REMEMBERED = 4_000_000
+REMEMBERED = 2_000_000
 #: What separates words: spaces, tabs and line ends.
 BETWEEN = np.ones(256, dtype=bool)
 BETWEEN[[0x20, 0x09, 0x0A, 0x0D]] = False
