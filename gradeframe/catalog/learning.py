@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window, functions as F
 
 from gradeframe.catalog import roles, weathering
 from gradeframe.catalog.registry import query
@@ -180,6 +182,59 @@ def csv_full_round_trip(spark, sf):
     return back.groupBy(F.col("stn").cast("long").alias("stn"), "date").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
+@query("""WITH bad AS (SELECT 'date' AS "column", 'on ' || o_orderkey % 13 AS value FROM orders WHERE o_orderkey % 5 = 0
+      UNION ALL SELECT 'ta_max', 'x' || o_orderkey % 10 FROM orders WHERE o_orderkey % 7 = 0)
+    SELECT "column", value, count(*) AS n FROM bad GROUP BY 1, 2""")
+def csv_rejects(spark, sf):
+    """What two CSV files of different column orders hold that does not fit its declared type."""
+    orders, key = roles.table(spark, sf, "orders"), F.col("o_orderkey")
+    path = f"{checkpoint_dir(spark)}/csv_rejects-{store.fingerprint({'o': orders})}"
+    rows = orders.select(
+        key.alias("stn"), F.when(key % 5 == 0, F.concat(F.lit("on "), key % 13)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+        F.when(key % 7 == 0, F.concat(F.lit("x"), key % 10)).otherwise(F.col("o_totalprice").cast("string")).alias("ta_max"),
+    )
+    sinks.write_csv(rows.filter("stn % 2 = 0"), path, bom=True)
+    rows.filter("stn % 2 <> 0").select("ta_max", "date", "stn").write.mode("append").option("header", True).csv(path)
+    return tables.rejected(spark, path, tables.WEATHER).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT o_orderpriority AS feature, {r('sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders)', 6)} AS importance,
+    row_number() OVER (ORDER BY sum(o_totalprice) DESC) AS place FROM orders GROUP BY 1""")
+def importance_file(spark, sf):
+    """A ranked importance file, read back: each feature's share and its place in the file."""
+    orders = roles.table(spark, sf, "orders")
+    path = f"{checkpoint_dir(spark)}/importance-{store.fingerprint({'o': orders})}"
+    shares = orders.groupBy(F.col("o_orderpriority").alias("feature")).agg(F.sum("o_totalprice").alias("s"))
+    sinks.write_importance(shares.select("feature", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("importance")), path)
+    back = spark.read.schema("feature string, importance double").option("header", True).csv(path)
+    place = (F.monotonically_increasing_id() + 1).alias("place")
+    return back.select("feature", "importance", place).select("feature", stable_round(F.col("importance"), 6).alias("importance"), "place")
+
+
+@query("""SELECT o_orderkey AS animal, (o_orderkey * 7) % 101 / 200e0 AS a, (o_orderkey * 3) % 101 / 200e0 AS b,
+    1 - ((o_orderkey * 7) % 101 + (o_orderkey * 3) % 101) / 200e0 AS c FROM orders""")
+def probability_file(spark, sf):
+    """Class probabilities written as one column per class and read back."""
+    orders, key = roles.table(spark, sf, "orders"), F.col("o_orderkey")
+    path = f"{checkpoint_dir(spark)}/probabilities-{store.fingerprint({'o': orders})}"
+    first, second = (key * 7) % 101, (key * 3) % 101
+    votes = F.array(first / F.lit(200.0), second / F.lit(200.0), 1 - (first + second) / F.lit(200.0))
+    sinks.write_probabilities(orders.select(key.alias("animal"), array_to_vector(votes).alias("probability")), ["a", "b", "c"], ["animal"], path)
+    return spark.read.schema("animal long, a double, b double, c double").option("header", True).csv(path)
+
+
+@query("""SELECT o_orderpriority AS priority, (SELECT count(DISTINCT o.o_orderpriority) FROM orders o WHERE o.o_orderpriority < orders.o_orderpriority) * 1e0 AS code,
+    count(*) AS n FROM orders GROUP BY 1""")
+def reuse_or_fit(spark, sf):
+    """A stored model: the second request loads what the first one saved and fits nothing."""
+    keys = _keys(spark, sf)
+    mark = store.fingerprint({"orders": roles.table(spark, sf, "orders")}, {"model": "codes of priorities"})
+    fit = lambda: StringIndexer(inputCol="priority", outputCol="code", stringOrderType="alphabetAsc").fit(keys)
+    for make in (fit, None):
+        model = store.reuse_or_fit(spark, checkpoint_dir(spark), "priority_codes", mark, StringIndexerModel.load, make)
+    return model.transform(keys).groupBy("priority", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1")
 def reuse_or_write(spark, sf):
     """The second request reads what the first one wrote."""

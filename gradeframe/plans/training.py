@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -14,11 +15,14 @@ from gradeframe.functions.encode import blend, first_argmax, label_of
 from gradeframe.operators.joins import align_predictions, lookup_join, stack_rows
 from gradeframe.operators.metrics import class_weights, macro_f1
 from gradeframe.operators.sampling import stratified_folds
+from gradeframe.parallel import run_together
 from gradeframe.plans import stopping
 from gradeframe.session import settle
 from gradeframe.sources.store import reuse_or_fit, reuse_or_write
 
 MISSING_FEATURE = -999.0
+#: Folds that are fitted at the same time.
+FOLDS_AT_ONCE = 3
 
 
 @dataclass(frozen=True)
@@ -113,22 +117,25 @@ def choose_trees(train: DataFrame, valid: DataFrame, params: ForestParams, keep:
 def cross_validate(
     df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, k: int, classes: Sequence[str],
     params: ForestParams = ForestParams(), per_fold: Mapping[str, str] | None = None,
-    store: str | None = None, mark: str = "",
+    store: str | None = None, mark: str = "", folds_at_once: int = FOLDS_AT_ONCE,
 ) -> CrossValidation:
     """Fit on the other folds, score the held-out one, stack the held-out rows.
 
     ``per_fold`` maps a feature to a column prefix whose ``<prefix>_<i>`` column
     is that feature while fold ``i`` is held out (fold-safe encodings). With
     ``store`` a finished fold is reused: its model, predictions and score live
-    under names that carry ``mark``, a fingerprint of the inputs.
+    under names that carry ``mark``, a fingerprint of the inputs. Up to
+    ``folds_at_once`` folds run side by side, each with its own training rows in
+    the cache; the first failure cancels the others, and with ``store`` a later
+    call goes on from the finished folds.
     """
     spark, keep = df.sparkSession, [key, fold, "label"]
-    held, scores, models = [], [], []
-    for i in range(k):
+
+    def one(i: int):
         columns = [f"{per_fold[c]}_{i}" if per_fold and c in per_fold else c for c in features]
         data = with_classes(feature_matrix(df, columns, [key, fold, label]), label, classes)
 
-        def fit(data=data, i=i):
+        def fit():
             train, valid = weighted(data.filter(F.col(fold) != i), "label"), data.filter(F.col(fold) == i)
             train = with_classes(train, "label", classes).cache()
             try:
@@ -140,14 +147,15 @@ def cross_validate(
             model = fit()
         else:
             model = reuse_or_fit(spark, store, f"model_fold{i}", mark, RandomForestClassificationModel.load, fit)
-        predict = lambda model=model, data=data, i=i: score(model, data.filter(F.col(fold) == i), keep, classes)
+        predict = lambda: score(model, data.filter(F.col(fold) == i), keep, classes)
         out = predict() if store is None else reuse_or_write(spark, store, f"oof_fold{i}", mark, predict)
-        held.append(out)
-        models.append(model)
-        scores.append((i, _score_of(out), model.getNumTrees))
+        return out, model, _score_of(out)
+
+    held, models, values = zip(*run_together(spark, [partial(one, i) for i in range(k)], folds_at_once, "folds"))
+    scores = [(i, value, model.getNumTrees) for i, (model, value) in enumerate(zip(models, values))]
     folds = spark.createDataFrame(scores, "fold int, f1 double, trees int")
     refit = stopping.refit_size([s[2] for s in scores])
-    return CrossValidation(stack_rows(*held), folds, refit, models)
+    return CrossValidation(stack_rows(*held), folds, refit, list(models))
 
 
 def fit_all(

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gradeframe.functions.clean import iso_date
+from gradeframe.parallel import run_together
 
+#: First lines read at the same time, a task each.
+HEADER_READERS = 16
+#: Name of the column that takes lines with a wrong number of values.
+WHOLE_LINE = "_whole_line"
 TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType()}
 
 
@@ -46,23 +51,68 @@ def _typed(name: str, data_type: T.DataType) -> Column:
     return F.col(name).try_cast(data_type).alias(name)
 
 
+def _header(spark: SparkSession, file: str) -> str | None:
+    """First line of a file: one task that stops after the first buffer of its first block."""
+    lines = spark.read.text(file).select("value", F.col("_metadata.file_block_start").alias("at"))
+    row = lines.filter("at = 0").head()
+    return None if row is None else row["value"]
+
+
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of a CSV path by their first line; files without any line are left out.
+
+    What is read is bounded by the number of files, not by their sizes.
+    """
+    jvm = spark._jvm
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in spark.read.text(path).inputFiles()]
+    lines = run_together(spark, [partial(_header, spark, f) for f in files], HEADER_READERS, "headers")
+    found: dict[str, list[str]] = {}
+    for file, line in sorted(zip(files, lines)):
+        if line is not None:
+            found.setdefault(line, []).append(file)
+    return dict(sorted(found.items()))
+
+
 def _by_name(spark: SparkSession, path: str) -> DataFrame:
     """All files of a CSV path as text columns, matched by name.
 
-    Spark takes one header for all files of a scan. So the first line of each
-    file is compared, and files with another column order are scanned apart.
+    Spark takes one header for all files of a scan, so files with another column
+    order are scanned apart.
     """
-    headers = (
-        spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-        .filter("at = 0").groupBy("file").agg(F.first("value").alias("header"))
-        .groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
-    )
-    if len(headers) <= 1:
+    groups = headers(spark, path)
+    if len(groups) <= 1:
         return spark.read.option("header", True).csv(path)
-    scans = [spark.read.option("header", True).csv(row["files"]) for row in headers]
+    scans = [spark.read.option("header", True).csv(files) for files in groups.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
+def rejected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Ledger of what ``read_csv`` can't take: file, block (its first byte), column and value.
+
+    Each value that does not fit its column's type is a row. A line with more or
+    fewer values than its file's header is a row as well, whole, with a NULL column.
+    """
+    types = {f.name: f.dataType for f in schema if not isinstance(f.dataType, T.StringType)}
+    parts = []
+    for files in headers(spark, path).values():
+        names = spark.read.option("header", True).csv(files).columns
+        whole = T.StructType([T.StructField(n, T.StringType()) for n in [*names, WHOLE_LINE]])
+        # A pruned scan would not notice further values. Spark wants a plain column beside the whole line.
+        scan = spark.read.schema(whole).option("header", True).option("columnPruning", False)
+        raw = scan.option("columnNameOfCorruptRecord", WHOLE_LINE).csv(files)
+        entry = lambda column, value, bad: F.struct(F.lit(column).cast("string").alias("column"), value.alias("value"), bad.alias("bad"))
+        entries = [entry(None, F.col(WHOLE_LINE), F.col(WHOLE_LINE).isNotNull() & (F.coalesce(F.length(f"`{names[0]}`"), F.lit(0)) >= 0))] + [
+            entry(n, F.col(f"`{n}`"), F.trim(F.col(f"`{n}`")).isNotNull() & (F.trim(F.col(f"`{n}`")) != "") & _typed(n, types[n]).isNull())
+            for n in names if n in types
+        ]
+        listed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                            F.filter(F.array(*entries), lambda e: e["bad"]).alias("bad"))
+        parts.append(listed.select("file", "block", F.explode("bad").alias("bad")).select("file", "block", "bad.column", "bad.value"))
+    if not parts:
+        return spark.createDataFrame([], "file string, block long, column string, value string")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
     """Header CSV by column name, with declared types and an optional column subset.
 

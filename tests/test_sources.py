@@ -82,3 +82,39 @@ def test_probability_columns(spark):
     df = spark.createDataFrame([(1, Vectors.dense([0.25, 0.75]))], ["id", "probability"])
     out = sinks.probability_columns(df, ["x", "y"], ["id"])
     assert out.columns == ["id", "x", "y"] and tuple(out.first()) == (1, 0.25, 0.75)
+
+
+def test_headers_read_one_block_of_each_file(spark, tmp_path):
+    rows = "".join(f"{i},2024-01-01,{i}.5\n" for i in range(20_000))
+    write(tmp_path / "a.csv", "stn,date,ta_max\n" + rows)
+    write(tmp_path / "b c.csv", "ta_max,stn,date\n1.5,7,2024-02-01\n", encoding="utf-8")
+    write(tmp_path / "d.csv", "stn,date\n9,2024-03-01\n", encoding="utf-8")
+    (tmp_path / "e.csv").write_text("")
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    context.setLocalProperty("spark.jobGroup.id", "first lines")
+    try:
+        found = tables.headers(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("first lines") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages) <= 4 < splits
+    assert sorted(len(files) for files in found.values()) == [1, 1, 1]
+    back = tables.read_csv(spark, str(tmp_path), tables.WEATHER)
+    assert back.count() == 20_002
+    assert sorted(map(tuple, back.filter("stn in (7, 9) and date > '2024-01-31'").select("stn", "ta_max").collect())) == [(7, 1.5), (9, None)]
+
+
+def test_ledger_of_rejected_values_and_lines(spark, tmp_path):
+    write(tmp_path / "a.csv", "stn,date,ta_max,note\n1,2024-01-01,2.5,x\nfive,2024-13-01,,y\n2,2024-01-02,3,z,more\n")
+    write(tmp_path / "b.csv", "ta_max,stn,date\nhot,3,2024-01-03\n 4 ,4,2024-01-04\n", encoding="utf-8")
+    got = {(r["file"][-5:], r["block"], r["column"], r["value"]) for r in tables.rejected(spark, str(tmp_path), tables.WEATHER).collect()}
+    assert got == {
+        ("a.csv", 0, "stn", "five"), ("a.csv", 0, "date", "2024-13-01"), ("a.csv", 0, None, "2,2024-01-02,3,z,more"), ("b.csv", 0, "ta_max", "hot"),
+    }
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    assert tables.rejected(spark, str(tmp_path / "none"), tables.WEATHER).count() == 0

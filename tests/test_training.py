@@ -61,6 +61,37 @@ def test_folds_are_reused_by_fingerprint(spark, data, tmp_path, monkeypatch):
         run("m2")
 
 
+def test_folds_side_by_side_give_what_one_after_the_other_gives(data, cv):
+    alone = training.cross_validate(data, "id", ["a", "b", "enc"], "y", "fold", 3, CLASSES, PARAMS, {"enc": "enc"}, folds_at_once=1)
+    pick = lambda c: sorted((r["id"], r["fold"], r["predicted"], tuple(r["probability"])) for r in c.predictions.collect())
+    assert pick(alone) == pick(cv) and alone.refit_trees == cv.refit_trees
+    assert sorted(map(tuple, alone.folds.collect())) == sorted(map(tuple, cv.folds.collect()))
+
+
+def test_a_broken_run_goes_on_from_its_finished_folds(data, cv, tmp_path, monkeypatch):
+    run = lambda: training.cross_validate(
+        data, "id", ["a", "b", "enc"], "y", "fold", 3, CLASSES, PARAMS, {"enc": "enc"}, str(tmp_path), "m", folds_at_once=1
+    )
+    choose, fitted, broken = training.choose_trees, [], [2]
+
+    def watched(train, *rest):
+        (held,) = {0, 1, 2} - {r["fold"] for r in train.select("fold").distinct().collect()}
+        if held in broken:
+            raise RuntimeError("lost the driver's patience")
+        fitted.append(held)
+        return choose(train, *rest)
+
+    monkeypatch.setattr(training, "choose_trees", watched)
+    with pytest.raises(RuntimeError, match="patience"):
+        run()
+    assert fitted == [0, 1]
+    broken.clear()
+    done = run()
+    assert fitted == [0, 1, 2]
+    pick = lambda c: sorted((r["id"], r["predicted"]) for r in c.predictions.collect())
+    assert pick(done) == pick(cv)
+
+
 def test_final_model_scores_and_aligns(spark, data, tmp_path):
     model = training.fit_all(data, "id", ["a", "b"], "y", CLASSES, 3, PARAMS, str(tmp_path), "m")
     loaded = store.reuse_or_fit(spark, str(tmp_path), "model_all", "m", RandomForestClassificationModel.load, lambda: None)
