@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -95,13 +97,14 @@ def with_leave_one_out(
 
 
 def fold_totals(df: DataFrame, key: str, target: str, fold: str, k: int) -> DataFrame:
-    """Per key: target sum, sum of squares and count, over all rows and within each fold."""
+    """Per key: target sum, count and squared deviations from the own mean within each fold, and in rows outside all folds (``x``)."""
     x = F.col(target).cast("double")
     fields = [F.count(F.lit(1)).alias("_rows")]
-    for name, mine in [("", x), *[(str(i), F.when(F.col(fold) == i, x)) for i in range(k)]]:
+    outside = F.when(F.coalesce(F.col(fold).isin(*range(k)), F.lit(False)), None).otherwise(x)
+    for name, mine in [("x", outside), *[(str(i), F.when(F.col(fold) == i, x)) for i in range(k)]]:
         fields += [
-            F.coalesce(F.sum(mine), F.lit(0.0)).alias(f"_s{name}"),
-            F.coalesce(F.sum(mine * mine), F.lit(0.0)).alias(f"_q{name}"), F.count(mine).alias(f"_c{name}"),
+            F.coalesce(F.sum(mine), F.lit(0.0)).alias(f"_s{name}"), F.count(mine).alias(f"_c{name}"),
+            F.coalesce(F.var_pop(mine) * F.count(mine), F.lit(0.0)).alias(f"_d{name}"),
         ]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*fields)
 
@@ -117,13 +120,16 @@ def with_fold_encoding(df: DataFrame, key: str, target: str, fold: str, k: int,
     totals = settle(fold_totals(df, key, target, fold, k))
     hot = lambda: heavy_groups(totals, [key], "_rows")
     out = lookup_join(df, totals.drop("_rows"), [key], "left", hot, **join)
-    added = {}
+    added, groups = {}, ["x", *map(str, range(k))]
     for i in range(k):
-        s, q, c = (F.col(f"_{x}") - F.col(f"_{x}{i}") for x in "sqc")
+        others = [g for g in groups if g != str(i)]
+        s, c = (reduce(add, [F.col(f"_{x}{g}") for g in others]) for x in "sc")
         own = (s - F.col(target)) / F.when(c > 1, c - 1).otherwise(1)
-        spread = F.try_divide(q - F.try_divide(s * s, c), c - 1)
+        # Deviations of the groups, moved to their common mean: no difference of large squares.
+        moved = [F.coalesce(F.col(f"_c{g}") * F.pow(F.try_divide(f"_s{g}", f"_c{g}") - F.try_divide(s, c), F.lit(2)), F.lit(0.0)) for g in others]
+        spread = F.try_divide(reduce(add, [F.col(f"_d{g}") for g in others] + moved), c - 1)
         added[f"{prefix}_{i}"] = F.when(F.col(fold) == i, F.try_divide(s, c)).otherwise(own)
         added[f"{prefix}_cnt_{i}"] = F.coalesce(c, F.lit(0))
-        added[f"{prefix}_std_{i}"] = F.when(c > 1, F.sqrt(F.when(spread > 0, spread).otherwise(0.0)))
-    helper = [f"_{x}{i}" for i in ["", *range(k)] for x in "sqc"]
+        added[f"{prefix}_std_{i}"] = F.when(c > 1, F.sqrt(spread))
+    helper = [f"_{x}{g}" for g in groups for x in "scd"]
     return out.withColumns(added).drop(*helper)

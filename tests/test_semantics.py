@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,17 @@ def test_interval_daily_sums(spark):
     ], "id int, stn int, s date, e date")
     out = timeseries.interval_daily_sums(facts, daily, ["stn"], "date", "s", "e", {"t": F.col("x").cast("long")})
     assert rows(out.select("id", "t"), "id") == [(1, 2), (2, 5), (3, None), (4, 0), (5, None), (6, 5), (7, 0)]
+
+
+def test_fold_deviations_of_large_means_do_not_cancel(spark):
+    """Rows of fold 2 and rows outside all folds count for folds 0 and 1; a key of one row has no deviation."""
+    rows = [(i, "k", 1e9 + (i % 5) / 4, None if i % 7 == 0 else i % 3) for i in range(60)] + [(99, "one", 5.0, 0)]
+    df = spark.createDataFrame(rows, "i int, k string, x double, fold int")
+    out = encoding.with_fold_encoding(df, "k", "x", "fold", 3, "e")
+    got = {r["k"]: r for r in out.collect()}
+    for f in range(3):
+        rest = [x for _, k, x, g in rows if k == "k" and g != f]
+        assert got["k"][f"e_cnt_{f}"] == len(rest)
+        assert math.isclose(got["k"][f"e_std_{f}"], statistics.stdev(rest), rel_tol=1e-6)
+        assert got["one"][f"e_std_{f}"] is None
+    assert sorted(out.columns) == sorted([*df.columns, *[f"e{m}_{f}" for f in range(3) for m in ("", "_cnt", "_std")]])
