@@ -202,18 +202,21 @@ def target_statistics(train: DataFrame, parents: DataFrame, **join) -> dict[str,
 
 
 def baseline_features(fact: DataFrame, tables: Lookups, parents: DataFrame, statistics: dict[str, DataFrame], **join) -> DataFrame:
-    """Baseline rows: slaughter and birth month weather, farm, sire and strain means."""
+    """Baseline rows: slaughter and birth month weather, farm, sire and strain means.
+
+    Lookups by animal and farm move the rows and come first, while rows are narrow.
+    """
     base = typed_fact(fact)
-    df = with_row_features(base)
-    for prefix, date in (("s_", "ABATT_DATE"), ("b_", "BIRTH_YMD")):
-        renamed = clean.with_prefix(tables.monthly, prefix, ["stn", "month"])
-        hot = lambda date=date: _hot_months(base, date)
-        df = timeseries.month_join(df, renamed, ["stn"], date, hot=hot, **join)
-    df = with_farm(df, tables.farms, statistics[FARM], hot=lambda: joins.hot_keys(base, [FARM]), **join)
-    df = joins.lookup_join(df, parents, ["CATTLE_NO"], "left", lambda: joins.hot_keys(base, ["CATTLE_NO"]), **join)
+    df = joins.lookup_join(base, parents, ["CATTLE_NO"], "left", lambda: joins.hot_keys(base, ["CATTLE_NO"]), **join)
     for key, means in statistics.items():
         if key == FARM:
             continue
         bred = lambda: base.select("CATTLE_NO", FARM).join(parents, "CATTLE_NO", "left")
         df = joins.lookup_join(df, means, [key], "left", lambda key=key: joins.hot_keys(bred(), [key]), **join)
+    df = with_farm(df, tables.farms, statistics[FARM], hot=lambda: joins.hot_keys(base, [FARM]), **join)
+    df = with_row_features(df)
+    for prefix, date in (("s_", "ABATT_DATE"), ("b_", "BIRTH_YMD")):
+        renamed = clean.with_prefix(tables.monthly, prefix, ["stn", "month"])
+        hot = lambda date=date: _hot_months(base, date)
+        df = timeseries.month_join(df, renamed, ["stn"], date, hot=hot, **join)
     return df

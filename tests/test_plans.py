@@ -96,3 +96,29 @@ def test_sources_use_no_local_checkpoint_or_rdd():
     for path in (ROOT / "gradeframe").rglob("*.py"):
         text = path.read_text()
         assert "localCheckpoint" not in text and ".rdd" not in text, path
+
+
+@pytest.mark.parametrize("plan", ["baseline"])
+def test_rows_move_by_animal_and_farm_before_the_weather_widens_them(spark, sf, plan, monkeypatch):
+    """Lookups that grow with the table shuffle the rows; calendar lookups stay small and are broadcast."""
+    moved = []
+    one, several = joins.lookup_join, joins.lookup_joins
+
+    def seen(join):
+        def run(fact, lookups, on, *args, **options):
+            if list(on) in ([grading.FARM], ["CATTLE_NO"]):
+                moved.append(fact.columns)
+            return join(fact, lookups, on, *args, **options)
+        return run
+
+    fact, daily, area, death, lineage = learning.domain_tables(spark, sf)
+    tables, parents = grading.lookups(daily, area, death, base=plan == "baseline"), grading.pedigree(lineage)
+    statistics = grading.target_statistics(fact, parents) if plan == "baseline" else None
+    monkeypatch.setattr(joins, "lookup_join", seen(one))
+    monkeypatch.setattr(joins, "lookup_joins", seen(several))
+    if plan == "baseline":
+        grading.baseline_features(fact, tables, parents, statistics)
+    else:
+        grading.training_features(fact, tables, learning.FLOOR)
+    assert len(moved) == (2 if plan == "baseline" else 1)
+    assert not [c for columns in moved for c in columns if c in grading.WEATHER_FEATURES + grading.REARING_FEATURES]
