@@ -128,20 +128,22 @@ def common_features(
     """Features that training and scoring rows share, and further lookups by farm.
 
     Slaughter-month and three lag months come from one join on the month, the
-    birth month from a second one, the rearing period from a third. ``base`` is
+    birth month from a second one, the rearing period from a third. Lookups by
+    farm grow with the farms and move the rows, those by calendar don't, so the
+    farm comes first, while rows are narrow. ``base`` is
     the same rows before any join: what is counted over the rows is counted
     there, so that the chain of joins runs once.
     """
     floor = F.lit(weather_start).cast("date")
     rearing = rearing_table(base, tables, weather_start, **join)
     hot_months = lambda date: lambda: _hot_months(base, date)
-    df = with_interactions(with_row_features(fact))
+    hot_farms = hot_farms or (lambda: joins.hot_keys(base, [FARM]))
+    df = with_farm(fact, tables.farms, *by_farm, hot=hot_farms, **join)
+    df = with_interactions(with_row_features(df))
     shifted = settle(timeseries.lagged_lookup(tables.monthly, ["stn"], "month", LAGS))
     df = timeseries.month_join(df, shifted, ["stn"], "ABATT_DATE", hot=hot_months("ABATT_DATE"), **join)
     birth = clean.with_prefix(tables.monthly, "b_", ["stn", "month"])
     df = timeseries.month_join(df, birth, ["stn"], "BIRTH_YMD", hot=hot_months("BIRTH_YMD"), **join)
-    hot_farms = hot_farms or (lambda: joins.hot_keys(base, [FARM]))
-    df = with_farm(df, tables.farms, *by_farm, hot=hot_farms, **join)
     return timeseries.apply_interval_table(df, rearing, ["stn"], "BIRTH_YMD", "ABATT_DATE", floor, **join)
 
 

@@ -98,7 +98,7 @@ def test_sources_use_no_local_checkpoint_or_rdd():
         assert "localCheckpoint" not in text and ".rdd" not in text, path
 
 
-@pytest.mark.parametrize("plan", ["baseline"])
+@pytest.mark.parametrize("plan", ["training", "baseline"])
 def test_rows_move_by_animal_and_farm_before_the_weather_widens_them(spark, sf, plan, monkeypatch):
     """Lookups that grow with the table shuffle the rows; calendar lookups stay small and are broadcast."""
     moved = []
