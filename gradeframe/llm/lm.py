@@ -11,7 +11,10 @@ The automaton of a whole corpus fits nowhere, but a block of documents only
 needs the arcs that its own n-grams can take. So documents are dealt into
 blocks; a block sends its distinct n-gram keys with its own training counts to
 hash buckets; a bucket adds up what all blocks sent and returns the totals in
-the order of the request; the block builds its part of the automaton, states,
+the order of the request. Words and word pairs are asked for first, and the
+answer tells which of them no other block holds. Longer n-grams with such a pair
+in them lie in this block only, so their own counts are the totals; the block
+asks for the others. Then it builds its part of the automaton, states,
 arcs and failure arcs, and scores its documents in one left-to-right traversal
 that carries the state and adds up log-probabilities. Everything that moves is
 pre-aggregated to distinct n-grams of a block, so frequent words are no hot
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.llm.text import BYTE_VALUES, LOWER, SPACED, flat_bytes, mix, run_sums, slices, span_hashes, text_bytes, word_spans
@@ -77,9 +81,9 @@ class Block:
         """Places where an n-gram within the document ends."""
         return self.depth >= n - 1
 
-    def distinct(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All distinct keys in order, and for each length the places of its n-grams among them."""
-        valid = [self.keys[n - 1][self.whole(n)] for n in range(1, len(self.keys) + 1)]
+    def distinct(self, least: int = 1, most: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct keys of some lengths (all) in order, and for each length the places of its n-grams among them."""
+        valid = [self.keys[n - 1][self.whole(n)] for n in range(least, (most or len(self.keys)) + 1)]
         keys, inverse = np.unique(np.concatenate(valid), return_inverse=True)
         return keys, np.split(inverse, np.cumsum([len(v) for v in valid])[:-1])
 
@@ -113,6 +117,54 @@ def unpacked_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
     return runs
 
 
+def own_counts(block: Block, held_out: np.ndarray, size: int, places: list[np.ndarray], least: int = 1) -> np.ndarray:
+    """How often each key occurs in the block's training documents."""
+    train = np.repeat(~held_out, np.diff(block.offsets))
+    counts = np.zeros(size, dtype=np.int64)
+    for n, at in enumerate(places, least):
+        counts += np.bincount(at[train[block.whole(n)]], minlength=size)
+    return counts
+
+
+def settled_longer(block: Block, alone: np.ndarray, pairs: np.ndarray, size: int, places: list[np.ndarray]) -> np.ndarray:
+    """Which keys of n-grams from 3 words on have a word pair in them that no other block holds; `pairs` are the places of all pairs."""
+    lone = np.zeros(len(block.depth), dtype=bool)
+    lone[block.whole(2)] = alone[pairs]
+    settled = np.zeros(size, dtype=bool)
+    inside = lone
+    for n, at in enumerate(places, 3):
+        inside = inside.copy()
+        inside[n - 2 :] |= lone[: len(lone) - n + 2]
+        settled[at] = inside[block.whole(n)]
+    return settled
+
+
+def dealt_texts(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows dealt into blocks by their hash, those of a batch and block as one compressed table."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            told, first = np.unique(block[order], return_index=True)
+            packs, texts = [], batch.select(["doc_id", "text", "held_out"])
+            for own in np.split(order, first[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, texts.schema) as out:
+                    out.write_batch(texts.take(pa.array(own)))
+                packs.append(press.compress(sink.getvalue()))
+            if packs:
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array(packs, pa.binary())], names=["block", "pack"])
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(pack, "block int, pack binary")
+
+
+def unpacked_texts(column: pa.ChunkedArray) -> pa.Table:
+    press = zstandard.ZstdDecompressor()
+    return pa.concat_tables([pa.ipc.open_stream(press.decompress(raw)).read_all() for raw in column.to_pylist()])
+
+
 def corpus_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """Tokens of the training documents, and how many distinct ones there are."""
 
@@ -287,16 +339,15 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
     size = text_bytes(rows)
     blocks = max(1, -(-size // block_bytes))
     n_train, vocabulary = corpus_totals(rows, blocks)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = dealt_texts(rows, blocks)
+    short = min(2, order)
+    empty = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
-    def requests(table: pa.Table) -> pa.Table:
-        data, offsets = flat_bytes(table["text"])
-        block = Block(data, offsets, order)
-        keys, places = block.distinct()
-        train = np.repeat(~table["held_out"].to_numpy(), np.diff(block.offsets))
-        counts = np.zeros(len(keys), dtype=np.int64)
-        for n, at in enumerate(places, 1):
-            counts += np.bincount(at[train[block.whole(n)]], minlength=len(keys))
+    def read(table: pa.Table) -> tuple[pa.Table, Block, np.ndarray]:
+        mine = unpacked_texts(table["pack"])
+        return mine, Block(*flat_bytes(mine["text"]), order), mine["held_out"].to_numpy()
+
+    def request(table: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         bounds = bucket_bounds(keys, blocks)
         some = np.flatnonzero(np.diff(bounds))
         cut = np.append(bounds[some], len(keys))
@@ -305,18 +356,53 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
             "keys": packed_keys(keys, cut), "counts": packed_counts(counts, cut),
         })
 
+    def ask_short(table: pa.Table) -> pa.Table:
+        _, block, held = read(table)
+        keys, places = block.distinct(1, short)
+        return request(table, keys, own_counts(block, held, len(keys), places))
+
+    def flags(got: pa.Table, size: int) -> np.ndarray:
+        """Of each short key, whether no other block holds it."""
+        runs = zip(got["alone"].to_pylist(), got["n"].to_pylist())
+        return np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=n) for raw, n in runs]).astype(bool) if size else np.zeros(0, bool)
+
+    def ask_long(table: pa.Table, got: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return empty
+        _, block, held = read(table)
+        keys, places = block.distinct(1, short)
+        alone, pairs = flags(got.sort_by("bucket"), len(keys)), places[1]
+        keys, places = block.distinct(3)
+        asked = ~settled_longer(block, alone, pairs, len(keys), places)
+        return request(table, keys[asked], own_counts(block, held, len(keys), places, 3)[asked]) if asked.any() else empty
+
     def answers(table: pa.Table) -> pa.Table:
         runs, counts = unpacked_keys(table["keys"]), unpacked_counts(table["counts"])
         _, inverse = np.unique(np.concatenate(runs), return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
-        cut = np.concatenate(([0], np.cumsum([len(k) for k in runs])))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": packed_counts(totals, cut)})
-
-    def scores(mine: pa.Table, got: pa.Table) -> pa.Table:
-        data, offsets = flat_bytes(mine["text"])
-        block = Block(data, offsets, order)
-        totals = unpacked_counts(got.sort_by("bucket")["totals"])
-        places = block.distinct()[1]
+        alone = (np.bincount(inverse) == 1)[inverse]
+        sizes = [len(k) for k in runs]
+        cut = np.concatenate(([0], np.cumsum(sizes)))
+        return pa.table({
+            "block": table["block"], "bucket": table["bucket"], "totals": packed_counts(totals, cut),
+            "alone": pa.array([np.packbits(alone[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), "n": pa.array(sizes, pa.int32()),
+        })
+
+    def scores(table: pa.Table, got: pa.Table) -> pa.Table:
+        mine, block, held = read(table)
+        got = got.sort_by([("long", "ascending"), ("bucket", "ascending")])
+        pairs = int(np.searchsorted(got["long"].to_numpy(), 1))
+        first, rest = got.slice(0, pairs), got.slice(pairs)
+        keys, places = block.distinct()
+        length = (keys & _LEVEL).astype(np.int64)
+        totals = own_counts(block, held, len(keys), places)
+        few = length <= short
+        totals[few] = unpacked_counts(first["totals"])
+        if order > 2:
+            # Places among the short keys of all pairs, and among all keys of the longer ones.
+            among = np.cumsum(few) - 1
+            settled = settled_longer(block, flags(first, int(few.sum())), among[places[1]], len(keys), places[2:])
+            totals[~few & ~settled] = unpacked_counts(rest["totals"])
         known, base = unigram_scores(block, places, totals, n_train, vocabulary)
         score = automaton_scores(block, Automaton(block, places, totals, n_train, vocabulary, list(pseudo)), order)
         return pa.table({
@@ -324,6 +410,11 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
             "train_tokens": pa.array(np.full(len(known), n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score),
         })
 
-    asked = dealt.groupBy("block").applyInArrow(requests, "bucket int, block int, keys binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, totals binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, RESULT)
+    request_columns, answer_columns = "bucket int, block int, keys binary, counts binary", "block int, bucket int, totals binary, alone binary, n int"
+    told = dealt.groupBy("block").applyInArrow(ask_short, request_columns).groupBy("bucket").applyInArrow(answers, answer_columns)
+    every = told.withColumn("long", F.lit(0))
+    if order > 2:
+        longer = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_long, request_columns)
+        more = longer.groupBy("bucket").applyInArrow(answers, answer_columns)
+        every = every.union(more.select("block", "bucket", "totals", F.lit(None).cast("binary").alias("alone"), "n", F.lit(1).alias("long")))
+    return dealt.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(scores, RESULT)

@@ -8,12 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from gradeframe.llm import classifier, decontaminate, lm, neardup, pieces, quality, repeats, tokenfile, tokens, urls
 from gradeframe.llm.queries import ORACLES, QUERIES, URL_RULES
+from gradeframe.llm.text import flat_bytes
 
 PROSE = "the quick brown fox jumps over the lazy dog and then it runs far away from the old farm house near the river bank".split()
 
@@ -73,6 +75,26 @@ def test_op1_scores_edges_in_one_and_many_blocks(documents):
     close(by_id(lm.score_documents(documents, block_bytes=20_000), *LM), want)
 
 
+def test_op1_longer_n_grams_with_a_pair_of_one_block_are_not_asked_for(documents):
+    data, offsets = flat_bytes(pa.array(["a b c d e", "c d"]))
+    block = lm.Block(data, offsets, 4)
+    short, places = block.distinct(1, 2)
+    spots = np.flatnonzero(block.whole(2))
+    alone = np.zeros(len(short), dtype=bool)
+    alone[places[1][spots == 2]] = True  # only "a b" is in this block alone
+    keys, longer = block.distinct(3)
+    settled = lm.settled_longer(block, alone, places[1], len(keys), longer)
+    held = {int(e): bool(settled[k]) for n, at in enumerate(longer, 3) for e, k in zip(n * 100 + np.flatnonzero(block.whole(n)), at)}
+    # Three words end at 2 (begin a b), 3 (a b c), 4, 5, 6, 9 and 10; four at 3 to 6 and 10.
+    assert held == {302: True, 303: True, 304: False, 305: False, 306: False, 309: False, 310: False, 403: True, 404: True, 405: False, 406: False, 410: False}
+
+
+def test_op1_order_3_scores_are_the_same_in_one_and_many_blocks(documents):
+    whole = by_id(lm.score_documents(documents, order=3), *LM)
+    close(by_id(lm.score_documents(documents, order=3, block_bytes=5_000), *LM), whole)
+    close(by_id(lm.score_documents(documents, order=4, block_bytes=5_000), *LM), by_id(lm.score_documents(documents, order=4), *LM))
+
+
 def test_op1_probabilities_of_a_context_sum_to_one(docs_of):
     """All known words, the end and one unknown word after "a b", the texts' common beginning taken away."""
     rows = [(i, t) for i, t in enumerate(["a b a c", "b a b", "c c a b", "a"])]
