@@ -34,7 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.text import BYTE_VALUES, LOWER, SPACED, flat_bytes, mix, run_sums, slices, span_hashes, text_bytes, word_spans
+from gradeframe.llm.text import BYTE_VALUES, LOWER, SLICE_BYTES, SPACED, flat_bytes, mix, run_sums, slices, span_hashes, text_bytes, word_spans
 
 VALUES = BYTE_VALUES[LOWER]
 BEGIN, END = np.uint64(0x5BD1E995_00000100), np.uint64(0x5BD1E995_00000200)
@@ -53,12 +53,23 @@ def held_out_rows(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 7 == 2, F.lit(False))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of all words, taken from bounded stretches of the block, so that tables of powers stay small."""
+    out, first = np.empty(len(starts), dtype=np.uint64), 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, side="right")))
+        out[first:last] = span_hashes(data[begin : ends[last - 1]], starts[first:last] - begin, ends[first:last] - begin, VALUES)
+        first = last
+    return out
+
+
 class Block:
     """Tokens of some documents, each with its begin and end, and their n-gram keys."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int):
         starts, ends, first = word_spans(data, offsets, SPACED)
-        words = span_hashes(data, starts, ends, VALUES)
+        words = word_hashes(data, starts, ends)
         docs = len(offsets) - 1
         self.offsets = first + 2 * np.arange(docs + 1)
         tokens = np.empty(len(words) + 2 * docs, dtype=np.uint64)

@@ -275,6 +275,12 @@ def first_places(contents: list[bytes], sizes: np.ndarray, doc: np.ndarray, star
     return masks
 
 
+def mask_bits(masks: np.ndarray) -> np.ndarray:
+    """The 128 bits of each run's two masks, lowest first, a byte each."""
+    raw = np.ascontiguousarray(masks, dtype="<u8").view(np.uint8).reshape(len(masks), 16)
+    return np.unpackbits(raw, axis=1, bitorder="little")
+
+
 def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
@@ -399,7 +405,7 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
             np.add.at(change, runs.start[~first], 1)
             np.add.at(change, (runs.start + runs.size + WINDOW - 1)[~first], -1)
             masks = _bytes(told["masks"], np.uint64).reshape(-1, 2)[runs.number[first]]
-            bits = (masks[:, np.arange(128) // 64] >> (np.arange(128) % 64).astype(np.uint64)) & np.uint64(1) == 1
+            bits = mask_bits(masks)
             which, offset = np.nonzero(bits)
             places = runs.start[first][which] + offset
             np.add.at(change, places, 1)

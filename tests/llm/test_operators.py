@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from gradeframe.llm import classifier, decontaminate, lm, neardup, pieces, quality, repeats, tokenfile, tokens, urls
+from gradeframe.llm import classifier, decontaminate, lm, neardup, pieces, quality, repeats, text, tokenfile, tokens, urls
 from gradeframe.llm.queries import ORACLES, QUERIES, URL_RULES
 from gradeframe.llm.text import flat_bytes
 
@@ -547,3 +547,19 @@ def test_op8_verdicts_as_plain_distances(spark, sf):
         assert r["kept"] == (not r["base_failed"] and not far), r["doc_id"]
         judged += 1
     assert judged > 100
+
+
+def test_op1_words_of_a_large_block_need_power_tables_of_a_slice_only():
+    data = np.frombuffer(b"ab cde f " * 300_000, dtype=np.uint8)
+    starts, ends, _ = text.word_spans(data, np.array([0, len(data)]), text.SPACED)
+    before = len(text._power_tables(0)[0])
+    got = lm.word_hashes(data, starts, ends)
+    assert len(text._power_tables(0)[0]) <= max(before, text.SLICE_BYTES + 1)
+    assert (got == text.span_hashes(data, starts, ends, lm.VALUES)).all()
+
+
+def test_op9_mask_bits_are_a_byte_each():
+    masks = np.array([[1, 0], [1 << 63, 1], [0, 5 << 61]], dtype=np.uint64)
+    bits = repeats.mask_bits(masks)
+    assert bits.shape == (3, 128) and bits.nbytes == 3 * 128 and repeats.mask_bits(masks[:0]).shape == (0, 128)
+    assert [tuple(x) for x in np.argwhere(bits)] == [(0, 0), (1, 63), (1, 64), (2, 125), (2, 127)]
