@@ -32,12 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gradeframe.llm.text import SpanMemory, flat_bytes, id_and_text, mix, ragged, slices
+from gradeframe.llm.text import SpanMemory, flat_bytes, id_and_text, mix, ragged, slices, stretches
 
 BLANK = "▁"
 #: Stretches (about 50 bytes each) and pairs that a worker remembers, the first it meets.
 REMEMBERED = 2_000_000
 REMEMBERED_PAIRS = 500_000
+#: Bytes of text that are encoded and decoded together.
+ENCODED_BYTES = 1 << 18
+#: Letters of new stretches that are searched in lockstep: the lattice takes some hundred bytes a letter.
+LOCKSTEP_LETTERS = 1 << 16
 #: Slots for pairs of ids whose agreement is known; a pair replaces the one in its slot.
 PAIR_SLOTS = 1 << 20
 
@@ -277,11 +281,14 @@ class StreamingViterbi:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         window = 2 * self.pieces.longest
         short = np.flatnonzero(sizes <= window)
-        few = "".join([texts[k] for k in short.tolist()])
-        ids, numbers, done = self.lockstep(np.frombuffer(few.encode("utf-32-le"), dtype="<u4"), sizes[short]) if few else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
-        rest = np.concatenate((np.flatnonzero(sizes > window), short[~done] if few else short[:0]))
+        found = []
+        for a, b in stretches(np.concatenate(([0], np.cumsum(sizes[short]))), LOCKSTEP_LETTERS):
+            few = "".join([texts[k] for k in short[a:b].tolist()])
+            found.append(self.lockstep(np.frombuffer(few.encode("utf-32-le"), dtype="<u4"), sizes[short[a:b]]))
+        ids, numbers, done = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.uint32, np.int64, bool)))
+        rest = np.concatenate((np.flatnonzero(sizes > window), short[~done]))
         single = [self.stretch(texts[k]) for k in rest.tolist()]
-        whose = np.concatenate((np.repeat(short[: len(numbers)], numbers), np.repeat(rest, [len(i) for i in single]).astype(np.int64)))
+        whose = np.concatenate((np.repeat(short, numbers), np.repeat(rest, [len(i) for i in single]).astype(np.int64)))
         values = np.concatenate((ids, *single))[np.argsort(whose, kind="stable")]
         return values, np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(texts)))))
 
@@ -354,7 +361,7 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = load_search(model)
         decoder = Decoder(search.pieces)
-        for part, _, _ in slices(batches):
+        for part, _, _ in slices(batches, size=ENCODED_BYTES):
             data, offsets = spaced(part.column("text"))
             ids, cuts = search.encode_arrays(data, offsets)
             raw, at = ids.astype("<u4").tobytes(), (4 * cuts).tolist()

@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gradeframe.llm.lm import bucket_bounds, packed_counts, unpacked_counts
-from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, mix, ragged, span_hashes, text_bytes
+from gradeframe.llm.text import BYTE_VALUES, binary_column, flat_bytes, lean, mix, ragged, run_sums, span_hashes, stretches, text_bytes
 
 WINDOW = 100
 ANCHOR = 32
-#: Bytes of windows that are looked at together.
-PIECE_BYTES = 1 << 20
+#: Bytes that are looked at together: arrays of eight bytes for each byte have this length, not a block's.
+PIECE_BYTES = 1 << 18
 BLOCK_BYTES = 4 << 20
 #: Distinct runs of one anchor that a bucket compares, of up to 168 bytes each.
 RUNS_LIMIT = 1 << 14
@@ -251,8 +251,25 @@ def equal_neighbours(text: np.ndarray, places: np.ndarray, length: int) -> np.nd
     return np.concatenate(([False], same))[: len(places)]
 
 
-def first_places(contents: list[bytes], sizes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each distinct run, which of its windows also start earlier: two 64-bit masks per run."""
+def first_places(anchors: np.ndarray, body: bytes, at: np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, piece_bytes: int = PIECE_BYTES) -> np.ndarray:
+    """For each distinct run, in order of its anchor, which of its windows also start earlier: two 64-bit masks per run.
+
+    A run's bytes are body[at : at + size + WINDOW - 1]. Equal windows have equal
+    anchors, so stretches of whole anchors are compared by themselves.
+    """
+    masks = np.zeros((len(anchors), 2), dtype=np.uint64)
+    begins = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])) if len(anchors) else np.zeros(0, np.int64)
+    cuts = np.append(begins, len(anchors))
+    length = sizes + WINDOW - 1
+    for first, last in stretches(np.concatenate(([0], np.cumsum(length)))[cuts], piece_bytes):
+        own = slice(cuts[first], cuts[last])
+        contents = [body[a : a + n] for a, n in zip(at[own].tolist(), length[own].tolist())]
+        masks[own] = later_windows(contents, sizes[own], doc[own], start[own])
+    return masks
+
+
+def later_windows(contents: list[bytes], sizes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The masks of some distinct runs, compared with each other."""
     text = np.frombuffer(b"\0".join(contents) + b"\0", dtype=np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(c) + 1 for c in contents])))[:-1]
     suffixes = two_stage_suffixes(text, WINDOW)
@@ -281,6 +298,31 @@ def mask_bits(masks: np.ndarray) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little")
 
 
+def spans_of(data: np.ndarray, start: np.ndarray, length: np.ndarray, piece_bytes: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all spans, end to end, and their n+1 offsets."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    body = np.empty(ends[-1], dtype=np.uint8)
+    for a, b in stretches(ends, piece_bytes):
+        body[ends[a] : ends[b]] = data[np.repeat(start[a:b], length[a:b]) + ragged(length[a:b])]
+    return body, ends
+
+
+def covered(size: int, start: np.ndarray, length: np.ndarray, masks: np.ndarray, whole: np.ndarray, window_starts: np.ndarray) -> np.ndarray:
+    """Which of `size` bytes lie in whole runs (of `length` bytes), or in windows: those of the other runs' masks, and further ones."""
+    change = np.zeros(size + 1, dtype=np.int32)
+    np.add.at(change, start[whole], 1)
+    np.add.at(change, (start + length)[whole], -1)
+    part = start[~whole]
+    for a in range(0, len(part), 1 << 12):
+        which, offset = np.nonzero(mask_bits(masks[a : a + (1 << 12)]))
+        places = part[a : a + (1 << 12)][which] + offset
+        np.add.at(change, places, 1)
+        np.add.at(change, places + WINDOW, -1)
+    np.add.at(change, window_starts, 1)
+    np.add.at(change, window_starts + WINDOW, -1)
+    return np.cumsum(change, out=change)[:-1] > 0
+
+
 def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
@@ -334,10 +376,8 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
         own = runs.firsts
         bounds = bucket_bounds(runs.anchor[own], blocks)
         packed = _packed({"keys": runs.anchor[own], "names": runs.content[own], "sizes": runs.size[own].astype(np.uint8), "docs": runs.doc_id[own], "starts": runs.within[own]}, bounds)
-        length = runs.size[own] + WINDOW - 1
-        ends = np.concatenate(([0], np.cumsum(length)))
+        body, ends = spans_of(runs.data, runs.start[own], runs.size[own] + WINDOW - 1)
         some = packed["bucket"].to_numpy()
-        body = runs.data[np.repeat(runs.start[own], length) + ragged(length)]
         packed["contents"] = binary_column(body, ends[np.append(bounds[some], bounds[-1])])
         packed["block"] = pa.array(np.full(len(some), block), pa.int32())
         asked = pa.table(packed).select(empty_runs.column_names)
@@ -385,7 +425,7 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
         masks = np.zeros((len(firsts), 2), dtype=np.uint64)
         some = firsts[several]
         if len(some):
-            masks[several] = first_places([body[at[r] : at[r + 1]] for r in some], sizes[some], docs_[some], starts[some])
+            masks[several] = first_places(keys[some], body, at[some], sizes[some], docs_[some], starts[some])
         cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in table["keys"].to_pylist()])))
         return pa.table({
             "block": table["block"], "bucket": table["bucket"], "keys": table["keys"], "docs": binary_column(docs_[firsts][number], cut), "starts": binary_column(starts[firsts][number], cut),
@@ -399,31 +439,24 @@ def with_removed(docs: DataFrame, finish, schema: str | StructType, extra: list[
         runs = Runs(mine)
         windows = Windows(runs, np.sort(_bytes(of_windows["keys"], np.uint64)))
         runs.keep(np.unique(_bytes(told["keys"], np.uint64)))
-        change = np.zeros(len(runs.data) + 1, dtype=np.int64)
+        first, masks = np.zeros(0, dtype=bool), np.zeros((0, 2), dtype=np.uint64)
         if len(runs.start):
             first = (_bytes(told["docs"], np.int64)[runs.number] == runs.doc_id) & (_bytes(told["starts"], np.int64)[runs.number] == runs.within)
-            np.add.at(change, runs.start[~first], 1)
-            np.add.at(change, (runs.start + runs.size + WINDOW - 1)[~first], -1)
             masks = _bytes(told["masks"], np.uint64).reshape(-1, 2)[runs.number[first]]
-            bits = mask_bits(masks)
-            which, offset = np.nonzero(bits)
-            places = runs.start[first][which] + offset
-            np.add.at(change, places, 1)
-            np.add.at(change, places + WINDOW, -1)
-        if len(windows.start):
+        gone = windows.start
+        if len(gone):
             lead = windows.firsts[windows.number]
             kept = _bytes(of_windows["masks"], np.uint8)[windows.number] == 1
             kept &= (windows.doc_id == windows.doc_id[lead]) & (windows.within == windows.within[lead])
-            np.add.at(change, windows.start[~kept], 1)
-            np.add.at(change, windows.start[~kept] + WINDOW, -1)
-        return finish(runs.table, runs.data, runs.offsets, np.cumsum(change)[:-1] > 0)
+            gone = gone[~kept]
+        return finish(runs.table, runs.data, runs.offsets, covered(len(runs.data), runs.start, runs.size + WINDOW - 1, masks, ~first, gone))
 
     kinds = "bucket int, block int, keys binary, names binary, sizes binary, docs binary, starts binary, contents binary"
     empty_runs = pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith(" int") else pa.binary()) for c in kinds.split(", ")})
-    anchors = dealt.groupBy("block").applyInArrow(ask_anchors, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(tell_anchors, "block int, keys binary, many binary")
-    runs = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_runs, kinds)
-    told = runs.groupBy("bucket").applyInArrow(tell_runs, "block int, bucket int, keys binary, docs binary, starts binary, masks binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
+    anchors = dealt.groupBy("block").applyInArrow(lambda t: lean(ask_anchors, t), "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(lambda t: lean(tell_anchors, t), "block int, keys binary, many binary")
+    runs = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(lambda t, u: lean(ask_runs, t, u), kinds)
+    told = runs.groupBy("bucket").applyInArrow(lambda t: lean(tell_runs, t), "block int, bucket int, keys binary, docs binary, starts binary, masks binary")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, u: lean(remove, t, u), schema)
 
 
 def summaries(table: pa.Table, data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> pa.Table:
@@ -446,6 +479,23 @@ def find_repeats(docs: DataFrame, **options) -> DataFrame:
     return with_removed(docs, summaries, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
 
 
+def kept_characters(data: np.ndarray, offsets: np.ndarray, removed: np.ndarray, piece_bytes: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each byte's character has a byte that is not removed; per document its bytes and characters of that kind."""
+    kept = np.empty(len(data), dtype=bool)
+    sizes, lengths = (np.zeros(len(offsets) - 1, dtype=np.int64) for _ in range(2))
+    for a, b in stretches(offsets, piece_bytes):
+        own, bounds = slice(offsets[a], offsets[b]), offsets[a : b + 1] - offsets[a]
+        lead = (data[own] & 0xC0) != 0x80
+        lead[bounds[:-1][np.diff(bounds) > 0]] = True
+        begins = np.flatnonzero(lead)
+        if len(begins):
+            stays = np.logical_or.reduceat(~removed[own], begins)
+            kept[own] = np.repeat(stays, np.diff(np.append(begins, len(lead))))
+        sizes[a:b] = run_sums(kept[own], bounds)
+        lengths[a:b] = run_sums(kept[own] & lead, bounds)
+    return kept, sizes, lengths
+
+
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str = "n_chars", **options) -> DataFrame:
     """The documents with their repeated bytes taken out of the text, all columns kept.
 
@@ -456,21 +506,15 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     others = [c for c in names if c != text_column]
 
     def cut(table: pa.Table, data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> pa.Table:
-        lead = (data & 0xC0) != 0x80
-        lead[offsets[:-1][np.diff(offsets) > 0]] = True
-        character = np.cumsum(lead) - 1
-        gone = np.ones(int(lead.sum()), dtype=bool)
-        np.logical_and.at(gone, character, removed)
-        kept = ~gone[character] if len(data) else removed
-        sums = np.concatenate(([0], np.cumsum(kept)))
-        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(sums[offsets], dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data[kept])))
-        lengths = np.concatenate(([0], np.cumsum(kept & lead)))
+        kept, sizes, lengths = kept_characters(data, offsets, removed)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64)), pa.py_buffer(data[kept]))
         columns = {}
         for name in names:
             if name == text_column:
                 columns[name] = texts.cast(pa.string())
             elif name == count_column:
-                columns[name] = pa.array(lengths[offsets[1:]] - lengths[offsets[:-1]], pa.int64())
+                columns[name] = pa.array(lengths, pa.int64())
             else:
                 columns[name] = table[f"_{name}"]
         return pa.table(columns)

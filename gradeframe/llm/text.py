@@ -7,8 +7,10 @@ cut on bytes. Nothing is per-row Python.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,15 +90,46 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def stretches(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """First row and end of stretches of whole rows of up to `size` bytes, or of one longer row, by the rows' n+1 offsets."""
+    row = 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        yield row, end
+        row = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into runs of whole rows of up to `size` text bytes, with their bytes and offsets."""
     for batch in batches:
         data, offsets = flat_bytes(batch.column(column))
-        row = 0
-        while row < batch.num_rows:
-            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        for row, end in stretches(offsets, size):
             yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-            row = end
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    """The C library's function that returns freed memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps idle workers, and others work beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = _trimmer()
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """What `work` makes of the tables of a group, its own memory given back."""
+    made = work(*tables)
+    give_back()
+    return made
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

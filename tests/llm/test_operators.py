@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -563,3 +564,71 @@ def test_op9_mask_bits_are_a_byte_each():
     bits = repeats.mask_bits(masks)
     assert bits.shape == (3, 128) and bits.nbytes == 3 * 128 and repeats.mask_bits(masks[:0]).shape == (0, 128)
     assert [tuple(x) for x in np.argwhere(bits)] == [(0, 0), (1, 63), (1, 64), (2, 125), (2, 127)]
+
+
+def _peak(work):
+    """What `work` returns, and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_op9_runs_are_compared_by_stretches_of_whole_anchors():
+    rng = np.random.default_rng(5)
+    family = [rng.integers(97, 123, 140, dtype=np.uint8).tobytes() for _ in range(6000)]
+    body = b"".join(f[k : k + 134] for f in family for k in range(3))
+    n = 3 * len(family)
+    anchors, sizes, at = np.repeat(np.arange(len(family), dtype=np.uint64), 3), np.full(n, 35), np.arange(n) * 134
+    doc, start = rng.permutation(n), np.tile(np.arange(3), len(family))
+    whole, most = _peak(lambda: repeats.first_places(anchors, body, at, sizes, doc, start, 1 << 30))
+    parts, least = _peak(lambda: repeats.first_places(anchors, body, at, sizes, doc, start))
+    assert (whole == parts).all() and whole.any(axis=1).sum() > n // 2
+    assert least < most / 3 and least < 24 * len(body)
+    assert repeats.first_places(anchors[:0], b"", at[:0], sizes[:0], doc[:0], start[:0]).shape == (0, 2)
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 18])
+def test_op9_characters_stay_unless_all_their_bytes_go(piece):
+    rng = np.random.default_rng(6)
+    texts = ["", "aé", "日本語 x", "", "🙂🙂", "plain", ""]
+    data, offsets = flat_bytes(pa.array(texts))
+    for _ in range(50):
+        removed = rng.random(len(data)) < 0.6
+        kept, sizes, lengths = repeats.kept_characters(data, offsets, removed, piece)
+        for text_, a, b, n, letters in zip(texts, offsets, offsets[1:], sizes, lengths):
+            cuts = np.cumsum([0] + [len(c.encode()) for c in text_])
+            want = "".join(c for c, i, j in zip(text_, cuts, cuts[1:]) if not removed[a + i : a + j].all())
+            assert data[a:b][kept[a:b]].tobytes().decode() == want and (n, letters) == (len(want.encode()), len(want))
+
+
+def test_op9_covered_bytes_of_whole_runs_masks_and_windows():
+    rng = np.random.default_rng(7)
+    start, size = np.sort(rng.choice(60_000, 9000, replace=False)), rng.integers(1, 70, 9000)
+    bits = (rng.random((9000, 128)) < 0.01) & (np.arange(128) < size[:, None])
+    whole, windows = rng.random(9000) < 0.05, rng.choice(60_000, 5)
+    masks = np.packbits(bits[~whole], axis=1, bitorder="little").view(np.uint64)
+    want = np.zeros(61_000, dtype=bool)
+    for s, n, w, row in zip(start, size, whole, bits):
+        for a, b in [(s, s + n + 99)] if w else [(s + k, s + k + 100) for k in np.flatnonzero(row)]:
+            want[a:b] = True
+    for s in windows:
+        want[s : s + 100] = True
+    assert (repeats.covered(61_000, start, size + 99, masks, whole, windows) == want).all()
+    body, ends = repeats.spans_of(np.arange(61_000).astype(np.uint8), start, size, 1 << 10)
+    assert (ends == np.concatenate(([0], np.cumsum(size)))).all() and all((body[a:b] == (np.arange(b - a) + s).astype(np.uint8)).all() for a, b, s in zip(ends, ends[1:], start))
+
+
+def test_op5_new_stretches_are_searched_in_bounded_lots():
+    search = pieces.StreamingViterbi(pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = np.random.default_rng(8)
+    words = list({" " + "".join(rng.choice(list("etaoinshr"), rng.integers(2, 12))) for _ in range(60_000)})
+    letters = sum(map(len, words))
+    raw = [w.encode() for w in words]
+    search.learn(raw)  # pairs are remembered
+    (ids, cuts), peak = _peak(lambda: search.learn(raw))
+    assert peak < 120 * letters
+    for k in range(0, len(words), 997):
+        one, _ = search.learn([raw[k]])
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == one.tolist()
