@@ -12,7 +12,8 @@ the wanted similarity), then full sets decide. First each class is compared
 with one promising partner, which joins most of a family; then all candidates
 between different components. Regions with more members than the neighbour
 window are finished exactly: members outside a region's largest component are
-queries against all its members, in blocks of bounded size.
+queries against all its members, in pairs of blocks of bounded size. Sketches
+leave the members with a close partner, whose full sets meet in one task.
 
 Contract: one row per document row; null and empty texts have an empty set, are
 linked with nothing and kept; a null id takes part in links and is never smallest
@@ -39,8 +40,8 @@ VALUES = BYTE_VALUES[LOWER]
 TREES, PATH = 16, 8
 #: Neighbours on either side in a tree, and path values that a candidate must share.
 REACH, DEPTH = 8, 3
-#: Members of a region that meet in one task.
-BLOCK_ROWS = 2048
+#: Members of a region that meet in one task, by rows and by bytes of their sets.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 
 _FACTORS = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(5001, 6025, dtype=np.uint64))
@@ -207,9 +208,14 @@ def forest_candidates(classes: DataFrame, number: int, reach: int, depth: int) -
     return made.filter("seam IS NULL").select("a", "b").union(seams).distinct()
 
 
-def crowded_candidates(classes: DataFrame, labels: DataFrame, number: int, reach: int, depth: int, lowest: float, bound: float) -> DataFrame | None:
-    """For regions that the neighbour window can't cover: all pairs across components whose sketches are close, or None."""
-    spark = classes.sparkSession
+def crowded_groups(classes: DataFrame, labels: DataFrame, number: int, reach: int, depth: int) -> DataFrame | None:
+    """Regions that the neighbour window can't cover and that more than one component shares, or None.
+
+    Rows are (name, node, root, main) for each member; those whose root is not
+    main, the largest component, are to be compared with all. Regions of one
+    main component, which in a family of near copies are much the same in all
+    trees, become one group if that takes at most twice the comparisons.
+    """
     paths = F.array(*[F.substring("sig", 1 + 4 * PATH * t, 4 * depth) for t in range(number // PATH)])
     member = classes.select("node", F.posexplode(paths).alias("tree", "path"))
     crowded = member.groupBy("tree", "path").count().filter(F.col("count") > reach)
@@ -218,27 +224,104 @@ def crowded_candidates(classes: DataFrame, labels: DataFrame, number: int, reach
     open_regions = stored(shares.groupBy("tree", "path", "count").agg(F.max(F.struct("n", "root")).alias("most")).filter(F.col("most.n") < F.col("count")).select("tree", "path", "count", F.col("most.root").alias("main"), (F.col("count") - F.col("most.n")).alias("others")), "regions")
     if open_regions.isEmpty():
         return None
-    rows = member.drop("count").join(open_regions, ["tree", "path"]).join(classes.select("node", "n", "sig"), "node")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
-    salt = F.xxhash64("node")
-    all_rows = rows.withColumn("mine", F.pmod(salt, blocks("count"))).withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks("others") - 1))).select("tree", "path", "mine", "theirs", "node", "root", "n", "sig")
-    asked = rows.filter("root != main").withColumn("theirs", F.pmod(salt, blocks("others"))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks("count") - 1))).select("tree", "path", "mine", "theirs", "node", "root", "n", "sig")
+    rows = stored(member.select("tree", "path", "node", "root").join(open_regions.select("tree", "path", "main"), ["tree", "path"]), "members")
+    product = lambda x, y: x.cast("double") * y
+    apart = open_regions.groupBy("main").agg(F.sum(product(F.col("count"), F.col("others"))).alias("apart"))
+    whole = rows.select("main", "node", "root").distinct().groupBy("main").agg(product(F.count(F.lit(1)), F.count_if(F.col("root") != F.col("main"))).alias("whole"))
+    wide = stored(apart.join(whole, "main").filter("whole <= 2 * apart").select("main", F.lit(True).alias("wide")), "wide")
+    own = F.concat(F.lit(b"r"), F.unhex(F.lpad(F.hex("tree"), 8, "0")), F.col("path"))
+    named = lookup_join(rows, wide, ["main"], "left").withColumn("name", F.when(F.col("wide"), F.concat(F.lit(b"m"), F.col("main"))).otherwise(own))
+    return stored(named.select("name", "node", "root", "main").distinct(), "groups")
+
+
+def near_members(classes: DataFrame, groups: DataFrame, lowest: float, bound: float) -> DataFrame:
+    """Members of groups whose sketch is close to one of another component, in pairs of blocks of bounded size.
+
+    Rows are (name, mine, theirs, node, root, asked): in the pair of blocks
+    (mine, theirs) of a group a row that is asked is to meet those that are not.
+    As only members go on, not their pairs, no more rows come out than go in.
+    """
+    rows = groups.join(classes.select("node", "n", "sig"), "node")
+    outside = F.col("root") != F.col("main")
+    blocks = lambda count, items: F.ceil(F.greatest(count / BLOCK_ROWS, items * 8 / BLOCK_BYTES)).cast("int")
+    every, others = blocks(F.count(F.lit(1)), F.sum("n")), blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n"))))
+    sizes = stored(rows.groupBy("name").agg(every.alias("all_blocks"), others.alias("asked_blocks")), "blocks")
+    rows = lookup_join(rows, sizes, ["name"], "inner")
+    # Both sides' block numbers are of one type: keys of different types would be dealt to different tasks and never meet.
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["name", "mine", "theirs", "node", "root", "n", "sig"]
+    members = rows.withColumn("mine", block("all_blocks")).withColumn("theirs", each("asked_blocks")).select(*columns)
+    asked = rows.filter(outside).withColumn("theirs", block("asked_blocks")).withColumn("mine", each("all_blocks")).select(*columns)
     # Names of its own, as both sides come from one table.
-    asked = asked.toDF(*[f"asked_{c}" for c in asked.columns])
+    asked = asked.toDF(*[f"asked_{c}" for c in columns])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
+        near, found = np.zeros(left.num_rows, dtype=bool), np.zeros(right.num_rows, dtype=bool)
         if left.num_rows and right.num_rows:
-            mine, roots, sizes, nodes = _sigs(left["sig"]), np.array(left["root"].to_pylist(), dtype=object), left["n"].to_numpy(), left["node"].to_pylist()
-            for node, root, n, sig in zip(right["asked_node"].to_pylist(), right["asked_root"].to_pylist(), right["asked_n"].to_pylist(), _sigs(right["asked_sig"])):
-                close = ((mine == sig).mean(axis=1) >= lowest) & (np.minimum(sizes, n) >= bound * np.maximum(sizes, n)) & (roots != root)
-                for i in np.flatnonzero(close).tolist():
-                    a.append(min(node, nodes[i]))
-                    b.append(max(node, nodes[i]))
+            (mine, sizes), theirs = [(_sigs(t[s]).view("u4"), t[n].to_numpy()) for t, s, n in ((left, "sig", "n"), (right, "asked_sig", "asked_n"))]
+            root, asked_root = _codes(left["root"], right["asked_root"])
+            for k, (sig, n) in enumerate(zip(*theirs)):
+                at = np.flatnonzero((np.minimum(sizes, n) >= bound * np.maximum(sizes, n)) & (root != asked_root[k]))
+                at = at[np.count_nonzero(mine[at] == sig, axis=1) >= lowest * len(sig)]
+                near[at] = True
+                found[k] = len(at) > 0
+        out = {}
+        for c, kind in near_columns.items():
+            values = [x for t, name, flags in ((left, c, near), (right, f"asked_{c}", found)) if flags.any() for x in t[name].filter(pa.array(flags)).chunks]
+            out[c] = pa.chunked_array(values, kind)
+        return pa.table({**out, "asked": pa.array(np.repeat([False, True], [near.sum(), found.sum()]))})
+
+    near_columns = {"name": pa.binary(), "mine": pa.int32(), "theirs": pa.int32(), "node": pa.binary(), "root": pa.binary()}
+    key = ["name", "mine", "theirs"]
+    return members.groupBy(*key).cogroup(asked.groupBy(*[f"asked_{c}" for c in key])).applyInArrow(meet, "name binary, mine int, theirs int, node binary, root binary, asked boolean")
+
+
+def _codes(*columns) -> list[np.ndarray]:
+    """Numbers of the values of some columns, the same for equal values."""
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(x, len(known)) for x in c.to_pylist()], dtype=np.int64) for c in columns]
+
+
+def crowded_links(near: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of components' roots by full sets, for what `near_members` found.
+
+    A pair of blocks gives fewer links than it has components, as what it has
+    linked counts as one.
+    """
+
+    def verify(table: pa.Table) -> pa.Table:
+        asked, (label,), names = table["asked"].to_numpy(), _codes(table["root"]), table["root"].to_pylist()
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
+        sizes = np.array([len(x) for x in items])
+        members = np.flatnonzero(~asked)
+        members = members[np.argsort(sizes[members], kind="stable")]
+        a, b = [], []
+        if len(members) and asked.any():
+            values, held = np.unique(np.concatenate([items[i] for i in members]), return_inverse=True)
+            n = sizes[members]
+            first = np.concatenate(([0], np.cumsum(n)))
+            inside = np.zeros(len(values), dtype=np.int32)
+            for k in np.flatnonzero(asked).tolist():
+                # Only members of a size that can be similar enough, which lie side by side.
+                low, high = np.searchsorted(n, -(-limit[0] * sizes[k] // limit[1])), np.searchsorted(n, limit[1] * sizes[k] // limit[0], side="right")
+                if low == high or (label[members[low:high]] == label[k]).all():
+                    continue
+                at = np.minimum(np.searchsorted(values, items[k]), len(values) - 1)
+                at = at[values[at] == items[k]]
+                inside[at] = 1
+                both = np.add.reduceat(inside[held[first[low] : first[high]]], first[low:high] - first[low])
+                inside[at] = 0
+                good = members[low:high][limit[1] * both >= limit[0] * (sizes[k] + n[low:high] - both)]
+                linked, one = np.unique(label[good], return_index=True)
+                for other, i in zip(linked.tolist(), good[one].tolist()):
+                    if other != label[k]:
+                        a.append(min(names[k], names[i]))
+                        b.append(max(names[k], names[i]))
+                        label[label == other] = label[k]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    key = ["tree", "path", "mine", "theirs"]
-    return all_rows.groupBy(*key).cogroup(asked.groupBy(*[f"asked_{c}" for c in key])).applyInArrow(meet, _PAIRS).distinct()
+    return near.join(sets, "node").groupBy("name", "mine", "theirs").applyInArrow(verify, _PAIRS).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -342,11 +425,12 @@ def _grouped(docs: DataFrame, words: int, limit: tuple[int, int], trees: int, re
     # Of each class's candidates the smallest of those that look alike for certain, else the likeliest.
     one = pairs.groupBy("b").agg(F.min(F.when(F.col("likeness") > (1 + bound) / 2, F.col("a"))).alias("sure"), F.max_by("a", "likeness").alias("best")).select(F.coalesce("sure", "best").alias("a"), "b")
     labels = joined(components(stored(confirmed(one, sets), "links")), pairs.select("a", "b"), sets)
-    rest = crowded_candidates(classes, labels, number, reach, depth, lowest, bound)
-    if rest is not None:
-        rest = stored(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            labels = joined(labels, rest, sets_of(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    groups = crowded_groups(classes, labels, number, reach, depth)
+    if groups is not None:
+        near = stored(near_members(classes, groups, lowest, bound), "near")
+        if not near.isEmpty():
+            links = stored(crowded_links(near, sets_of(near.select("node").distinct()), limit), "links")
+            labels = labels if links.isEmpty() else _merged(labels, components(links))
     roots = classes.join(labels, "node", "left").select("key", F.coalesce(_doc_of("root"), F.col("rep")).alias("component"), F.coalesce("root", "node").alias("root"))
     return marked.select("doc_id", "text_name", "n_shingles", "key").join(roots, "key", "left")
 

@@ -632,3 +632,30 @@ def test_op5_new_stretches_are_searched_in_bounded_lots():
     for k in range(0, len(words), 997):
         one, _ = search.learn([raw[k]])
         assert ids[cuts[k] : cuts[k + 1]].tolist() == one.tolist()
+
+
+def test_op3_crowded_regions_dealt_to_many_tasks(docs_of, spark):
+    """Near copies, neither by their neighbours in the trees but by one of many members, are found however many tasks there are."""
+    rnd = random.Random(17)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows = []
+    for i in range(4):
+        base = [word() for _ in range(200)]
+        rows.append((1000 * i, " ".join(base)))
+        for j in range(1, 40):
+            own = list(base)
+            for at in rnd.sample(range(200), 2 if j < 20 else 5):
+                own[at] = word()
+            rows.append((1000 * i + j, " ".join(own)))
+    want = brute.near_duplicates(rows, 3, 85, 100)
+    assert len({c for _, c, _ in want.values()}) < 30
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = by_id(neardup.near_duplicates(docs_of(rows), words=3, limit=(85, 100), reach=2), "n_shingles", "component_id", "kept")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
